@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding
+from . import decontaminate, langid, ngram_lm, sharding, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,19 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_extendible_sharding, op7_winnowing_decontamination)}
+def op1_byte_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(table(spark, sf_dir, "documents"))
+
+
+def op9_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores)}
 
 ORACLES: dict[str, str] = {
     "op2_extendible_sharding": sharding.ORACLE,
