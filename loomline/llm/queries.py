@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, ngram_lm, sharding, token_files
+from . import decontaminate, langid, mixing, ngram_lm, sharding, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.LIMIT)
 
 
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,9 +36,10 @@ def op9_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op4_hierarchical_mixing, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores)}
 
 ORACLES: dict[str, str] = {
     "op2_extendible_sharding": sharding.ORACLE,
+    "op4_hierarchical_mixing": mixing.ORACLE,
     "op7_winnowing_decontamination": decontaminate.ORACLE,
 }
