@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, ngram_lm, sharding, token_files
+from . import decontaminate, langid, mixing, near_dedup, ngram_lm, sharding, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,11 @@ def op9_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op4_hierarchical_mixing, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores)}
+def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op4_hierarchical_mixing, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores, op10_setsketch_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_extendible_sharding": sharding.ORACLE,
