@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, near_dedup, ngram_lm, sharding, token_files
+from . import ann_graph, decontaminate, langid, mixing, near_dedup, ngram_lm, sharding, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.LIMIT)
 
 
+def op3_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_graph.report(table(spark, sf_dir, "embeddings"))
+
+
 def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op4_hierarchical_mixing, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores, op10_setsketch_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op3_pruned_graph_search, op4_hierarchical_mixing, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores, op10_setsketch_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_extendible_sharding": sharding.ORACLE,
