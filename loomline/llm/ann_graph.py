@@ -27,7 +27,7 @@ from .common import store
 from .near_dedup import _runs
 
 SHARD, QUERY_BLOCK = 4096, 2048
-DEGREE, BEAM_BUILD, BEAM_SEARCH, ALPHA, WIDTH = 32, 64, 96, 1.2, 4
+DEGREE, BEAM_BUILD, BEAM_SEARCH, ALPHA, WIDTH = 32, 64, 128, 1.2, 4
 
 
 def distances(x: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -59,6 +59,7 @@ def beam(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, length: in
         trail.append(step)
         near = np.where((p >= 0)[:, :, None], graph[p], -1).reshape(len(own), -1)
         near.sort(axis=1)
+        near = near[:, (near >= 0).any(0)]
         fresh = near >= 0
         fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
         fresh &= ~seen[r, near]
@@ -122,7 +123,55 @@ def build(x: np.ndarray, degree: int = DEGREE, length: int = BEAM_BUILD, seed: i
                 both = np.concatenate([graph[q[some]], new], 1)
                 for t in range(0, len(some), 512):
                     graph[q[some[t : t + 512]]] = prune(x, q[some[t : t + 512]], both[t : t + 512], alpha, degree)
-    return graph, entry
+    return repaired(x, graph, entry, length), entry
+
+
+def reached(graph: np.ndarray, entry: int) -> np.ndarray:
+    """Which nodes a walk along edges from the entry point reaches."""
+    seen = np.zeros(len(graph), bool)
+    seen[entry] = True
+    front = np.array([entry])
+    while len(front):
+        near = np.unique(graph[front])
+        near = near[near >= 0]
+        front = near[~seen[near]]
+        seen[front] = True
+    return seen
+
+
+def repaired(x: np.ndarray, graph: np.ndarray, entry: int, length: int, least: int = 2, room: int = 8) -> np.ndarray:
+    """The graph with extra edges, so that each node is reached and has ``least`` incoming edges from near nodes.
+
+    A round adds at most ``room`` edges to a node, which bounds the width of the table.
+    """
+    n = len(x)
+    for _ in range(64):
+        lost = ~reached(graph, entry)
+        poor = lost | (np.bincount(graph[graph >= 0], minlength=n) < min(least, n - 1))
+        poor[entry] = False
+        p = np.flatnonzero(poor)
+        if not len(p):
+            break
+        of, to = [], []
+        for s in range(0, len(p), 512):
+            own = p[s : s + 512]
+            near, d, _ = beam(x, graph, entry, x[own], length)
+            near = np.where(near == own[:, None], -1, near)
+            rank = np.cumsum(near >= 0, axis=1)
+            ok = (near >= 0) & (rank <= least)
+            of.append(near[ok])
+            to.append(np.broadcast_to(own[:, None], near.shape)[ok])
+        of, to = np.concatenate(of), np.concatenate(to)
+        by = np.argsort(of, kind="stable")
+        of, to = of[by], to[by]
+        q, first, count = np.unique(of, return_index=True, return_counts=True)
+        k = np.arange(len(of)) - np.repeat(first, count)
+        more = np.full((n, min(room, int(count.max()))), -1)
+        more[of[k < room], k[k < room]] = to[k < room]
+        graph = np.concatenate([graph, more], 1)
+        if not lost.any():
+            break
+    return graph
 
 
 def valid(v: Column) -> Column:
