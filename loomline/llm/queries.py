@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_graph, decontaminate, langid, line_dedup, mixing, near_dedup, ngram_lm, sharding, token_files
+from . import ann_graph, decontaminate, langid, line_dedup, mixing, near_dedup, ngram_lm, sharding, suffix_dedup, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +52,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op3_pruned_graph_search, op4_hierarchical_mixing, op5_fuzzy_line_dedup, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores, op10_setsketch_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_language_id, op2_extendible_sharding, op3_pruned_graph_search, op4_hierarchical_mixing, op5_fuzzy_line_dedup, op6_induced_suffix_dedup, op7_winnowing_decontamination, op8_token_files, op9_kneser_ney_scores, op10_setsketch_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op2_extendible_sharding": sharding.ORACLE,
