@@ -18,10 +18,11 @@ no files and no rows. Other columns take no part.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,9 @@ class Encoder:
 
     PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
     PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſΑ-Ρα-ωА-я‐-‧]*")
-    MOST = 300_000
+    MOST = 800_000
+    #: The same cut for texts of the bytes in SURE, whose only letters, digits and blanks are these.
+    PLAIN_PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^ \t\n\rA-Za-z0-9À-ÖØ-öø-ſ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
     #: Bytes of texts that need no look at PLAIN: printable ASCII, tab and line ends, letters from U+00C0 to U+017F.
     SURE = np.isin(np.arange(256), [9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
 
@@ -126,19 +129,24 @@ class Encoder:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(self.MOST * 2, np.int64), np.zeros(self.MOST * 2, np.int64)
+        self.start, self.size = np.zeros(self.MOST, np.int64), np.zeros(self.MOST, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        for piece, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            k = self.index[piece] = len(self.index)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k >= len(self.start):
-                self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
+        if not new:
+            return
+        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        known, to = len(self.index), self.used + len(flat)
+        while to > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while known + len(new) > len(self.start):
+            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
+        self.index.update(zip(new, range(known, known + len(new)), strict=True))
+        self.flat[self.used : to] = flat
+        own = slice(known, known + len(new))
+        self.start[own], self.size[own] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used = to
 
     def encode(self, texts: list[str], end: int, unsure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end`` after each, and the number of ids of each text.
@@ -148,7 +156,7 @@ class Encoder:
         if len(self.index) > self.MOST:
             self.clear()
         whole = {i for i, t in enumerate(texts) if (unsure is None or unsure[i]) and not self.PLAIN.fullmatch(t) or any(s in t for s in self.special)}
-        cut = [[] if i in whole else self.PIECES.findall(t) for i, t in enumerate(texts)]
+        cut = [[] if i in whole else (self.PIECES if unsure is None or unsure[i] else self.PLAIN_PIECES).findall(t) for i, t in enumerate(texts)]
         get, rest = self.index.get, repeat(-1)
         at = [np.fromiter(map(get, pieces, rest), np.int64, len(pieces)) for pieces in cut]
         gaps = [np.flatnonzero(k < 0).tolist() for k in at]
