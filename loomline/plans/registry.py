@@ -1,4 +1,7 @@
-"""All queries of the reference's operators, and the SQL that each must agree with."""
+"""All queries of the reference's operators, and the SQL that each must agree with.
+
+A plan module declares a query with ``@query(sql)``; importing the modules fills the two tables.
+"""
 
 from __future__ import annotations
 
@@ -6,5 +9,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import log_queries, model_queries, pair_queries, stat_queries, text_queries  # noqa: E402, F401
