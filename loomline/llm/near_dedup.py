@@ -79,21 +79,23 @@ def sketch(h: np.ndarray, offsets: np.ndarray, m: int = REGISTERS) -> np.ndarray
     n = len(offsets) - 1
     least = np.full((n, m), np.inf, "f4")
     of = np.repeat(np.arange(n), np.diff(offsets))
-    first, stride = mix(h, 21), mix(h, 22)
-    first, stride = (first % np.uint64(m)).astype(np.int64), (stride % np.uint64(m - 1)).astype(np.int64) + 1
-    at, level, own = first, 0, np.arange(len(h))
+    at, stride = (mix(h, 21) % np.uint64(m)).astype(np.int64), (mix(h, 22) % np.uint64(m - 1)).astype(np.int64) + 1
+    level, row = 0, of * m
     flat = least.reshape(-1)
-    while len(own) and level < m:
+    while len(h) and level < m:
         for _ in range(1 + level // 4):
             if level == m:
                 break
-            u = (mix(h[own], 1000 + level) >> np.uint64(40)).astype("f4") * np.float32(2.0**-24)
-            np.minimum.at(flat, of[own] * m + at[own], u + np.float32(level))
-            at = at + stride
+            u = (mix(h, 1000 + level) >> np.uint64(40)).astype("f4") * np.float32(2.0**-24)
+            np.minimum.at(flat, row + at, u + np.float32(level))
+            at += stride
             at[at >= m] -= m
             level += 1
-        full = np.isfinite(least).all(1)
-        own = own[~full[of[own]]]
+        some = np.unique(of)
+        wanting = np.zeros(n, bool)
+        wanting[some] = ~np.isfinite(least[some]).all(1)
+        left = wanting[of]
+        h, of, row, at, stride = h[left], of[left], row[left], at[left], stride[left]
     with np.errstate(divide="ignore"):
         x = -np.log1p(-np.minimum(least.astype("f8"), m * (1 - 1e-12)) / m) / RATE
         k = np.floor(1 - np.log(x) / np.log(B))
