@@ -7,16 +7,18 @@ registers are about as likely as the Jaccard similarity J, sketches of parts mer
 document needs only as many intervals as fill its registers.
 
 1. One pass makes (set hash, size, registers) of each document; equal sets become one class.
-2. Bands of registers are hashed to buckets. In each bucket the smallest class is the hub; a member
-   whose J with the hub, estimated jointly by maximum likelihood from the numbers of greater, smaller
-   and equal registers, is plausible joins its family; the rest of the bucket elects another hub.
+2. Bands of registers are hashed to buckets. J is estimated jointly by maximum likelihood from the
+   numbers of greater, smaller and equal registers: for all pairs of a bucket of a few classes, and
+   else of each member with a few hubs, which are drawn by hash. Plausible pairs join a family; members
+   that resemble no hub elect new hubs until none is left.
 3. Members of a family come together with their full sets, in blocks that bound the memory; a large
    family is compared block by block. In a block pair, pairs whose estimate can reach the limit are
    confirmed on full sets in order of their estimate, unless confirmed links connect them already, so a
    block emits no more links than rows, and never all pairs of a group.
 4. Components of the confirmed links.
 
-At the limit of 0.85 a linked pair shares no bucket with probability 3e-6. There is no cap on members
+At J = 0.85 a pair shares none of 41 bands of 8 registers with probability 2e-6; at J = 0.8 none of 47
+bands of 7 with probability 2e-5. There is no cap on members
 of a bucket, a family or a class.
 
 Defined results: null or wordless text has an empty set and links with nothing; fewer than five words
@@ -43,8 +45,8 @@ B = 1.001
 MAX_REGISTER = (1 << 16) - 1
 #: Bounds of a block: rows, and shingles in all.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
-#: Estimates under this do not join a family.
-PLAUSIBLE = 0.4
+#: Members of a bucket that are all compared; beyond, with HUBS hubs at a time, whose estimate joins a family from PLAUSIBLE on.
+FEW, HUBS, PLAUSIBLE = 24, 1, 0.5
 MAX_SENT = 1_000_000
 
 
@@ -147,7 +149,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose estimate is PLAUSIBLE."""
+    """The (a, b) of ``pairs`` (a, b, least) whose estimate is at least ``least``."""
     side = classes.select("rep", "n", "sketch")
     both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
 
@@ -155,25 +157,36 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
             if len(x):
-                ok = pa.array(compare(x, y, t.column("na").to_numpy(), t.column("nb").to_numpy()) >= PLAUSIBLE)
+                ok = pa.array(compare(x, y, t.column("na").to_numpy(), t.column("nb").to_numpy()) >= t.column("least").to_numpy())
                 yield t.select(["a", "b"]).filter(ok)
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "least", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def families(classes: DataFrame, rows: int) -> DataFrame:
+def least_estimate(percent: int) -> float:
+    """An estimate under this is 4.5 deviations under the limit."""
+    limit = percent / 100
+    return limit - 4.5 * (limit * (1 - limit) / REGISTERS) ** 0.5
+
+
+def families(classes: DataFrame, rows: int, percent: int) -> DataFrame:
     """(node, component): families of classes that may link, without those of one class."""
     bands = REGISTERS // rows
     keys = classes.select("rep", F.expr(f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sketch, i * {2 * rows} + 1, {2 * rows}))))").alias("bucket"))
-    left, edges = keys, None
+    left, edges, direct = keys, None, least_estimate(percent)
     while True:
-        hubs = left.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1")
-        members = left.join(hubs.select("bucket", "hub"), "bucket").where("rep <> hub")
-        members = store(members, "near-members")
-        tried = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        hubs = F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(HUBS)]))
+        buckets = left.groupBy("bucket").agg(F.count("*").alias("k"), hubs.alias("hubs")).where("k > 1")
+        members = store(left.join(buckets, "bucket"), "near-members")
+        few, many = members.where(f"k <= {FEW}").select("bucket", "rep"), members.where(f"k > {FEW}")
+        near = few.join(few.toDF("bucket", "b"), "bucket").where("rep < b").select(F.col("rep").alias("a"), "b", F.lit(direct).alias("least"))
+        star = many.select(F.explode("hubs").alias("a"), F.col("rep").alias("b"), F.lit(PLAUSIBLE).alias("least")).where("a <> b")
+        tried = near.union(star).groupBy("a", "b").agg(F.min("least").alias("least"))
         found = store(_plausible(tried, classes), "near-plausible")
         edges = found if edges is None else edges.union(found)
-        left = store(members.join(found, (F.col("hub") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("rep", "bucket"), "near-left")
+        rest = many.where("not array_contains(hubs, rep)")
+        placed = rest.select("bucket", "rep", F.explode("hubs").alias("hub")).join(found.toDF("hub", "rep"), ["hub", "rep"]).select("bucket", "rep").distinct()
+        left = store(rest.select("bucket", "rep").join(placed, ["bucket", "rep"], "left_anti"), "near-left")
         if not left.limit(1).count():
             return components(edges)
 
@@ -208,8 +221,7 @@ def _link(t: pa.Table, percent: int) -> list[tuple[int, int]]:
     raw = t.column("hashes").to_pylist()
     sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
     cut = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0  # two blocks: only pairs across them
-    limit = percent / 100
-    floor = limit - 4.5 * np.sqrt(limit * (1 - limit) / REGISTERS)
+    floor = least_estimate(percent)
     left, right = [], []
     for i in range(cut or len(rep)):
         others = np.arange(cut or i + 1, len(rep))
@@ -246,7 +258,7 @@ def _link(t: pa.Table, percent: int) -> list[tuple[int, int]]:
 
 def links(docs: DataFrame, classes: DataFrame, rows: int, percent: int, key: str, text: str) -> DataFrame:
     """(a, b): confirmed links between classes, enough to connect what is connected."""
-    family = families(classes, rows)
+    family = families(classes, rows, percent)
     sizes = family.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     sizes = store(sizes, "near-family")
     blocks = sizes.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
@@ -276,7 +288,7 @@ def links(docs: DataFrame, classes: DataFrame, rows: int, percent: int, key: str
     return store(units.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def groups(docs: DataFrame, percent: int = 80, rows: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, percent: int = 80, rows: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; rows is the number of registers in a band."""
     all_rows = store(describe(docs, key, text), "near-rows")
     own = all_rows.where("n > 0 and doc_id is not null")
@@ -296,7 +308,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that are not the smallest id of their group; their own columns."""
-    gone = groups(docs, percent, 6, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__k")).distinct()
+    gone = groups(docs, percent, 7, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__k")).distinct()
     left = docs.join(small(gone, MAX_SENT), F.col(key).cast("long") == F.col("__k"), "left_anti")
     twice = docs.groupBy(key).count().where(f"count > 1 and `{key}` is not null").limit(1).count()
     return left.dropDuplicates([key]) if twice else left
