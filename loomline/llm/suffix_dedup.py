@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import scratch_path, store
 from .files import map_arrays, write_arrays
-from .induced import suffix_array
+from .induced import Space, suffix_array
 from .langid import buffers, slices
 from .ngram_lm import by_part
 from .token_files import mix
@@ -45,7 +45,11 @@ from .token_files import mix
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of documents for each shard; suffixes that a range of the alphabet may hold.
-SHARD_BYTES, MEMORY = 6 << 20, 1 << 16
+SHARD_BYTES, MEMORY = 2 << 20, 1 << 16
+#: Bytes of text that a task works on at once, and of snippets or anchors that it gathers before it sends them.
+PIECE, GATHER = 256 << 10, 3 << 20
+#: Bytes of an array that the sorter keeps in memory.
+KEEP = 32 << 20
 _rng = np.random.default_rng(6)
 BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 AT = _rng.integers(0, 1 << 63, (2, 128), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +66,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             h = h[:-k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) + h[k:]
             h ^= h >> np.uint64(29)
     h = mix(h, 41)
-    low = h
+    top = (h >> np.uint64(32)).astype(np.uint32)  # least and greatest are sought on 32 bits; ties only add anchors
+    low = top
     for k in (1, 2, 4, 8, 16):
         low = np.minimum(low[:-k], low[k:])
     low = np.minimum(low[: len(low) - (WINDOW - 32)], low[WINDOW - 32 :])  # least of each window
@@ -71,12 +76,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ok = np.diff(offsets) >= LENGTH
     np.add.at(whole, offsets[:-1][ok], 1)
     np.add.at(whole, offsets[1:][ok] - LENGTH + 1, -1)
-    low = np.where(np.cumsum(whole)[:n] > 0, low, np.uint64(0))
-    high = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)])
+    low = np.where(np.cumsum(whole)[:n] > 0, low, np.uint32(0))
+    high = np.concatenate([np.zeros(WINDOW - 1, np.uint32), low, np.zeros(WINDOW - 1, np.uint32)])
     for k in (1, 2, 4, 8, 16):
         high = np.maximum(high[:-k], high[k:])
     high = np.maximum(high[: len(high) - (WINDOW - 32)], high[WINDOW - 32 :])  # greatest least of the windows around
-    at = np.flatnonzero(h == high)
+    at = np.flatnonzero(top == high)
     return at, h[at], np.searchsorted(offsets, at, "right") - 1
 
 
@@ -91,6 +96,21 @@ def _blocks(part: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
         yield k, slice(edges[k], edges[k + 1])
 
 
+def _by_part(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], kinds: tuple[type, ...]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
+    """The blocks of each part in turn; rows come in order of part, so one part is held at a time."""
+    last, held = None, []
+    for b in batches:
+        part = b.column("part").to_pylist()
+        for i, k in enumerate(part):
+            if k != last and held:
+                yield last, held
+                held = []
+            last = k
+            held.append([np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(columns, kinds, strict=True)])
+    if held:
+        yield last, held
+
+
 def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
@@ -117,10 +137,10 @@ def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([low[own].tobytes()], pa.binary()), pa.array([np.packbits(many[own]).tobytes()], pa.binary())], ["part", "low", "many"])
 
         for whole in batches:
-            for b in slices(whole, "t"):
+            for b in slices(whole, "t", PIECE):
                 _, h, of = anchors(*buffers(b.column("t")))
                 held.append((h, b.column("d").to_numpy()[of]))
-                if sum(len(x[0]) for x in held) > 1_500_000:
+                if sum(len(x[0]) for x in held) > GATHER // 8:
                     yield from flush()
         if held:
             yield from flush()
@@ -146,11 +166,39 @@ def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) ->
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions starts[i] .. starts[i] + sizes[i] - 1 of all i, one after another."""
     to = np.cumsum(sizes)
-    return np.repeat(starts - to + sizes, sizes) + np.arange(to[-1] if len(to) else 0)
+    total = int(to[-1]) if len(to) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 30) else np.int64
+    out = np.repeat((starts - to + sizes).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def content(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each of the strings that lie in ``raw`` one after another."""
+    starts = np.cumsum(size) - size
+    out = np.empty((2, len(size)), np.uint64)
+    for i in range(0, len(size), 10_000):
+        own = slice(i, i + 10_000)
+        body = raw[starts[own][0] : starts[own][-1] + size[own][-1]]
+        first = starts[own] - starts[own][0]
+        within = np.arange(len(body)) - np.repeat(first, size[own])
+        with np.errstate(over="ignore"):
+            for k in (0, 1):
+                out[k, own] = mix(np.add.reduceat(BYTE[body] * AT[k][within], first) + size[own].astype(np.uint64), 50 + k)
+    return out[0], out[1]
+
+
+def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its kind, and of each kind a row; kinds in order of the keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.concatenate([[True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return kind, order[new]
 
 
 def snippets(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text: str) -> DataFrame:
-    """(part, d, pos, size, bytes): blocks of the snippets around repeated anchors."""
+    """(part, d, pos, kind, size, bytes): blocks of the snippets around repeated anchors; ``kind`` counts the block's distinct snippets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[int, np.ndarray] = {}
@@ -160,15 +208,17 @@ def snippets(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text:
             p, d, pos, size, raw = (np.concatenate([x[i] for x in held]) for i in range(5))
             held.clear()
             starts = np.cumsum(size) - size
-            order = np.argsort(p.astype(np.min_scalar_type(parts)), kind="stable")
-            p, d, pos, size, starts = p[order], d[order], pos[order], size[order], starts[order]
-            for x, own in _blocks(p, parts):
-                body = raw[ragged(starts[own], size[own])]
-                cells = [d[own].tobytes(), pos[own].tobytes(), size[own].astype(np.uint8).tobytes(), body.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["part", "d", "pos", "size", "bytes"])
+            kind, heads = distinct([p, *content(raw, size)])  # equal snippets are sent once
+            order = np.argsort(kind, kind="stable")
+            p, d, pos, kind = p[order], d[order], pos[order], kind[order]
+            of_kind = p[np.searchsorted(kind, np.arange(len(heads)))]
+            for (x, own), (_, kinds) in zip(_blocks(p, parts), _blocks(of_kind, parts), strict=True):
+                body = raw[ragged(starts[heads[kinds]], size[heads[kinds]])]
+                cells = [d[own], pos[own], (kind[own] - kinds.start).astype(np.uint32), size[heads[kinds]].astype(np.uint8), body]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "d", "pos", "kind", "size", "bytes"])
 
         for whole in batches:
-            for b in slices(whole, "t"):
+            for b in slices(whole, "t", PIECE):
                 data, offsets = buffers(b.column("t"))
                 at, h, of = anchors(data, offsets)
                 p, low = place(h, parts)
@@ -185,26 +235,21 @@ def snippets(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text:
                 at, of, p = at[hit], of[hit], p[hit]
                 s, e = np.maximum(at - (LENGTH - GRAM), offsets[of]), np.minimum(at + LENGTH, offsets[of + 1])
                 held.append((p, b.column("d").to_numpy()[of], (s - offsets[of]).astype(np.int64), e - s, data[ragged(s, e - s)]))
-                if sum(len(x[4]) for x in held) > 16 << 20:
+                if sum(len(x[4]) for x in held) > GATHER:
                     yield from flush()
         if held:
             yield from flush()
 
-    return _pieces(docs, key, text).mapInArrow(run, "part int, d binary, pos binary, size binary, bytes binary")
+    return _pieces(docs, key, text).mapInArrow(run, "part int, d binary, pos binary, kind binary, size binary, bytes binary")
 
 
-def shard_ranges(d: np.ndarray, pos: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) to remove, of one shard's snippets."""
+def shard_ranges(d: np.ndarray, pos: np.ndarray, sent: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) to remove: occurrences (d, pos) of the snippets ``sent`` of one shard."""
     starts = np.cumsum(size) - size
-    within = np.arange(len(raw)) - np.repeat(starts, size)
-    with np.errstate(over="ignore"):
-        h1, h2 = (mix(np.add.reduceat(BYTE[raw] * AT[k][within], starts) + size.astype(np.uint64), 50 + k) for k in (0, 1))
-    order = np.lexsort((h2, h1))
-    new = np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
-    kind = np.empty(len(size), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    heads = order[new]  # a snippet of each content
-    least = np.minimum.reduceat(d[order], np.flatnonzero(new))
+    of, heads = distinct(list(content(raw, size)))
+    kind = of[sent]
+    least = np.full(len(heads), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, d)
     n = size[heads]
     first = np.cumsum(n + 1) - (n + 1)
     text = np.ones(int((n + 1).sum()) + 1, np.int32)
@@ -212,8 +257,12 @@ def shard_ranges(d: np.ndarray, pos: np.ndarray, size: np.ndarray, raw: np.ndarr
     text[ragged(first, n)] = raw[ragged(starts[heads], n)].astype(np.int32) + 2
     flat = np.zeros(len(text) + LENGTH, np.uint8)
     flat[ragged(first, n)] = raw[ragged(starts[heads], n)]
-    owner = np.repeat(np.arange(len(heads)), n + 1)
-    sa = suffix_array(text, MEMORY)
+    owner = np.repeat(np.arange(len(heads), dtype=np.int32), n + 1)
+    space = Space(KEEP)
+    try:
+        sa = suffix_array(text, MEMORY, space)
+    finally:
+        space.close()
     sa = sa[sa < len(owner)]
     own = owner[sa]
     ok = sa - first[own] <= n[own] - LENGTH
@@ -233,7 +282,7 @@ def shard_ranges(d: np.ndarray, pos: np.ndarray, size: np.ndarray, raw: np.ndarr
     some = ~later & (high[kind] >= 0)
     return (
         np.concatenate([d[later], d[some]]), np.concatenate([pos[later], pos[some] + low[kind[some]]]),
-        np.concatenate([pos[later] + size[later], pos[some] + high[kind[some]] + LENGTH]))
+        np.concatenate([pos[later] + n[kind[later]], pos[some] + high[kind[some]] + LENGTH]))
 
 
 def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,13 +306,12 @@ def ranges(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text
     paths = repeated(docs, out_dir, parts, key, text)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for b in batches:
-            for k, *cells in zip(*(b.column(c).to_pylist() for c in ("part", "d", "pos", "size", "bytes")), strict=True):
-                found.setdefault(k, []).append([np.frombuffer(x, t) for x, t in zip(cells, (np.int64, np.int64, np.uint8, np.uint8), strict=True)])
-        for k in list(found):
-            d, pos, size, raw = (np.concatenate(x) for x in zip(*found.pop(k), strict=True))
-            d, s, e = merged(*shard_ranges(d, pos, size.astype(np.int64), raw))
+        for k, blocks in _by_part(batches, ("d", "pos", "kind", "size", "bytes"), (np.int64, np.int64, np.uint32, np.uint8, np.uint8)):
+            shift = np.cumsum([0, *(len(x[3]) for x in blocks)])
+            sent = np.concatenate([x[2].astype(np.int64) + m for x, m in zip(blocks, shift, strict=False)])
+            d, pos, size, raw = (np.concatenate([x[i] for x in blocks]) for i in (0, 1, 3, 4))
+            blocks.clear()
+            d, s, e = merged(*shard_ranges(d, pos, sent, size.astype(np.int64), raw))
             p = by_part(mix(d.view(np.uint64), 60), parts)
             order = np.argsort(p, kind="stable")
             d, s, e = d[order], s[order], e[order]
@@ -271,17 +319,13 @@ def ranges(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([a[own].tobytes()], pa.binary()) for a in (d, s.astype(np.int64), (e - s).astype(np.int64)))], ["part", "d", "s", "n"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for b in batches:
-            for k, *cells in zip(*(b.column(c).to_pylist() for c in ("part", "d", "s", "n")), strict=True):
-                found.setdefault(k, []).append([np.frombuffer(x, np.int64) for x in cells])
-        for k in list(found):
-            d, s, n = (np.concatenate(x) for x in zip(*found.pop(k), strict=True))
+        for k, blocks in _by_part(batches, ("d", "s", "n"), (np.int64,) * 3):
+            d, s, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
             write_arrays(path := f"{out_dir}/ranges-{k:05d}-{uuid.uuid4().hex[:12]}", list(merged(d, s, s + n)))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([path])], ["part", "path"])
 
-    shards = snippets(docs, paths, parts, key, text).repartition(parts, "part").mapInArrow(sort, "part int, d binary, s binary, n binary")
-    done = store(store(shards, "ranges").repartition(parts, "part").mapInArrow(finish, "part int, path string"), "range-files")
+    shards = snippets(docs, paths, parts, key, text).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sort, "part int, d binary, s binary, n binary")
+    done = store(store(shards, "ranges").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(finish, "part int, path string"), "range-files")
     return {r["part"]: r["path"] for r in done.collect()}, parts
 
 
@@ -295,7 +339,7 @@ def cut(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[int, list[np.ndarray]] = {}
         for whole in batches:
-            for b in slices(whole, "__t"):
+            for b in slices(whole, "__t", 2 * PIECE):
                 data, offsets = buffers(b.column("__t"))
                 ids = b.column("__d").fill_null(0).to_numpy()
                 known = ~b.column("__d").is_null().to_numpy(zero_copy_only=False)
