@@ -137,6 +137,33 @@ def test_line_dedup(spark, empty):
     assert set(line_dedup.dedup(d).columns) == set(d.columns)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_line_dedup_links_lines_with_one_edit(spark):
+    own = np.random.default_rng(9)
+    vocabulary = ["".join("abcdefghijklmnopqrstuvwxyz"[x] for x in own.integers(0, 26, own.integers(2, 9))) for _ in range(400)]
+    rows, wanted = [(1000, "housekeeper"), (1001, "housekeepers"), (1002, "north gate"), (1003, "north gape"), (1004, "unlike")], [1001, 1003]
+    for n in range(5, 41):
+        for edit in range(4):
+            a = [vocabulary[i] for i in own.integers(0, 400, n)]
+            at, other = int(own.integers(0, n)), vocabulary[own.integers(0, 400)]
+            b = [a[:at] + [other] + a[at + 1 :], a[:at] + [other] + a[at:], a[:at] + a[at + 1 :], a[:at] + [a[at] + "x"] + a[at + 1 :]][edit]
+            a, b, d = " ".join(a), " ".join(b), 2000 + 2 * len(rows)
+            rows += [(d, a), (d + 1, b)]
+            if edits(a, b) <= 0.2 * max(len(a), len(b)):
+                wanted.append(d + 1)
+    assert len(wanted) > 120
+    got = {r.doc_id for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.removed_lines}
+    assert got <= set(wanted) and len(got) >= 0.99 * len(wanted), (len(got), len(wanted))
+
+
 def simhash(line):
     import xxhash
 
