@@ -57,7 +57,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     with np.errstate(over="ignore"):
         h = np.zeros(len(t), np.uint64)
         for k in range(SHINGLE):
-            h[: len(t) - k] = mix(h[: len(t) - k] * np.uint64(0x9E3779B97F4A7C15) + t[k:], 11)
+            n = max(len(t) - k, 0)  # a batch may hold fewer words
+            h[:n] = mix(h[:n] * np.uint64(0x9E3779B97F4A7C15) + t[k:], 11)
     out, sizes = [], np.zeros(len(counts), np.int64)
     for i in range(len(counts)):
         words = int(counts[i]) - 1  # without the end
@@ -307,8 +308,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that are not the smallest id of their group; their own columns."""
-    gone = groups(docs, percent, 7, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__k")).distinct()
-    left = docs.join(small(gone, MAX_SENT), F.col(key).cast("long") == F.col("__k"), "left_anti")
-    twice = docs.groupBy(key).count().where(f"count > 1 and `{key}` is not null").limit(1).count()
-    return left.dropDuplicates([key]) if twice else left
+    """The rows of ``docs`` without those that are not of the smallest id of their group; their own columns.
+
+    Where ids repeat, rows of an id with different texts are judged apart; of those that repeat an id and an
+    empty set one stays."""
+    if not docs.groupBy(key).count().where(f"count > 1 and `{key}` is not null").limit(1).count():
+        gone = groups(docs, percent, 7, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__k")).distinct()
+        return docs.join(small(gone, MAX_SENT), F.col(key).cast("long") == F.col("__k"), "left_anti")
+    own = F.col(key).cast("long")
+    marked = docs.withColumn("__node", F.when(F.col(key).isNotNull(), F.xxhash64(own, F.col(text))))
+    named = marked.where("__node is not null")
+    ids = named.select("__node", own.alias("__id")).distinct()
+    found = groups(named, percent, 7, "__node", text).select(F.col("doc_id").alias("__node"), (F.col("n_shingles") > 0).alias("full"), "component_id").distinct()
+    team = found.join(ids, "__node").groupBy("full", F.when(F.col("full"), F.col("component_id")).otherwise(F.col("__id")).alias("team"))
+    stay = store(team.agg(F.min(F.struct("__id", "__node")).alias("first")).select(F.col("first.__node").alias("__node")), "near-stay")
+    left = named.join(stay, "__node", "left_semi").dropDuplicates(["__node"])
+    return left.unionByName(marked.where("__node is null")).select(*[f"`{c}`" for c in docs.columns])

@@ -306,3 +306,12 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.report(empty).count() == 0
     kept = [r.doc_id for r in near_dedup.keep_one(docs, percent=85).collect()]
     assert sorted(x for x in kept if x is not None) == sorted(d for d in group if group[d] == d)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (3, d.upper()), (4, ""), (4, None), (5, ""), (6, c + " end"), (None, a), (None, a), (None, e), (None, None)]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((r.doc_id, (r.text or "").lower()) for r in got if r.doc_id is not None)
+    assert kept == [(1, a), (2, b), (3, c), (3, d), (4, ""), (5, "")]
+    assert sorted(r.text or "" for r in got if r.doc_id is None) == ["", a, a, e]
