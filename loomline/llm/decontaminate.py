@@ -59,10 +59,13 @@ def fingerprints(df: DataFrame, text: str, lengths: list[int]) -> DataFrame:
     return out.select(*[c for c in df.columns if c != text], F.size("hw").alias("n_words"), "fps")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, items): words of each row inside benchmark windows, and the items found, sorted as text."""
-    d = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    d = d.withColumn("th", F.xxhash64("t"))
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, t, th) of each row; k and th, the hash of its text, tell rows apart that share an id or have none."""
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("th", F.xxhash64("t"))
+
+
+def found_in(d: DataFrame, benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(k4, th4, n_words, n_hit, items) of each distinct (k, th) of ``d``."""
     b = store(benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("ws")).where("size(ws) > 0"), "items")
     n = F.least(F.size("ws"), F.lit(SPAN))
     lengths = sorted(x[0] for x in b.select(n.alias("n")).distinct().collect())
@@ -93,7 +96,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         inside = inside.select("k", "th", F.expr(covered).alias("n_hit"), "items").withColumnsRenamed({"k": "k3", "th": "th3"})
         out = seen.join(inside, F.col("k").eqNullSafe(F.col("k3")) & F.col("th").eqNullSafe(F.col("th3")), "left").select(
             "k", "th", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    out = out.withColumnsRenamed({"k": "k4", "th": "th4"})
+    return out.withColumnsRenamed({"k": "k4", "th": "th4"})
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, n_words, n_hit, items): words of each row inside benchmark windows, and the items found, sorted as text."""
+    d = keyed(docs, key, text)
+    out = found_in(d, benchmark, item, item_text)
     return d.select("k", "th").join(out, F.col("k").eqNullSafe(F.col("k4")) & F.col("th").eqNullSafe(F.col("th4"))).select(F.col("k").alias(key), "n_words", "n_hit", "items")
 
 
@@ -105,10 +114,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a word inside a benchmark window; all their columns."""
-    bad = hits(docs, benchmark, key).where("n_hit > 0").select(F.col(key).alias("__k")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__k")), "left_anti")
+    bad = found_in(keyed(docs, key, text), benchmark).where("n_hit > 0").select(F.col("k4").alias("__k"), F.col("th4").alias("__th"))
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("__k")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("__th")), "left_anti")
 
 
 ORACLE = r"""

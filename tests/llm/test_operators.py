@@ -234,6 +234,17 @@ def test_decontamination(spark, docs, empty):
     assert not decontaminate.report(docs, bench.where("item_id = 3")).where("contaminated").count()
 
 
+def test_decontamination_keeps_clean_rows_of_a_repeated_or_null_id(spark):
+    window = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, window)], "item_id long, text string")
+    rows = [(1, window), (1, "clean text"), (2, "x " + window), (2, None), (None, window), (None, "other clean text"), (None, None), (3, "clean text"), (3, "clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit("c"))
+    got = decontaminate.clean(docs, bench)
+    assert got.columns == docs.columns
+    left = [r for r in rows if window not in (r[1] or "")]
+    assert sorted(map(repr, left)) == sorted(repr((r.doc_id, r.text)) for r in got.collect())
+
+
 def test_perfect_hash():
     ids = rng.integers(-(1 << 62), 1 << 62, 5000)
     h = token_files.PerfectHash.build(ids, np.zeros(5000, np.int64))
