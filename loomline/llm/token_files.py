@@ -18,15 +18,13 @@ no files and no rows. Other columns take no part.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,76 +102,181 @@ class Encoder:
     """Ids of whole texts, equal to the tokenizers library's on every text.
 
     A byte-level BPE without a normalizer cuts a text into pieces and encodes each by itself, so each
-    distinct piece is encoded by the library once and remembered. Only texts of characters on whose
-    classes all regex engines agree go that way, and none that spells an added token; the library
-    encodes any other whole.
+    distinct piece is encoded by the library once and remembered. Texts of printable ASCII, tab, line ends and the letters
+    from U+00C0 to U+017F (on which all regex engines agree) are cut here, a whole batch of them at once; the
+    library encodes any other text, and any that spells an added token, whole.
+
+    Known pieces lie in an open hash table. A piece of up to 8 bytes is its own key; a longer one is compared
+    by a 64-bit hash, its first 8 bytes and its length.
     """
 
-    PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-    PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſΑ-Ρα-ωА-я‐-‧]*")
-    MOST = 800_000
-    #: The same cut for texts of the bytes in SURE, whose only letters, digits and blanks are these.
-    PLAIN_PIECES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^ \t\n\rA-Za-z0-9À-ÖØ-öø-ſ]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-    #: Bytes of texts that need no look at PLAIN: printable ASCII, tab and line ends, letters from U+00C0 to U+017F.
-    SURE = np.isin(np.arange(256), [9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+    MOST, SLOTS, LONGEST = 800_000, 21, 256
+    #: Kinds of bytes: 1 letter, 2 digit, 3 blank, 4 other white space, 5 the rest, 0 not cut here.
+    KIND = np.zeros(256, np.uint8)
+    KIND[0x21:0x7F] = 5
+    KIND[[ord("\t"), ord("\n"), ord("\r")]] = 4
+    KIND[ord(" ")] = 3
+    KIND[ord("0") : ord("9") + 1] = 2
+    for _a, _b in ((ord("A"), ord("Z")), (ord("a"), ord("z")), (0x80, 0xBF), (0xC3, 0xC5)):
+        KIND[_a : _b + 1] = 1
+    MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.slots, self.at, self.known = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32), 0
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(self.MOST, np.int64), np.zeros(self.MOST, np.int64)
+        self.start, self.size, self.head, self.length = (np.zeros(1 << 16, t) for t in (np.int64, np.int64, np.uint64, np.int64))
 
-    def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        known, to = len(self.index), self.used + len(flat)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _keep(self, flat: np.ndarray, sizes: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces with these ids, sizes, first bytes and lengths."""
+        to, n = self.used + len(flat), self.known + len(sizes)
         while to > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(new) > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-        self.index.update(zip(new, range(known, known + len(new)), strict=True))
+        while n > len(self.start):
+            self.start, self.size, self.head, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size, self.head, self.length))
         self.flat[self.used : to] = flat
-        own = slice(known, known + len(new))
-        self.start[own], self.size[own] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used = to
+        own = slice(self.known, n)
+        self.start[own], self.size[own], self.head[own], self.length[own] = self.used + np.cumsum(sizes) - sizes, sizes, head, length
+        self.used, self.known = to, n
+        return np.arange(own.start, n)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The number of the piece of each key, -1 where it isn't known."""
+        out, todo, mask = np.full(len(key), -1, np.int64), np.arange(len(key)), (1 << self.SLOTS) - 1
+        pos = (key >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        while len(todo):
+            there = self.slots[pos]
+            hit = there == key[todo]
+            out[todo[hit]] = self.at[pos[hit]]
+            on = ~hit & (there != 0)
+            todo, pos = todo[on], pos[on] + 1 & mask
+        return out
+
+    def _insert(self, key: np.ndarray, number: np.ndarray) -> None:
+        pos, mask = (key >> np.uint64(64 - self.SLOTS)).astype(np.int64), (1 << self.SLOTS) - 1
+        while len(key):
+            free = np.flatnonzero(self.slots[pos] == 0)
+            _, first = np.unique(pos[free], return_index=True)
+            own = free[first]
+            self.slots[pos[own]], self.at[pos[own]] = key[own], number[own]
+            left = np.ones(len(key), bool)
+            left[own] = False
+            key, number, pos = key[left], number[left], pos[left]
+            pos = np.where(self.slots[pos] == 0, pos, pos + 1 & mask)
 
-    def encode(self, texts: list[str], end: int, unsure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, ``end`` after each, and the number of ids of each text.
+    @classmethod
+    def cuts(cls, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts begin.
 
-        unsure: texts that may hold other characters than those of PLAIN; by default all.
+        Words, numbers and runs of other signs take one blank before them along; of longer white space the last character
+        is parted from the others; after an apostrophe that begins a piece s, t, m, d, re, ve and ll end it.
         """
-        if len(self.index) > self.MOST:
+        n, kind = len(data), cls.KIND[data]
+        sign = np.flatnonzero(data[:-1] == 0xC3) if n > 1 else np.zeros(0, np.int64)
+        sign = sign[(data[sign + 1] == 0x97) | (data[sign + 1] == 0xB7)]  # the signs for times and divided by
+        kind[sign] = kind[sign + 1] = 5
+        white, blank = (kind == 3) | (kind == 4), kind == 3
+        kind[white] = 3
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        start = edge[:n].copy()
+        inner = ~edge[1:n]
+        start[1:] |= inner & (kind[1:] != kind[:-1]) & ~(blank[:-1] & ~white[1:])
+        start[:-1] |= inner & white[:-1] & ~white[1:]
+        at = np.flatnonzero(start & (data == ord("'")))
+        if len(at):
+            end = offsets[np.searchsorted(offsets, at, "right")]
+            one, two = (np.where(at + k < end, data[np.minimum(at + k, n - 1)], 0) for k in (1, 2))
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            start[at[short | long] + 1] = False
+            for some, k in ((short, 2), (long, 3)):
+                after = at[some] + k
+                start[after[after < end[some]]] = True
+        return np.flatnonzero(start)
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts of bytes that have a kind, ``end`` after each, and the number of ids of each."""
+        s = self.cuts(data, offsets)
+        e = np.append(s[1:], len(data))
+        size = e - s
+        words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+        head = words[s] & self.MASK[np.minimum(size, 8)]
+        key = mix(head, 61)
+        more, k = np.flatnonzero((size > 8) & (size <= self.LONGEST)), 8
+        while len(more):
+            with np.errstate(over="ignore"):
+                key[more] = mix(key[more] * np.uint64(0x9E3779B97F4A7C15) + (words[s[more] + k] & self.MASK[np.minimum(size[more] - k, 8)]), 62)
+            k += 8
+            more = more[size[more] > k]
+        key[key == 0] = 1
+        if self.known > self.MOST:
             self.clear()
-        whole = {i for i, t in enumerate(texts) if (unsure is None or unsure[i]) and not self.PLAIN.fullmatch(t) or any(s in t for s in self.special)}
-        cut = [[] if i in whole else (self.PIECES if unsure is None or unsure[i] else self.PLAIN_PIECES).findall(t) for i, t in enumerate(texts)]
-        get, rest = self.index.get, repeat(-1)
-        at = [np.fromiter(map(get, pieces, rest), np.int64, len(pieces)) for pieces in cut]
-        gaps = [np.flatnonzero(k < 0).tolist() for k in at]
-        self._learn(list({pieces[j] for pieces, gap in zip(cut, gaps, strict=True) for j in gap}))
-        out, counts = [], []
-        for i, (pieces, k, gap) in enumerate(zip(cut, at, gaps, strict=True)):
-            if i in whole:
-                ids = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-            else:
-                if gap:
-                    k[gap] = [self.index[pieces[j]] for j in gap]
-                n = self.size[k]
-                to = np.cumsum(n)
-                ids = self.flat[np.repeat(self.start[k] - to + n, n) + np.arange(to[-1])] if len(k) else np.zeros(0, np.uint32)
-            out += [ids, np.array([end], np.uint32)]
-            counts.append(len(ids) + 1)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(counts, np.int64)
+        number = self._find(key)
+        known = np.flatnonzero(number >= 0)
+        clash = known[(self.head[number[known]] != head[known]) | (self.length[number[known]] != size[known])]
+        number[clash] = -2
+        number[size > self.LONGEST] = -2
+        new = np.flatnonzero(number == -1)
+        if len(new):
+            keys, first, of = np.unique(key[new], return_index=True, return_inverse=True)
+            own = new[first]
+            alike = (head[new] == head[own][of]) & (size[new] == size[own][of])
+            raw = data.tobytes()
+            made = self._keep(*self._ids([raw[a:b].decode() for a, b in zip(s[own].tolist(), e[own].tolist(), strict=True)]), head[own], size[own])
+            self._insert(keys, made)
+            number[new] = np.where(alike, made[of], -2)
+        odd = np.flatnonzero(number == -2)
+        if len(odd):  # pieces too long to keep, or whose key is another's
+            number[odd] = self._keep(*self._ids([data[a:b].tobytes().decode() for a, b in zip(s[odd].tolist(), e[odd].tolist(), strict=True)]), head[odd], np.int64(0))
+        n, of = self.size[number], np.searchsorted(offsets, s, "right") - 1
+        counts = np.bincount(of, n, len(offsets) - 1).astype(np.int64) + 1
+        to = np.cumsum(n)
+        total = int(to[-1]) if len(to) else 0
+        out = np.full(total + len(counts), end, np.uint32)
+        shift = np.repeat(of, n)
+        out[np.arange(total) + shift] = self.flat[np.repeat(self.start[number] - to + n, n) + np.arange(total)]
+        return out, counts
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts that lie in ``data`` between ``offsets``, ``end`` after each, and the number of ids of each text."""
+        odd = np.concatenate([[0], np.cumsum(self.KIND[data] == 0)])
+        whole = odd[offsets[1:]] > odd[offsets[:-1]]
+        raw = data.tobytes()
+        for x in self.special:
+            at = raw.find(x)
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(x, at + 1)
+        if not whole.any():
+            return self._plain(data, offsets, end)
+        some = np.flatnonzero(~whole)
+        size = np.diff(offsets)
+        inside = np.repeat(~whole, size)
+        ids, counts = self._plain(data[inside], np.concatenate([[0], np.cumsum(size[some])]), end)
+        texts = [raw[offsets[i] : offsets[i + 1]].decode() for i in np.flatnonzero(whole).tolist()]
+        rest, n = self._ids(texts)
+        parts = [np.append(x, np.uint32(end)) for x in np.split(rest, np.cumsum(n)[:-1])]
+        flat, all_counts = np.concatenate([ids, *parts]), np.zeros(len(size), np.int64)
+        all_counts[some], all_counts[whole] = counts, n + 1
+        starts = np.zeros(len(size), np.int64)
+        starts[some] = np.cumsum(counts) - counts
+        starts[whole] = len(ids) + np.cumsum(n + 1) - (n + 1)
+        to = np.cumsum(all_counts)
+        return flat[np.repeat(starts - to + all_counts, all_counts) + np.arange(int(to[-1]))], all_counts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -209,8 +312,7 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 2, key: str
                     disk.create_dir(path.rpartition("/")[0], recursive=True)
                     stream = disk.open_output_stream(path)
                 data, offsets = buffers(b.column("t"))
-                odd = np.concatenate([[0], np.cumsum(~Encoder.SURE[data])])
-                ids, n = enc.encode([x.decode() for x in b.column("t").to_pylist()], end, odd[offsets[1:]] > odd[offsets[:-1]])
+                ids, n = enc.encode(data, offsets, end)
                 stream.write(ids.astype(dtype).tobytes())
                 keys.append(b.column("doc_id").fill_null(EMPTY_KEY).to_numpy())
                 counts.append(n)
