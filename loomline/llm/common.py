@@ -41,33 +41,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes, as JSON, that a table may have to be sent to every executor.
+SENT_BYTES = 48 << 20
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for ``df`` only when it is proven to hold at most ``max_rows`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """Broadcast hint for ``df`` only when it is proven to hold at most ``max_rows`` rows and SENT_BYTES bytes."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and total <= SENT_BYTES else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component = smallest node.
 
-    ``edges`` has long columns (a, b). Nodes without an edge do not appear. Each round takes the
-    smallest label among a node's neighbours and then jumps to the label of that label, so that
-    chains halve; labels are written to the shared folder each round.
+    ``edges`` has long columns (a, b). Nodes without an edge to another do not appear. Each round every node moves to that of
+    itself and its neighbours whose hash, another one each round, is least, and the edges are contracted along;
+    chains shrink by a constant factor whatever their numbering, and stars vanish in two rounds. The rounds'
+    pointers are then followed back. All steps are sums and joins that Spark may split where a node has
+    very many edges.
     """
-    both = store(
-        edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(max_rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        lowered = labels.join(heard, "node").select("node", F.least("component", "m").alias("component"))
-        lowered = store(lowered, "heard")
-        jump = lowered.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        fresh = store(lowered.join(jump, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
-        changed = fresh.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = fresh
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    steps: list[DataFrame] = []
+    while not steps or left.limit(1).count():
+        if len(steps) > max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        drawn = lambda c, r=len(steps): F.struct(F.xxhash64(c, F.lit(r)).alias("h"), F.col(c).alias("id"))
+        near = left.union(left.select("b", "a")).groupBy("a").agg(F.min(drawn("b")).alias("m"))
+        step = store(near.select(F.col("a").alias("v"), F.least(drawn("a"), "m")["id"].alias("to")), "steps")
+        steps.append(step)
+        moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        left = store(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    out = steps[0].toDF("node", "root")
+    for step in steps[1:]:
+        out = out.join(step.toDF("root", "__to"), "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+    out = store(out, "roots")
+    return out.join(out.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")

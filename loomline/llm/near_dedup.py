@@ -6,28 +6,30 @@ exponentially distributed and drawn in ascending intervals, in an order of regis
 registers are about as likely as the Jaccard similarity J, sketches of parts merge by maximum, and a
 document needs only as many intervals as fill its registers.
 
-1. One pass makes (set hash, size, registers) of each document; equal sets become one class.
-2. Bands of registers are hashed to buckets. J is estimated jointly by maximum likelihood from the
-   numbers of greater, smaller and equal registers: for all pairs of a bucket of a few classes, and
-   else of each member with a few hubs, which are drawn by hash. Plausible pairs join a family; members
-   that resemble no hub elect new hubs until none is left.
-3. Members of a family come together with their full sets, in blocks that bound the memory; a large
-   family is compared block by block. In a block pair, pairs whose estimate can reach the limit are
-   confirmed on full sets in order of their estimate, unless confirmed links connect them already, so a
-   block emits no more links than rows, and never all pairs of a group.
+1. One pass makes (set hash, size, band hashes, low bytes of 126 registers) of each document; equal sets become one class.
+2. Bands of six registers are buckets. Each member of a bucket meets only the bucket's hub, its smallest
+   class, and a pair that meets in many bands is tried once, so the work is linear in the members. Members that agree
+   with the hub in HIGH of the 126 bytes leave the bucket, those that agree in fewer, down to a bound, join its family
+   but stay, and the rest elect the next hub. By the triangle inequality of 1 - J the bound is so low that
+   two classes that link cannot be parted by this (to 4.5 deviations), whatever the size of the bucket.
+3. Members of a family come together with their full sets and registers, in blocks that bound the memory. In a block J
+   is estimated jointly by maximum likelihood from the numbers of greater, smaller and equal registers, and pairs whose
+   estimate can reach the limit are confirmed on full sets in order of their estimate, unless confirmed links
+   connect them already: a block emits no more links than rows. A family of several blocks sends its most central
+   members (those in the largest buckets) to every block. Only members that this leaves outside the family's
+   largest component are then compared with its other blocks.
 4. Components of the confirmed links.
 
-At J = 0.85 a pair shares none of 41 bands of 8 registers with probability 2e-6; at J = 0.8 none of 47
-bands of 7 with probability 2e-5. There is no cap on members
-of a bucket, a family or a class.
+A pair at the limit shares no band with a probability of 2e-6. There is no cap on members of a bucket, a family or a class.
 
 Defined results: null or wordless text has an empty set and links with nothing; fewer than five words
 are one shingle; repeated rows are copies; rows that share an id are one node; a row without id is
-kept and has no component; an empty table gives no rows. Other columns take no part.
+kept, links with nothing and has no component; an empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +45,20 @@ from .token_files import mix
 SHINGLE, REGISTERS, RATE = 5, 331, 20.0
 B = 1.001
 MAX_REGISTER = (1 << 16) - 1
-#: Bounds of a block: rows, and shingles in all.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
-#: Members of a bucket that are all compared; beyond, with HUBS hubs at a time, whose estimate joins a family from PLAUSIBLE on.
-FEW, HUBS, PLAUSIBLE = 24, 1, 0.5
+#: Registers in a band, and the probability that a pair at the limit shares none.
+ROWS, MISS = 6, 2e-6
+#: Registers whose low bytes are compared to place a class with a hub, seven to a long; the share of equal ones with which it leaves the bucket.
+SIGNS, HIGH = 126, 0.55
+#: Bounds of a block: rows, and shingles in all. Central members that are sent to all blocks of a family.
+BLOCK_ROWS, BLOCK_SHINGLES, CENTRAL = 1024, 400_000, 8
 MAX_SENT = 1_000_000
 
 
+def bands_for(percent: int) -> int:
+    """Bands of ROWS registers."""
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one text after another, and the offsets of the texts in them."""
     t, counts = tokens(data, offsets)
@@ -128,9 +137,27 @@ def compare(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.
     return estimate((x == y).sum(1), (x > y).sum(1), (x < y).sum(1), nx.astype("f8"), ny.astype("f8"))
 
 
-def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, n, h1, h2, sketch) of each row."""
+def band_hashes(k: np.ndarray, bands: int) -> np.ndarray:
+    """A hash [sets, bands] of each band of ROWS registers."""
+    x = k[:, : bands * ROWS].reshape(len(k), bands, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(k), bands))
+    with np.errstate(over="ignore"):
+        for j in range(ROWS):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[:, :, j], 70)
+    return h
+
+
+def signs(k: np.ndarray) -> np.ndarray:
+    """The low bytes of the first SIGNS registers, seven to a long [sets, SIGNS / 7]."""
+    out = np.zeros((len(k), SIGNS // 7, 8), np.uint8)
+    out[:, :, :7] = k[:, :SIGNS].astype(np.uint8).reshape(len(k), -1, 7)
+    return out.view(np.int64)[:, :, 0]
+
+
+def describe(docs: DataFrame, key: str, text: str, bands: int) -> DataFrame:
+    """(doc_id, n, h1, h2, b0.., s0..) of each row: size and hashes of the set, band hashes, low bytes of registers."""
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    names = ["doc_id", "n", "h1", "h2", *(f"b{i}" for i in range(bands)), *(f"s{i}" for i in range(SIGNS // 7))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -143,25 +170,10 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                     s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h, seed), dtype=np.uint64)])
                     with np.errstate(over="ignore"):
                         sums.append((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64))
-                packed = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((np.arange(len(k) + 1) * (2 * REGISTERS)).astype(np.int32)), pa.py_buffer(k.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *map(pa.array, sums), packed], ["doc_id", "n", "h1", "h2", "sketch"])
-
-    return src.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
-
+                columns = [*band_hashes(k, bands).view(np.int64).T, *signs(k).T]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in (*sums, *columns))], names)
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` (a, b, least) whose estimate is at least ``least``."""
-    side = classes.select("rep", "n", "sketch")
-    both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            if len(x):
-                ok = pa.array(compare(x, y, t.column("na").to_numpy(), t.column("nb").to_numpy()) >= t.column("least").to_numpy())
-                yield t.select(["a", "b"]).filter(ok)
-
-    return both.select("a", "b", "least", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return src.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def least_estimate(percent: int) -> float:
@@ -170,26 +182,29 @@ def least_estimate(percent: int) -> float:
     return limit - 4.5 * (limit * (1 - limit) / REGISTERS) ** 0.5
 
 
-def families(classes: DataFrame, rows: int, percent: int) -> DataFrame:
-    """(node, component): families of classes that may link, without those of one class."""
-    bands = REGISTERS // rows
-    keys = classes.select("rep", F.expr(f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sketch, i * {2 * rows} + 1, {2 * rows}))))").alias("bucket"))
-    left, edges, direct = keys, None, least_estimate(percent)
+def families(classes: DataFrame, bands: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, component): families of classes that may link, without those of one class; and (rep, weight), how central each is."""
+    sign = [f"s{i}" for i in range(SIGNS // 7)]
+    side = classes.select("rep", *sign)
+    left = classes.select("rep", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("bucket"))
+    apart = " + ".join(f"bit_count(((((x.{c} ^ y.{c}) & {0x7F7F7F7F7F7F7F}L) + {0x7F7F7F7F7F7F7F}L) | (x.{c} ^ y.{c})) & {0x80808080808080}L)" for c in sign)
+    loss = 1 - percent / 100
+    low = HIGH - loss - 4.5 * (loss / SIGNS) ** 0.5
+    edges = weights = None
     while True:
-        hubs = F.array_distinct(F.array(*[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(HUBS)]))
-        buckets = left.groupBy("bucket").agg(F.count("*").alias("k"), hubs.alias("hubs")).where("k > 1")
-        members = store(left.join(buckets, "bucket"), "near-members")
-        few, many = members.where(f"k <= {FEW}").select("bucket", "rep"), members.where(f"k > {FEW}")
-        near = few.join(few.toDF("bucket", "b"), "bucket").where("rep < b").select(F.col("rep").alias("a"), "b", F.lit(direct).alias("least"))
-        star = many.select(F.explode("hubs").alias("a"), F.col("rep").alias("b"), F.lit(PLAUSIBLE).alias("least")).where("a <> b")
-        tried = near.union(star).groupBy("a", "b").agg(F.min("least").alias("least"))
-        found = store(_plausible(tried, classes), "near-plausible")
-        edges = found if edges is None else edges.union(found)
-        rest = many.where("not array_contains(hubs, rep)")
-        placed = rest.select("bucket", "rep", F.explode("hubs").alias("hub")).join(found.toDF("hub", "rep"), ["hub", "rep"]).select("bucket", "rep").distinct()
-        left = store(rest.select("bucket", "rep").join(placed, ["bucket", "rep"], "left_anti"), "near-left")
-        if not left.limit(1).count():
-            return components(edges)
+        buckets = left.groupBy("bucket").agg(F.count("*").alias("k"), F.min("rep").alias("hub")).where("k > 1")
+        members = store(left.join(buckets, "bucket").where("rep <> hub"), "near-members")
+        if weights is None:
+            weights = members.groupBy("rep").agg(F.sum("k").alias("w")).union(members.groupBy("hub", "bucket").agg(F.max("k").alias("w")).groupBy("hub").agg(F.sum("w").alias("w")))
+            weights = weights.groupBy("rep").agg(F.sum("w").alias("weight"))
+        elif not members.limit(1).count():
+            return components(edges), weights
+        tried = members.select("hub", "rep").distinct()
+        tried = tried.join(side.select(F.col("rep").alias("hub"), F.struct(*sign).alias("x")), "hub").join(side.select("rep", F.struct(*sign).alias("y")), "rep")
+        found = store(tried.select("hub", "rep", F.expr(f"{SIGNS} - ({apart})").alias("same")).where(f"same >= {low * SIGNS:.3f}"), "near-plausible")
+        own = found.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        edges = own if edges is None else edges.union(own)
+        left = members.join(found.where(f"same >= {HIGH * SIGNS:.3f}").select("hub", "rep"), ["hub", "rep"], "left_anti").select("rep", "bucket")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
@@ -213,20 +228,29 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.
 
 
 def _link(t: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links that connect the rows of one block pair as far as links do."""
+    """Confirmed links that connect the rows of one unit as far as links do.
+
+    Rows of kind 0 are compared with one another; rows of kind 1 with those of kind 2, where their labels differ."""
     t = t.combine_chunks()
-    rep, n, block = (t.column(c).to_numpy() for c in ("rep", "n", "block"))
-    order = np.argsort(block, kind="stable")
-    rep, n, block = rep[order], n[order], block[order]
-    k = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)[order]
+    rep, n, kind, label = (t.column(c).to_numpy() for c in ("rep", "n", "kind", "label"))
     raw = t.column("hashes").to_pylist()
+    head = np.array([np.frombuffer(x, np.int64, 1)[0] for x in raw])
+    _, order = np.unique(np.stack([kind.astype(np.int64), rep, n, head]), axis=1, return_index=True)  # a central row meets itself in its own block
+    rep, n, kind, label = rep[order], n[order], kind[order], label[order]
     sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
-    cut = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0  # two blocks: only pairs across them
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    k = np.empty((len(rep), REGISTERS), np.uint16)
+    for s in range(0, len(rep), 64):
+        own = offsets[s : s + 65]
+        k[s : s + 64] = sketch(np.concatenate(sets[s : s + 64]), own - own[0])
+    cut = int(np.searchsorted(kind, 2)) if kind[-1] == 2 else 0
     floor = least_estimate(percent)
     left, right = [], []
     for i in range(cut or len(rep)):
         others = np.arange(cut or i + 1, len(rep))
-        others = others[(100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+        others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
+        if cut:
+            others = others[label[others] != label[i]]
         if len(others):
             others = others[(k[others] == k[i]).sum(1) >= (floor - 0.05) * REGISTERS]
             left.append(np.full(len(others), i))
@@ -237,17 +261,18 @@ def _link(t: pa.Table, percent: int) -> list[tuple[int, int]]:
     j_est = np.concatenate([compare(k[i[s : s + 4096]], k[j[s : s + 4096]], n[i[s : s + 4096]], n[j[s : s + 4096]]) for s in range(0, len(i), 4096)]) if len(i) else np.zeros(0)
     by = np.argsort(-j_est, kind="stable")
     by = by[j_est[by] >= floor]
-    root = list(range(len(rep)))
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
+        while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
     out = []
+    node = label if cut else rep
     for a, b in zip(i[by].tolist(), j[by].tolist(), strict=True):
-        ra, rb = find(a), find(b)
+        ra, rb = find(int(node[a])), find(int(node[b]))
         if ra != rb:
             x, y = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -257,28 +282,21 @@ def _link(t: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(docs: DataFrame, classes: DataFrame, rows: int, percent: int, key: str, text: str) -> DataFrame:
-    """(a, b): confirmed links between classes, enough to connect what is connected."""
-    family = families(classes, rows, percent)
-    sizes = family.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    sizes = store(sizes, "near-family")
-    blocks = sizes.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    placed = sizes.join(blocks, "component").select(F.col("node").alias("rep"), F.col("component").alias("family"), "blocks")
-    placed = store(placed, "near-placed")
+def confirmed(docs: DataFrame, placed: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """(a, b): links within the units of ``placed`` (rep, family, units, kind, label); units: structs (i, j)."""
     src = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     src = src.join(small(placed, MAX_SENT), "rep")
+    rest = ["rep", "family", "units", "kind", "label"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "t", 2 << 20):
                 h, offsets = shingles(*buffers(b.column("t")))
-                k = sketch(h, offsets)
                 raw = [h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("family"), b.column("blocks"), pa.array(np.diff(offsets)), pa.array([x.tobytes() for x in k], pa.binary()), pa.array(raw, pa.binary())], ["rep", "family", "blocks", "n", "sketch", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(np.diff(offsets)), pa.array(raw, pa.binary())], [*rest, "n", "hashes"])
 
-    full = src.select("rep", "family", "blocks", "t").mapInArrow(sets, "rep long, family long, blocks int, n long, sketch binary, hashes binary")
-    full = full.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
-    units = full.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "block", "sketch", "hashes")
+    full = src.select(*rest, "t").mapInArrow(sets, "rep long, family long, units array<struct<i:int,j:int>>, kind int, label long, n long, hashes binary").where("n > 0")
+    units = full.withColumn("unit", F.explode("units")).select("family", "unit.i", "unit.j", "rep", "n", "kind", "label", "hashes")
     units = units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,22 +307,50 @@ def links(docs: DataFrame, classes: DataFrame, rows: int, percent: int, key: str
     return store(units.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def groups(docs: DataFrame, percent: int = 80, rows: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; rows is the number of registers in a band."""
-    all_rows = store(describe(docs, key, text), "near-rows")
+def links(docs: DataFrame, classes: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """(a, b): confirmed links between classes, enough to connect what is connected."""
+    family, weights = families(classes, bands_for(percent), percent)
+    sizes = family.withColumnsRenamed({"node": "rep", "component": "family"}).join(classes.select("rep", "n"), "rep").join(weights, "rep", "left")
+    sizes = store(sizes, "near-family")
+    many = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    own = store(sizes.join(sizes.groupBy("family").agg(many.alias("blocks")), "family").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")), "near-placed")
+    central = own.where("blocks > 1").groupBy("family", F.expr(f"pmod(xxhash64(rep, 1), {CENTRAL})")).agg(F.max(F.struct("weight", "rep")).alias("c")).select(F.col("c.rep").alias("rep"), F.lit(True).alias("central"))
+    one = "transform({0}, i -> struct(i as i, 0 as j))"
+    placed = own.join(central, "rep", "left").select("rep", "family", F.expr(f"if(central, {one.format('sequence(0, blocks - 1)')}, {one.format('array(block)')})").alias("units"), F.lit(0).alias("kind"), F.col("rep").alias("label"))
+    found = confirmed(docs, store(placed, "near-units"), percent, key, text)
+    wide = own.where("blocks > 1").select("rep", "n", "family", "blocks", "block")
+    if not wide.limit(1).count():
+        return found
+    labels = store(wide.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component"), "near-parts")
+    parts = labels.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = store(parts.join(parts.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m")), "family").where("label <> m.label").select("family", "label", "c", "s"), "near-strays")
+    if not parts.limit(1).count():
+        return found
+    teams = parts.groupBy("family").agg(F.greatest(F.ceil(F.sum("s") / BLOCK_SHINGLES), F.ceil(F.sum("c") / BLOCK_ROWS)).cast("int").alias("teams"))
+    rest = labels.join(teams, "family").join(parts.select("family", "label", F.lit(True).alias("stray")), ["family", "label"], "left").withColumn("team", F.expr("cast(pmod(xxhash64(rep), teams) as int)"))
+    strays = rest.where("stray").select("rep", "family", F.expr("transform(sequence(0, blocks - 1), j -> struct(team as i, j as j))").alias("units"), F.lit(1).alias("kind"), "label")
+    whole = rest.select("rep", "family", F.expr("transform(sequence(0, teams - 1), i -> struct(i as i, block as j))").alias("units"), F.lit(2).alias("kind"), "label")
+    return found.union(confirmed(docs, store(strays.union(whole), "near-units"), percent, key, text))
+
+
+def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row."""
+    bands = bands_for(percent)
+    all_rows = store(describe(docs, key, text, bands), "near-rows")
     own = all_rows.where("n > 0 and doc_id is not null")
-    classes = store(own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
+    rest = [c for c in all_rows.columns if c not in ("doc_id", "n", "h1", "h2")]
+    classes = store(own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in rest]), "near-classes")
     same_id = own.select("doc_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     nodes = classes.select("rep").distinct().withColumnRenamed("rep", "b")
-    found = links(docs, classes, rows, percent, key, text).union(same_id.join(nodes, "b").select("a", "b"))
+    found = links(docs, classes, percent, key, text).union(same_id.join(nodes, "b").select("a", "b"))
     labels = store(components(found), "near-labels")
     of = classes.select("h1", "h2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = all_rows.select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("case when doc_id is not null then if(n > 0, coalesce(component, doc_id), doc_id) end").alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return groups(docs, 85, 8).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return groups(docs, 85).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -313,13 +359,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     Where ids repeat, rows of an id with different texts are judged apart; of those that repeat an id and an
     empty set one stays."""
     if not docs.groupBy(key).count().where(f"count > 1 and `{key}` is not null").limit(1).count():
-        gone = groups(docs, percent, 7, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__k")).distinct()
+        gone = groups(docs, percent, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__k")).distinct()
         return docs.join(small(gone, MAX_SENT), F.col(key).cast("long") == F.col("__k"), "left_anti")
     own = F.col(key).cast("long")
     marked = docs.withColumn("__node", F.when(F.col(key).isNotNull(), F.xxhash64(own, F.col(text))))
     named = marked.where("__node is not null")
     ids = named.select("__node", own.alias("__id")).distinct()
-    found = groups(named, percent, 7, "__node", text).select(F.col("doc_id").alias("__node"), (F.col("n_shingles") > 0).alias("full"), "component_id").distinct()
+    found = groups(named, percent, "__node", text).select(F.col("doc_id").alias("__node"), (F.col("n_shingles") > 0).alias("full"), "component_id").distinct()
     team = found.join(ids, "__node").groupBy("full", F.when(F.col("full"), F.col("component_id")).otherwise(F.col("__id")).alias("team"))
     stay = store(team.agg(F.min(F.struct("__id", "__node")).alias("first")).select(F.col("first.__node").alias("__node")), "near-stay")
     left = named.join(stay, "__node", "left_semi").dropDuplicates(["__node"])
