@@ -10,8 +10,9 @@ document needs only as many intervals as fill its registers.
 2. Bands of six registers are buckets. Each member of a bucket meets only the bucket's hub, its smallest
    class, and a pair that meets in many bands is tried once, so the work is linear in the members. Members that agree
    with the hub in HIGH of the 126 bytes leave the bucket, those that agree in fewer, down to a bound, join its family
-   but stay, and the rest elect the next hub. By the triangle inequality of 1 - J the bound is so low that
-   two classes that link cannot be parted by this (to 4.5 deviations), whatever the size of the bucket.
+   but stay. By the triangle inequality of 1 - J the bound is so low that two classes that link cannot be
+   parted by this (to 4.5 deviations), whatever the size of the bucket. Buckets whose members now are of one family are
+   done; in the others the rest goes on with four times as many hubs.
 3. Members of a family come together with their full sets and registers, in blocks that bound the memory. In a block J
    is estimated jointly by maximum likelihood from the numbers of greater, smaller and equal registers, and pairs whose
    estimate can reach the limit are confirmed on full sets in order of their estimate, unless confirmed links
@@ -191,20 +192,27 @@ def families(classes: DataFrame, bands: int, percent: int) -> tuple[DataFrame, D
     loss = 1 - percent / 100
     low = HIGH - loss - 4.5 * (loss / SIGNS) ** 0.5
     edges = weights = None
+    hubs = 1
     while True:
-        buckets = left.groupBy("bucket").agg(F.count("*").alias("k"), F.min("rep").alias("hub")).where("k > 1")
-        members = store(left.join(buckets, "bucket").where("rep <> hub"), "near-members")
+        buckets = left.groupBy("bucket").agg(F.count("*").alias("k"), *[F.min(F.expr(f"if(pmod(xxhash64(rep), {hubs}) = {i}, rep, null)")).alias(f"hub{i}") for i in range(hubs)]).where("k > 1")
+        met = left.join(buckets, "bucket").select("bucket", "rep", "k", F.array_compact(F.array(*[f"hub{i}" for i in range(hubs)])).alias("hubs"))
+        members = store(met, "near-members")
         if weights is None:
-            weights = members.groupBy("rep").agg(F.sum("k").alias("w")).union(members.groupBy("hub", "bucket").agg(F.max("k").alias("w")).groupBy("hub").agg(F.sum("w").alias("w")))
-            weights = weights.groupBy("rep").agg(F.sum("w").alias("weight"))
-        elif not members.limit(1).count():
-            return components(edges), weights
-        tried = members.select("hub", "rep").distinct()
+            weights = members.groupBy("rep").agg(F.sum("k").alias("weight"))
+        tried = members.select(F.explode("hubs").alias("hub"), "rep").where("hub <> rep").distinct()
         tried = tried.join(side.select(F.col("rep").alias("hub"), F.struct(*sign).alias("x")), "hub").join(side.select("rep", F.struct(*sign).alias("y")), "rep")
         found = store(tried.select("hub", "rep", F.expr(f"{SIGNS} - ({apart})").alias("same")).where(f"same >= {low * SIGNS:.3f}"), "near-plausible")
         own = found.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         edges = own if edges is None else edges.union(own)
-        left = members.join(found.where(f"same >= {HIGH * SIGNS:.3f}").select("hub", "rep"), ["hub", "rep"], "left_anti").select("rep", "bucket")
+        family = store(components(edges), "near-family")
+        gone = found.where(f"same >= {HIGH * SIGNS:.3f}").groupBy("rep").agg(F.collect_set("hub").alias("near"))
+        rest = members.where("not array_contains(hubs, rep)").join(gone, "rep", "left").where("near is null or not arrays_overlap(hubs, near)").select("rep", "bucket")
+        rest = store(rest.join(family.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("component", "rep").alias("f")), "near-rest")
+        split = rest.groupBy("bucket").agg(F.min("f").alias("x"), F.max("f").alias("y")).where("x <> y").select("bucket")
+        left = store(rest.join(split, "bucket").select("rep", "bucket"), "near-left")
+        if not left.limit(1).count():
+            return family, weights
+        hubs *= 4
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
@@ -240,9 +248,11 @@ def _link(t: pa.Table, percent: int) -> list[tuple[int, int]]:
     sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
     offsets = np.concatenate([[0], np.cumsum(n)])
     k = np.empty((len(rep), REGISTERS), np.uint16)
-    for s in range(0, len(rep), 64):
-        own = offsets[s : s + 65]
-        k[s : s + 64] = sketch(np.concatenate(sets[s : s + 64]), own - own[0])
+    s = 0
+    while s < len(rep):  # some 50,000 shingles at a time, or one set
+        e = max(s + 1, int(np.searchsorted(offsets, offsets[s] + 50_000)))
+        k[s:e] = sketch(np.concatenate(sets[s:e]), offsets[s : e + 1] - offsets[s])
+        s = e
     cut = int(np.searchsorted(kind, 2)) if kind[-1] == 2 else 0
     floor = least_estimate(percent)
     left, right = [], []
