@@ -62,6 +62,7 @@ def eol_hyphens(c: Column) -> Column:
 
 def strip_boilerplate(c: Column, marker: str) -> Column:
     """The body of an e-book: between its START and END banners, from ``marker`` on, without plates, headings and italics marks; NULL where a banner or the marker is missing."""
+    # the banners, headings and folds below are fixed values
     start, end = r"\*\*\*\s*START OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*?\*\*\*", r"\*\*\*\s*END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK"
     whole = F.regexp_extract(c, rf"(?s)\A.*?(?-s:{start})(.*?){end}", 1)
     has = c.rlike(rf"(?s)(?-s:{start}).*?{end}")
@@ -84,7 +85,10 @@ def identifiers(c: Column, budget: Column | int) -> Column:
 
 
 def extractive(c: Column, budget: Column | int) -> Column:
-    """Verbatim sentences spread over a text: blocks of distinct lines each give the opening of their longest line."""
+    """A summary made of a text's own words.
+
+    The distinct lines are cut into runs of equal length; of each run the longest line gives its first two sentences.
+    """
     b = F.lit(budget) if isinstance(budget, int) else budget
     lines = F.array_distinct(F.filter(F.split(c, "\n"), lambda x: F.length(strip(x)) > 0))
     n = F.size(lines)
@@ -116,11 +120,22 @@ def even_chunks(ids: Column, size: int, most: int) -> Column:
     return F.when(n_ids <= size, F.array(ids)).when(n == 1, F.array(F.slice(ids, 1, size))).otherwise(spread)
 
 
-def byte_tokens(c: Column, first: int = 1, prefix_blank: bool = True) -> Column:
-    """Ids of a byte vocabulary: UTF-8 bytes plus ``first`` (0 is the special token), with a blank in front."""
+def byte_id(b: Column) -> Column:
+    """The id of a byte in a byte-level vocabulary whose id 0 is the special token.
+
+    The printable bytes of Latin-1 come first, in order; those that have no printable sign of their own (blanks,
+    controls, 127 to 160 and 173) follow, in order.
+    """
+    return (
+        F.when(b.between(33, 126), b - 32).when(b.between(161, 172), b - 66).when(b.between(174, 255), b - 67)
+        .when(b <= 32, b + 189).when(b <= 160, b + 95).otherwise(256))
+
+
+def byte_tokens(c: Column, prefix_blank: bool = True) -> Column:
+    """Ids of the UTF-8 bytes in the byte vocabulary, with a blank in front."""
     text = F.concat(F.lit(" "), c) if prefix_blank else c
     pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
-    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int") + first)
+    return F.transform(pairs, lambda x: byte_id(F.conv(x, 16, 10).cast("int")))
 
 
 def chat_prompt(user: Column, system: str | None = None) -> Column:

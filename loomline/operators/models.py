@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(ctx, tok, c): words after two others, these joined by a blank."""
+    g = docs.select(X.words(F.col(text)).alias("w")).where("size(w) > 2")
+    g = g.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.struct(F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)).alias("ctx"), F.get("w", i + 2).alias("tok")))).alias("g"))
+    return g.groupBy("g.ctx", "g.tok").agg(F.count("*").alias("c")).toDF("ctx", "tok", "c")
+
+
 def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(ctx, tok, c): neighbouring words and their counts."""
     g = docs.select(X.words(F.col(text)).alias("w")).select(F.explode(F.when(F.size("w") > 1, F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("ctx"), F.slice("w", F.lit(2), F.size("w") - 1).alias("tok")))).alias("g"))
     return g.groupBy("g.ctx", "g.tok").agg(F.count("*").alias("c")).toDF("ctx", "tok", "c")
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """(ctx, tok, p) by relative frequency."""
+def probabilities(counts: DataFrame, add: float = 0.0, vocabulary: Column | int = 0) -> DataFrame:
+    """(ctx, tok, p) by relative frequency, with ``add`` for each of ``vocabulary`` words on top."""
     total = counts.groupBy("ctx").agg(F.sum("c").alias("n"))
-    return counts.join(total, "ctx").select("ctx", "tok", (F.col("c") / F.col("n")).alias("p"))
+    return counts.join(total, "ctx").select("ctx", "tok", ((F.col("c") + add) / (F.col("n") + add * vocabulary)).alias("p"))
 
 
 def top_k(dist: DataFrame, k: int) -> DataFrame:
@@ -60,23 +67,31 @@ def positions(pairs: DataFrame, name: str, text: str) -> DataFrame:
     return pairs.select(name, F.posexplode(X.words(F.col(text))).alias("pos", "tok"))
 
 
-def conditional_nll(pairs: DataFrame, contexts: DataFrame, unigrams: DataFrame, mix: float = 0.5) -> DataFrame:
+def conditional_nll(pairs: DataFrame, contexts: DataFrame, unigrams: DataFrame, mix: float = 0.25) -> DataFrame:
     """(name, cond, pos, tok, n_char, overlap, nll): each source word under each context.
 
     ``pairs`` (name, source, summary), ``contexts`` (name, cond, body), one row for each condition; an
-    empty body is no context. The scorer mixes the context's words with add-one unigrams: any other
-    scorer that returns these columns can stand in its place.
+    empty body is no context. The scorer gives a share ``mix`` to the words that follow the previous source word in the
+    context, as much to the context's words, and the rest to add-one unigrams, so the order of the context counts. A
+    share whose part of the context is empty goes to the unigrams. Any other scorer that returns these columns can
+    stand in its place.
     """
-    src = positions(pairs, "name", "source")
+    src = pairs.select("name", X.words(F.col("source")).alias("w")).select("name", F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("tok"), F.when(i > 0, F.get("w", i - 1)).alias("prev")))).alias("pos", "x")).select("name", "pos", "x.*")
     own = pairs.select("name", F.explode(F.array_distinct(X.words(F.col("summary")))).alias("tok")).withColumn("overlap", F.lit(True))
     total = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    base = src.join(unigrams.select(F.col("word").alias("tok"), "c"), "tok", "left").join(F.broadcast(total)).select("name", "pos", "tok", ((F.coalesce("c", F.lit(0)) + 1) / (F.col("n") + F.col("v") + 1)).alias("p0"))  # total: one row
+    base = src.join(unigrams.select(F.col("word").alias("tok"), "c"), "tok", "left").join(F.broadcast(total)).select("name", "pos", "tok", "prev", ((F.coalesce("c", F.lit(0)) + 1) / (F.col("n") + F.col("v") + 1)).alias("p0"))  # total: one row
     base = base.join(own, ["name", "tok"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
-    body = contexts.select("name", "cond", X.words(F.col("body")).alias("w")).withColumn("m", F.size("w"))
+    body = contexts.select("name", "cond", X.words(F.col("body")).alias("w"))
     counts = body.select("name", "cond", F.explode("w").alias("tok")).groupBy("name", "cond", "tok").agg(F.count("*").alias("k"))
-    rows = base.join(body.select("name", "cond", "m"), "name").join(counts, ["name", "cond", "tok"], "left")
-    p = F.when(F.col("m") > 0, mix * F.coalesce("k", F.lit(0)) / F.col("m") + (1 - mix) * F.col("p0")).otherwise(F.col("p0"))
-    return rows.select("name", "cond", "pos", "tok", F.length("tok").alias("n_char"), "overlap", (-F.log(p)).alias("nll"))
+    near = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("prev"), F.slice("w", F.lit(2), F.size("w") - 1).alias("tok"))
+    follow = body.where("size(w) > 1").select("name", "cond", F.explode(near).alias("x")).select("name", "cond", "x.prev", "x.tok")
+    pair = follow.groupBy("name", "cond", "prev", "tok").agg(F.count("*").alias("k2"))
+    after = follow.groupBy("name", "cond", "prev").agg(F.count("*").alias("m2"))
+    rows = base.join(body.select("name", "cond", F.size("w").alias("m")), "name").join(counts, ["name", "cond", "tok"], "left")
+    rows = rows.join(after, ["name", "cond", "prev"], "left").join(pair, ["name", "cond", "prev", "tok"], "left")
+    one = F.when(F.col("m") > 0, mix * F.coalesce("k", F.lit(0)) / F.col("m")).otherwise(mix * F.col("p0"))
+    two = F.when(F.col("m2") > 0, mix * F.coalesce("k2", F.lit(0)) / F.col("m2")).otherwise(mix * F.col("p0"))
+    return rows.select("name", "cond", "pos", "tok", F.length("tok").alias("n_char"), "overlap", (-F.log(one + two + (1 - 2 * mix) * F.col("p0"))).alias("nll"))
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -84,21 +99,66 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
-def generate(starts: DataFrame, counts: DataFrame, length: int, seed: int = 0) -> DataFrame:
-    """(name, step, tok): words drawn one after another from the bigram model, a join for each step."""
-    dist = probabilities(counts)
-    cum = dist.select("ctx", "tok", F.expr("sum(p) over (partition by ctx order by p desc, tok rows unbounded preceding)").alias("cum"))
-    cum = _stored(cum)
-    at = starts.select("name", F.col("tok"), F.lit(0).alias("step"))
-    out = at
+def selection(dist: DataFrame, temperature: float = 1.0, k: int | None = None, top_p: float = 1.0) -> DataFrame:
+    """(ctx, tok, q): a distribution (ctx, tok, p) as it is drawn from, sharpened by the temperature, cut to the k likeliest and to the nucleus."""
+    t = max(temperature, 1e-5)
+    out = dist.withColumn("e", F.exp((F.log("p") - F.log(F.expr("max(p) over (partition by ctx)"))) / t)).select("ctx", "tok", F.expr("e / sum(e) over (partition by ctx)").alias("p"))
+    return nucleus(top_k(out, k) if k else out, top_p).select("ctx", "tok", "q")
+
+
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) drawn by MD5 of the seed and the parts."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(h, 1, 7), 16, 10).cast("long") / float(1 << 28)
+
+
+def generate(starts: DataFrame, models: list[DataFrame], length: int, seed: int = 0, glue: str = " ") -> DataFrame:
+    """(name, step, tok): tokens drawn one after another, a join for each step and model.
+
+    ``models`` are distributions (ctx, tok, q) from the longest context to the shortest; the context of the n-th before
+    last rolls over the last so many tokens, joined by ``glue``. The first model that knows the context gives the
+    token; where none does, the text ends.
+    """
+    tables = [_stored(m.select("ctx", "tok", F.expr("sum(q) over (partition by ctx order by q desc, tok rows unbounded preceding)").alias("cum"))) for m in models]
+    sums = [t.groupBy("ctx").agg(F.max("cum").alias("last")) for t in tables]
+    at = starts.select("name", F.lit(0).alias("step"), "tok", F.array("tok").alias("past"))
+    out = at.select("name", "step", "tok")
     for i in range(1, length + 1):
-        u = F.pmod(F.xxhash64("name", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / (1 << 30)
-        near = at.select("name", F.col("tok").alias("ctx"), u.alias("u")).join(cum, "ctx").where("cum > u - 1e-12")
-        at = near.groupBy("name").agg(F.min(F.struct("cum", "tok"))["tok"].alias("tok")).withColumn("step", F.lit(i))
-        out = out.unionByName(at)
+        near = at.select("name", "past", uniform(seed, F.col("name"), F.lit(i)).alias("u"))
+        found = None
+        for k, (table, total) in enumerate(zip(tables, sums, strict=True)):
+            n = len(tables) - k
+            ctx = F.when(F.size("past") >= n, F.array_join(F.slice("past", -n, n), glue))
+            hit = near.withColumn("ctx", ctx).join(total, "ctx").join(table, "ctx").where(F.col("cum") > F.least("u", F.col("last") * (1 - 1e-12)))
+            hit = hit.groupBy("name").agg(F.min(F.struct("cum", "tok"))["tok"].alias("tok"), F.first("past").alias("past"))
+            found = hit if found is None else found.unionByName(hit.join(found.select("name"), "name", "left_anti"))
+        at = _stored(found.select("name", F.lit(i).alias("step"), "tok", F.expr(f"slice(concat(past, array(tok)), greatest(1, size(past) + 2 - {len(models)}), {len(models)})").alias("past")))
+        out = out.unionByName(at.select("name", "step", "tok"))
     return out
 
 
+class VocabularyMismatch(ValueError):
+    """Two experts do not know the same tokens."""
+
+
+def same_vocabulary(a: DataFrame, b: DataFrame) -> None:
+    """Raises VocabularyMismatch unless both distributions are over the same tokens."""
+    x, y = a.select("tok").distinct(), b.select("tok").distinct()
+    odd = x.exceptAll(y).union(y.exceptAll(x)).limit(5).collect()
+    if odd:
+        raise VocabularyMismatch("tokens that one expert lacks: " + ", ".join(repr(r[0]) for r in odd))
+
+
+def letter_model(docs: DataFrame, alphabet: str, text: str = "text", add: float = 0.1) -> DataFrame:
+    """(ctx, tok, p): pairs of neighbouring letters of an alphabet, others left out, with ``add`` on top of each count."""
+    spark = docs.sparkSession
+    all_pairs = spark.createDataFrame([(x, y) for x in alphabet for y in alphabet], "ctx string, tok string")
+    kept = docs.select(F.regexp_replace(F.lower(text), f"[^{alphabet}]+", "").alias("t")).where("length(t) > 1")
+    pairs = kept.select(F.explode(F.expr("transform(sequence(1, length(t) - 1), i -> substring(t, i, 2))")).alias("p")).groupBy("p").agg(F.count("*").alias("c"))
+    counts = all_pairs.join(pairs.select(F.substring("p", 1, 1).alias("ctx"), F.substring("p", 2, 1).alias("tok"), "c"), ["ctx", "tok"], "left").select("ctx", "tok", F.coalesce("c", F.lit(0)).alias("c"))
+    return probabilities(counts, add, len(alphabet))
+
+
 def _joiner(a: str, b: str) -> Callable[[Column, Column], Column]:
     """Appends a symbol to an array of symbols; b after a makes ab."""
 
@@ -109,11 +169,23 @@ def _joiner(a: str, b: str) -> Callable[[Column, Column], Column]:
     return add
 
 
-def train_bpe(word_counts: DataFrame, merges: int) -> list[tuple[str, str]]:
-    """Merges of a character BPE: each round counts pairs in Spark and merges the most frequent; only that pair reaches the driver."""
-    own = word_counts.select(F.split("word", "").alias("s"), "c").withColumn("s", F.filter("s", lambda x: x != ""))
+def byte_symbols(word: Column) -> Column:
+    """The UTF-8 bytes of a word, with a blank in front, as hexadecimal pairs: the alphabet of a byte-level BPE."""
+    return F.regexp_extract_all(F.hex(F.encode(F.concat(F.lit(" "), word), "UTF-8")), F.lit(".."), F.lit(0))
+
+
+#: The special token and the 256 bytes come before the merged symbols.
+SPECIAL, FIRST_MERGED = 0, 257
+
+
+def train_bpe(word_counts: DataFrame, vocabulary: int) -> list[tuple[str, str]]:
+    """Merges of a byte-level BPE up to a size of vocabulary: each round counts pairs in Spark and merges the most frequent; only that pair reaches the driver.
+
+    Symbols are the hexadecimal digits of their bytes; ties go to the smaller pair.
+    """
+    own = word_counts.select(byte_symbols(F.col("word")).alias("s"), "c")
     found: list[tuple[str, str]] = []
-    for i in range(merges):
+    for i in range(vocabulary - FIRST_MERGED):
         pairs = own.where(F.size("s") > 1).select("c", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p"))
         best = pairs.groupBy("p.a", "p.b").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "a", "b").first()
         if best is None:
@@ -128,21 +200,30 @@ def train_bpe(word_counts: DataFrame, merges: int) -> list[tuple[str, str]]:
 
 
 def encode_bpe(words: DataFrame, merges: list[tuple[str, str]], word: str = "word") -> DataFrame:
-    """``words`` with ``pieces``: each word by the merges in order."""
+    """``words`` with ``ids``: each word, with a blank in front, by the merges in order. Ids 1 to 256 are the bytes."""
     rank = {m: i for i, m in enumerate(merges)}
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    order = printable + [b for b in range(256) if b not in set(printable)]
+    ids = {f"{b:02X}": i for i, b in enumerate(order, 1)} | {a + b: FIRST_MERGED + i for i, (a, b) in enumerate(merges)}
 
-    def pieces(w: str) -> list[str]:
-        s = list(w)
+    def pieces(w: str) -> list[int]:
+        s = [f"{b:02X}" for b in (" " + w).encode()]
         while len(s) > 1:
-            best = min(range(len(s) - 1), key=lambda i: rank.get((s[i], s[i + 1]), len(rank)))
-            if (s[best], s[best + 1]) not in rank:
+            first = min(rank.get(p, len(rank)) for p in zip(s, s[1:]))
+            if first == len(rank):
                 break
-            s[best : best + 2] = [s[best] + s[best + 1]]
-        return s
+            a, b = merges[first]
+            out, i = [], 0
+            while i < len(s):
+                hit = i + 1 < len(s) and s[i] == a and s[i + 1] == b
+                out.append(a + b if hit else s[i])
+                i += 2 if hit else 1
+            s = out
+        return [ids[x] for x in s]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(pieces=[pieces(w) for w in b[word]])
+            yield b.assign(ids=[pieces(w) for w in b[word]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields)
-    return words.mapInPandas(run, f"{fields}, pieces array<string>")
+    return words.mapInPandas(run, f"{fields}, ids array<int>")

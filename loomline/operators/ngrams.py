@@ -6,12 +6,19 @@ corpus side is reduced to distinct rows; Catalyst broadcasts that side where its
 
 from __future__ import annotations
 
+import gzip
+import lzma
+import math
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .sizes import bounded
 
 #: Texts of fewer words are not measured.
 LEAST_WORDS = 12
@@ -25,12 +32,40 @@ def gram_set(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
     return docs.select(X.words(F.col(text)).alias("w")).select(F.explode(X.grams(F.col("w"), n)).alias("gram")).distinct()
 
 
+def hashed(ws: str, n: int) -> str:
+    """SQL of the 64-bit hashes of all n-grams of the stored column ``ws`` of word hashes, repeats kept."""
+    parts = ", ".join(f"{ws}[i + {k}]" for k in range(n))
+    return f"if(size({ws}) >= {n}, transform(sequence(0, size({ws}) - {n}), i -> xxhash64({parts})), cast(array() as array<bigint>))"
+
+
+def with_hashes(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """``columns``, w (the words) and h (their hashes) of each text."""
+    return docs.select(*columns, X.words(F.col(text)).alias("w")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+
+
+def known_grams(corpus: DataFrame, sizes: list[int], text: str) -> DataFrame:
+    """(n, g): the distinct n-grams, as hashes, of a corpus; broadcast where it is counted to be small."""
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.expr(hashed("h", n)).alias("gs")) for n in sizes])
+    rows = with_hashes(corpus, [], text).select(F.explode(grams).alias("x")).select("x.n", F.explode("x.gs").alias("g"))
+    return bounded(rows.distinct())
+
+
 def overlap(docs: DataFrame, corpus: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_grams, n_found): how many n-grams of each text, repeats counted, occur in the corpus."""
-    rows = docs.select(F.col(key), X.words(F.col(text)).alias("w")).select(key, F.explode_outer(X.grams(F.col("w"), n)).alias("gram"))
-    bag = rows.groupBy(key, "gram").agg(F.count("gram").alias("c"))
-    known = gram_set(corpus, n, text).withColumn("known", F.lit(1))
-    return bag.join(known, "gram", "left").groupBy(key).agg(F.sum("c").alias("n_grams"), F.sum(F.when(F.col("known") == 1, F.col("c")).otherwise(0)).alias("n_found"))
+    """(key, n_grams, n_found): how many n-grams of each text, repeats counted, occur in the corpus.
+
+    n-grams are compared by 64-bit hashes. Known ones are joined first, so only sums by key are shuffled.
+    """
+    rows = with_hashes(docs, [key], text).select(key, F.explode_outer(F.expr(hashed("h", n))).alias("g"))
+    known = known_grams(corpus, [n], text).select("g", F.lit(1).alias("known"))
+    return rows.join(known, "g", "left").groupBy(key).agg(F.count("g").alias("n_grams"), F.count("known").alias("n_found"))
+
+
+def overlap_totals(docs: DataFrame, corpus: DataFrame, sizes: list[int], text: str = "text") -> DataFrame:
+    """(n, n_grams, n_found) over all texts, in one pass for all n."""
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.expr(hashed("h", n)).alias("gs")) for n in sizes])
+    rows = with_hashes(docs, [], text).select(F.explode(grams).alias("x")).select("x.n", F.explode_outer("x.gs").alias("g"))
+    known = known_grams(corpus, sizes, text).withColumn("known", F.lit(1))
+    return rows.join(known, ["n", "g"], "left").groupBy("n").agg(F.count("g").alias("n_grams"), F.count("known").alias("n_found"))
 
 
 def types(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,16 +95,24 @@ def shape(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def describe(docs: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, words, self_repeat, verb3, verb5, novel_words, ttr); NULL measures under LEAST_WORDS words."""
-    out = shape(docs, [key], text)
-    for n in (3, 5):
-        out = out.join(overlap(docs, corpus, n, key, text).select(key, (F.col("n_found") / F.greatest("n_grams", F.lit(1))).alias(f"verb{n}")), key, "left")
-    out = out.join(novel(docs, [vocabulary(corpus, text)], key, text).select(key, (F.col("n_novel") / F.col("n_types")).alias("novel_words")), key, "left")
-    ok = F.col("n_words") >= LEAST_WORDS
+    """(key, words, self_repeat, verb3, verb5, novel_words, ttr); NULL measures under LEAST_WORDS words.
+
+    Each text is cut into words once; its 3-grams, 5-grams and distinct words meet the corpus as hashes in one
+    map-side join where the corpus is small, and one row a text is shuffled.
+    """
+    sizes = [3, 5, 1]
+    own = with_hashes(docs, [key], text).withColumn("types", F.array_distinct("h")).withColumn("g4", F.expr(hashed("h", 4)))
+    own = own.select(key, F.size("h").alias("n"), F.size("types").alias("t"), F.size("g4").alias("n4"), F.size(F.array_distinct("g4")).alias("u4"), "h", F.transform("types", lambda x: F.xxhash64(x)).alias("g1"))
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.expr("g1" if n == 1 else hashed("h", n)).alias("gs")) for n in sizes])
+    rows = own.select(key, "n", "t", "n4", "u4", F.explode(grams).alias("x")).select(key, "n", "t", "n4", "u4", F.col("x.n").alias("size"), F.explode_outer("x.gs").alias("g"))
+    known = known_grams(corpus, sizes, text).select(F.col("n").alias("size"), "g", F.lit(1).alias("known"))
+    found = [F.count(F.when(F.col("size") == n, F.col("known"))).alias(f"k{n}") for n in sizes]
+    out = rows.join(known, ["size", "g"], "left").groupBy(key, "n", "t", "n4", "u4").agg(*found)
+    ok = F.col("n") >= LEAST_WORDS
+    share = lambda n: F.when(ok, F.col(f"k{n}") / F.greatest(F.col("n") - (n - 1), F.lit(1)))
     return out.select(
-        key, F.when(ok, F.col("n_words")).alias("words"), F.when(ok, 1 - F.col("u_4grams") / F.greatest("n_4grams", F.lit(1))).alias("self_repeat"),
-        F.when(ok, F.col("verb3")).alias("verb3"), F.when(ok, F.col("verb5")).alias("verb5"), F.when(ok, F.col("novel_words")).alias("novel_words"),
-        F.when(ok, F.col("n_types") / F.col("n_words")).alias("ttr"))
+        key, F.when(ok, F.col("n")).alias("words"), F.when(ok, 1 - F.col("u4") / F.greatest("n4", F.lit(1))).alias("self_repeat"),
+        share(3).alias("verb3"), share(5).alias("verb5"), F.when(ok, (F.col("t") - F.col("k1")) / F.col("t")).alias("novel_words"), F.when(ok, F.col("t") / F.col("n")).alias("ttr"))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,3 +121,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.split(F.col(text), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("c"))
+
+
+def ladder(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_chars, order0, gzip, xz): nats for each character of a text under ever better models."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[text], strict=True):
+                n, raw = len(t), t.encode()
+                order0 = -sum(c / n * math.log(c / n) for c in Counter(t).values()) + 0.0
+                width = max(4096, 1 << len(raw).bit_length())  # a dictionary beyond the text changes nothing but memory
+                best = [{"id": lzma.FILTER_LZMA2, "preset": 9 | lzma.PRESET_EXTREME, "dict_size": min(width, 1 << 26)}]
+                sizes = [len(gzip.compress(raw, 9)), len(lzma.compress(raw, filters=best))]
+                rows.append((k, n, order0, *(8 * s * math.log(2) / n for s in sizes)))
+            yield pd.DataFrame(rows, columns=[key, "n_chars", "order0", "gzip", "xz"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(each, f"`{key}` {kind}, n_chars long, order0 double, gzip double, xz double")

@@ -6,27 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def judge(pairs: DataFrame, source: Column, summary: Column, least_source: int, budget: int) -> DataFrame:
-    """``pairs`` with ``reason``: why a pair is not scored, NULL if it is."""
+def default_budget(pairs: DataFrame, summary: Column) -> DataFrame:
+    """One row (budget): the size in words of the shortest summary that is not empty."""
+    return pairs.where(F.length(summary) > 0).agg(F.min(F.size(F.split(summary, " "))).alias("budget"))
+
+
+def judge(pairs: DataFrame, source: Column, summary: Column, least_source: int, budget: int | None = None) -> DataFrame:
+    """``pairs`` with ``reason``: why a pair is not scored, NULL if it is. Without a budget it is that of the shortest summary."""
+    own = pairs.withColumn("__budget", F.lit(budget)) if budget is not None else pairs.join(F.broadcast(default_budget(pairs, summary).withColumnRenamed("budget", "__budget")))  # one row
     reason = (
         F.when(F.coalesce(F.length(source), F.lit(0)) == 0, "no source").when(F.coalesce(F.length(summary), F.lit(0)) == 0, "no summary")
-        .when(F.size(F.split(source, " ")) < least_source, "short source").when(F.size(F.split(summary, " ")) < budget, "short summary"))
-    return pairs.withColumn("reason", reason)
+        .when(F.size(F.split(source, " ")) < least_source, "short source").when(F.size(F.split(summary, " ")) < F.col("__budget"), "short summary"))
+    return own.withColumn("reason", reason).drop("__budget")
 
 
 def donors(pairs: DataFrame, name: str, group: str, k: int, seed: int, block_rows: int = 1000) -> DataFrame:
-    """(name, donor, nth): up to k other pairs of other groups for each pair, drawn by hash.
+    """(name, donor, nth): k other pairs of other groups for each pair, drawn by hash; all there are in its block, if fewer.
 
-    Pairs are dealt to blocks by hash and ordered by a seeded hash inside; the next ones of another group
-    are the donors. Nothing is crossed, and a block is of bounded size.
+    Pairs are dealt to blocks of about ``block_rows`` by hash and stand in a ring there, group by group. The donors of
+    a pair are the next k from a drawn place among those beyond its own group, so each is found by its place in
+    an equi-join: nothing is crossed, and a large group neither runs out of donors nor is read through. Pairs
+    under the budget must have been left out before, as donors must not be shorter.
     """
-    n = pairs.count()
-    blocks = -(-n // block_rows) or 1
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(name).cast("string")).cast("binary"))
-    own = pairs.select(F.col(name).alias("name"), F.col(group).alias("g"), h.alias("h")).withColumn("block", F.pmod(F.conv(F.substring("h", 1, 7), 16, 10).cast("long"), F.lit(blocks)))
-    ahead = F.expr(f"collect_list(struct(name, g)) over (partition by block order by h, name rows between 1 following and {4 * k} following)")
-    found = own.withColumn("next", ahead).select("name", F.slice(F.filter("next", lambda x: x["g"] != F.col("g")), 1, k).alias("next"))
-    return found.select("name", F.posexplode("next").alias("nth", "d")).select("name", F.col("d.name").alias("donor"), "nth")
+    blocks = -(-pairs.count() // block_rows) or 1
+    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), F.col(name).cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    own = pairs.select(F.col(name).alias("name"), F.col(group).alias("g"), drawn("").alias("h"), drawn("p").alias("p")).withColumn("block", F.pmod("h", F.lit(blocks)))
+    own = own.selectExpr("*", "row_number() over (partition by block order by g, h, name) - 1 as i", "count(*) over (partition by block) as n", "count(*) over (partition by block, g) as s")
+    own = own.withColumn("first", F.expr("min(i) over (partition by block, g)")).withColumn("m", F.col("n") - F.col("s"))
+    wanted = own.where("m > 0").withColumn("nth", F.explode(F.expr(f"sequence(0, cast(least({k}, m) as int) - 1)")))
+    wanted = wanted.select("name", "nth", "block", F.expr("(first + s + (p + nth) % m) % n").alias("i"))
+    return wanted.join(own.select("block", "i", F.col("name").alias("donor")), ["block", "i"]).select("name", "donor", "nth")
+
+
+def shuffled(words: Column, *seeds: Column) -> Column:
+    """The words in an order drawn by MD5 of the seeds and the position."""
+    tagged = F.transform(words, lambda x, i: F.concat(F.md5(F.concat_ws("|", *seeds, i.cast("string")).cast("binary")), F.lit("|"), x))
+    return F.transform(F.array_sort(tagged), lambda x: F.substring(x, F.lit(34), F.length(x)))
 
 
 def first_by_role(messages: DataFrame, conv: str, turn: str, role: str, text: str, roles: list[str]) -> DataFrame:

@@ -19,13 +19,14 @@ def sem(v: str | Column) -> Column:
     return F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v) / F.sqrt(F.count(v)), F.lit(0.0)))
 
 
-def upper_median(v: str | Column) -> Column:
-    """The element n div 2 of the sorted values: the upper of the two in the middle."""
-    return F.try_element_at(F.array_sort(F.collect_list(v)), (F.floor(F.count(v) / 2) + 1).cast("int"))
+def upper_median(v: str) -> Column:
+    """The element n div 2 of the sorted values: the upper of the two in the middle. Kept as counts of values."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{v}` desc)")
 
 
-def low_decile(v: str | Column) -> Column:
-    return F.try_element_at(F.array_sort(F.collect_list(v)), (F.floor(F.count(v) / 10) + 1).cast("int"))
+def low_decile(v: str) -> Column:
+    """The element n div 10 of the sorted values."""
+    return F.expr(f"percentile_disc(0.9) within group (order by `{v}` desc)")
 
 
 def subset_stats(tokens: DataFrame, keys: list[str], nll: str = "nll", chars: str = "n_char", overlap: str = "overlap") -> DataFrame:
@@ -39,6 +40,12 @@ def subset_stats(tokens: DataFrame, keys: list[str], nll: str = "nll", chars: st
         (F.col("nats") / F.col("n_tok")).alias("npt"), F.when(F.col("n_char") > 0, F.col("nats") / F.col("n_char")).alias("npc"))
 
 
+def over_donors(stats: DataFrame, prefix: str = "foreign") -> DataFrame:
+    """``stats`` with the conditions foreign0, foreign1, ... of a pair replaced by one, the mean of each statistic over them."""
+    cond = F.when(F.col("cond").startswith(prefix), F.lit(prefix)).otherwise(F.col("cond")).alias("cond")
+    return stats.groupBy("name", cond, "part").agg(*[F.avg(c).alias(c) for c in ("n_tok", "n_char", "nats", "npt", "npc")])
+
+
 def deltas(stats: DataFrame, key: str = "name") -> DataFrame:
     """(key, <cond>_<part>, signal_<part>): NLL without context minus NLL with each; NULL where either is missing."""
     names = [f"{c}_{p}" for c in ("none", *CONDITIONS) for p in PARTS]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 HEADER = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ)\s+(\S+?)@(\S+)\s+::\s+(.*)$"
 TAG = r"^\[([a-z0-9-]+)\]\s*"
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ssX"
-CHARS, LINES, LEAST_LINES, LEAST_CHARS = 4200, 22, 4, 1800
+CHARS, LINES, LEAST_LINES, LEAST_CHARS, TAIL = 4200, 22, 4, 1800, 2500
 
 
 def parse_line(line: Column) -> dict[str, Column]:
@@ -34,6 +34,14 @@ def fold(lines: DataFrame, is_header: Column, board: str, seq: str, line: str) -
     return marked.groupBy(board, "entry").agg(F.min(seq).alias("first_seq"), F.array_join(F.transform(at, lambda x: x[line]), "\n").alias("body"))
 
 
+def take_first(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in an order; ValueError where there are fewer."""
+    out = rows.orderBy(*order).limit(n)
+    if out.count() < n:
+        raise ValueError(f"fewer than {n} rows")
+    return out
+
+
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key in the SQL order."""
     return rows.withColumn("__r", F.expr(f"row_number() over (partition by {', '.join(keys)} order by {order})")).where("__r = 1").drop("__r")
@@ -54,13 +62,15 @@ def sessions(log: DataFrame, handoff: str, lookback_h: int = 48, least: int = 3)
     The first handoff of a window looks back ``lookback_h`` hours; lines come before the handoff in the
     order (ts, seq).
     """
-    h = log.where(F.col("tag") == handoff).select("win", "seq", "ts", F.col("body").alias("summary"))
-    h = h.withColumn("lo", F.coalesce(F.expr("lag(ts) over (partition by win order by ts, seq)"), F.expr(f"ts - interval {lookback_h} hours")))
-    t = log.where(F.col("tag") != handoff).select("win", F.col("ts").alias("t"), F.col("seq").alias("s"), "body")
-    on = (t["win"] == h["win"]) & (t["t"] > h["lo"]) & ((t["t"] < h["ts"]) | ((t["t"] == h["ts"]) & (t["s"] < h["seq"])))
-    pairs = h.join(t, on).select(h["win"], h["seq"], h["ts"], h["summary"], "t", "s", "body")
+    order = "partition by win order by ts, seq"
+    own = log.withColumn("__h", F.when(F.col("tag") == handoff, F.struct("ts", "seq", F.col("body").alias("summary"))))
+    # each line belongs to the next handoff alone: the last one seen when the window's log is read backwards
+    own = own.withColumn("__next", F.expr("last(__h, true) over (partition by win order by ts desc, seq desc rows between unbounded preceding and 1 preceding)"))
+    own = own.withColumn("__lo", F.expr(f"last(__h.ts, true) over ({order} rows between unbounded preceding and 1 preceding)"))
+    lines = own.where(F.col("__h").isNull() & F.col("__next").isNotNull() & (F.col("ts") > F.coalesce("__lo", F.col("__next.ts") - F.expr(f"interval {lookback_h} hours"))))
     at = F.array_sort(F.collect_list(F.struct("t", "s", "body")))
-    out = pairs.groupBy("win", "seq", "ts", "summary").agg(F.count("*").alias("n_src_lines"), F.array_join(F.transform(at, lambda x: x["body"]), "\n").alias("source"))
+    out = lines.select("win", F.col("__next.seq").alias("seq"), F.col("__next.ts").alias("ts"), F.col("__next.summary").alias("summary"), F.col("ts").alias("t"), F.col("seq").alias("s"), "body")
+    out = out.groupBy("win", "seq", "ts", "summary").agg(F.count("*").alias("n_src_lines"), F.array_join(F.transform(at, lambda x: x["body"]), "\n").alias("source"))
     return out.where(F.col("n_src_lines") >= least)
 
 
@@ -75,33 +85,35 @@ def greedy_windows(lines: DataFrame, board: str, seq: str, line: str, blocked: s
     """(board, k, first_seq, n_lines, n_chars): disjoint windows cut one after another within each board.
 
     A window takes lines while it is under ``chars`` and ``most``, and ends before a blocked one; short
-    windows are dropped but their lines stay used. The state of one cut decides the next, so a board is
-    cut in one task; boards run side by side and only lengths travel.
+    windows are dropped but their lines stay used. The state of one cut decides the next up to a blocked line,
+    where it starts anew: the stretches between blocked lines are cut side by side, and only lengths travel.
     """
     rows = lines.select(F.col(board), F.col(seq), (F.length(line) + 1).alias("n"), F.col(blocked).alias("b"))
+    rows = rows.withColumn("__part", F.expr(f"sum(cast(b as int)) over (partition by `{board}` order by `{seq}`)")).where("not b").drop("b")
 
     def cut(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(seq, kind="stable")
-        n, bad, at, out = g["n"].tolist(), g["b"].tolist(), g[seq].tolist(), []
-        begin = size = count = 0
-        for i in range(len(n) + 1):
-            ends = i == len(n) or bad[i] or size >= chars or count >= most
-            if ends and count:
-                if count >= least_lines and size >= least_chars:
-                    out.append((g[board].iloc[0], len(out), at[begin], count, size))
+        out, begin, size, count = [], None, 0, 0
+        for at, n in zip(g[seq].tolist(), g["n"].tolist(), strict=True):
+            if count and (size >= chars or count >= most):
+                out.append((begin, count, size))
                 size = count = 0
-            if i < len(n) and not bad[i]:
-                begin = i if not count else begin
-                size, count = size + n[i], count + 1
-        return pd.DataFrame(out, columns=[board, "k", "first_seq", "n_lines", "n_chars"])
+            begin = at if not count else begin
+            size, count = size + n, count + 1
+        out.append((begin, count, size))
+        kept = pd.DataFrame(out, columns=["first_seq", "n_lines", "n_chars"]).query(f"n_lines >= {least_lines} and n_chars >= {least_chars}")
+        kept.insert(0, board, g[board].iloc[0])
+        return kept
 
     kind = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-    return rows.groupBy(board).applyInPandas(cut, f"`{board}` {kind[board]}, k long, first_seq {kind[seq]}, n_lines long, n_chars long")
+    cuts = rows.groupBy(board, "__part").applyInPandas(cut, f"`{board}` {kind[board]}, first_seq {kind[seq]}, n_lines long, n_chars long")
+    return cuts.select(board, F.expr(f"cast(row_number() over (partition by `{board}` order by first_seq) - 1 as long)").alias("k"), "first_seq", "n_lines", "n_chars")
 
 
-def strided_windows(lines: DataFrame, board: str, seq: str, line: str, n: int = 8, chars: int = CHARS, most: int = LINES) -> DataFrame:
-    """(board, k, seq, line): window k starts at row k * (rows div n) of its board; windows may overlap."""
-    own = lines.select(F.col(board), F.col(seq), F.col(line)).withColumn("i", F.expr(f"row_number() over (partition by `{board}` order by `{seq}`) - 1"))
+def strided_windows(lines: DataFrame, board: str, seq: str, line: str, n: int = 8, chars: int = CHARS, most: int = LINES, tail: int = TAIL) -> DataFrame:
+    """(board, k, seq, line): window k starts at row k * (rows div n) of the last ``tail`` rows of its board; windows may overlap."""
+    last = lines.select(F.col(board), F.col(seq), F.col(line)).withColumn("__r", F.expr(f"row_number() over (partition by `{board}` order by `{seq}` desc)")).where(F.col("__r") <= tail).drop("__r")
+    own = last.withColumn("i", F.expr(f"row_number() over (partition by `{board}` order by `{seq}`) - 1"))
     own = own.withColumn("step", F.expr(f"count(*) over (partition by `{board}`) div {n}"))
     # a row can belong only to windows that start at most ``most`` rows before it
     low = F.expr(f"greatest(0L, if(step = 0, 0L, (i - {most - 1} + step - 1) div step))")
@@ -111,14 +123,22 @@ def strided_windows(lines: DataFrame, board: str, seq: str, line: str, n: int =
     return rows.withColumn("before", before).where(f"before < {chars} and i - k * step < {most}").select(board, "k", seq, line)
 
 
+#: Lines of a window that are looked up together.
+HEAD = 4
+
+
 def locate(windows: DataFrame, lines: DataFrame, board: str, seq: str, line: str, wid: str, text: str) -> DataFrame:
     """(wid, board, i, j): where a window's lines stand as a run of a board's lines (first place), i inclusive, j exclusive.
 
-    An equi-join on the first line finds candidates; the rest of the run is compared after.
+    A join on a hash of the first lines together, up to HEAD, finds candidates; the whole run is compared after.
     """
-    w = windows.select(F.col(wid), F.split(text, "\n").alias("want")).withColumn("first", F.element_at("want", 1)).withColumn("n", F.size("want"))
-    own = lines.select(F.col(board), F.col(seq), F.col(line)).withColumn("i", F.expr(f"row_number() over (partition by `{board}` order by `{seq}`) - 1"))
-    cand = w.join(own, F.col("first") == F.col(line)).select(wid, board, "i", "want", "n")
+    w = windows.select(F.col(wid), F.split(text, "\n").alias("want")).withColumn("n", F.size("want"))
+    w = w.withColumn("m", F.least("n", F.lit(HEAD))).withColumn("head", F.xxhash64(F.slice("want", F.lit(1), F.col("m"))))
+    over = f"over (partition by `{board}` order by `{seq}`)"
+    own = lines.select(F.col(board), F.col(seq), F.col(line)).withColumn("i", F.expr(f"row_number() {over} - 1"))
+    ahead = own.select(board, "i", F.expr(f"collect_list(`{line}`) over (partition by `{board}` order by `{seq}` rows between current row and {HEAD - 1} following)").alias("next"))
+    heads = ahead.select(board, "i", F.explode(F.transform(F.sequence(F.lit(1), F.size("next")), lambda m: F.struct(m.alias("m"), F.xxhash64(F.slice("next", F.lit(1), m)).alias("head")))).alias("x")).select(board, "i", "x.*")
+    cand = w.join(heads, ["m", "head"]).select(wid, board, "i", "want", "n")
     steps = cand.select(wid, board, "i", "n", F.posexplode("want").alias("o", "w")).withColumn("at", F.col("i") + F.col("o"))
     hit = steps.join(
         own.selectExpr(f"`{board}` as __b", "i as __i", f"`{line}` as __l"), F.expr(f"`{board}` = __b and at = __i and w = __l"))
@@ -132,6 +152,30 @@ def outside(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str
     return rows.alias("r").join(spans.alias("s"), F.expr(cond), "left_anti")
 
 
+def merged_spans(spans: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """(keys, lo, hi): the disjoint unions of half-open spans."""
+    part = ", ".join(f"`{k}`" for k in keys)
+    reach = f"max(`{hi}`) over (partition by {part} order by `{lo}`, `{hi}` rows between unbounded preceding and 1 preceding)"
+    own = spans.select(*keys, lo, hi).withColumn("__new", F.expr(f"cast(coalesce(`{lo}` > {reach}, true) as int)"))
+    own = own.withColumn("__g", F.expr(f"sum(__new) over (partition by {part} order by `{lo}`, `{hi}` rows unbounded preceding)"))
+    return own.groupBy(*keys, "__g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__g")
+
+
+def blocked(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str) -> DataFrame:
+    """``rows`` with ``blocked``: whether the row number ``at`` lies in a half-open span of the same keys."""
+    m = merged_spans(spans, keys, lo, hi).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
+    cond = " and ".join([*(f"`{k}` = `__{k}`" for k in keys), f"`{at}` >= __lo and `{at}` < __hi"])
+    return rows.join(m, F.expr(cond), "left").withColumn("blocked", F.col("__lo").isNotNull()).drop(*[f"__{k}" for k in keys], "__lo", "__hi")
+
+
+def reruns(candidates: DataFrame, claimed: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
+    """(key, n_reruns): of each candidate how many of its runs of n lines are in a claimed text; 0 is kept, others are dropped."""
+    known = line_runs(claimed, key, text, n).select(F.xxhash64("run").alias("h"), "run").distinct().withColumn("known", F.lit(1))
+    own = line_runs(candidates, key, text, n).withColumn("h", F.xxhash64("run"))
+    found = own.join(known, ["h", "run"]).groupBy(key).agg(F.count("*").alias("n"))
+    return candidates.select(key).join(found, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_reruns"))
+
+
 def line_runs(texts: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     """(key, run): runs of n lines, repeats kept."""
     lines = F.col("__l")
@@ -142,16 +186,19 @@ def recurring(lines: DataFrame, texts: DataFrame, line: str, key: str, text: str
     """(line, key): lines that are substrings of texts.
 
     The second blank-separated token of a line of three or more stands whole in any text that holds the
-    line, so those join on it; only shorter lines are tried against all texts.
+    line, so those join on it. Shorter lines join on their first 8, 4, 2 or 1 characters, as many as they have, with
+    the distinct stretches of so many characters of the texts.
     """
     own = lines.select(F.col(line).alias("l")).where("l <> ''").distinct()
     t = texts.select(F.col(key), F.col(text).alias("t"))
-    token = F.element_at(F.split("l", " "), 2)
-    long = own.where(F.size(F.split("l", " ")) >= 3).withColumn("token", token)
+    n = F.size(F.split("l", " "))
+    long = own.where(n >= 3).withColumn("token", F.element_at(F.split("l", " "), 2))
     tokens = t.withColumn("token", F.explode(F.array_distinct(F.split("t", " "))))
-    short = own.where(F.size(F.split("l", " ")) < 3)
+    short = own.where(n < 3).withColumn("size", F.expr("case when length(l) >= 8 then 8 when length(l) >= 4 then 4 when length(l) >= 2 then 2 else 1 end")).withColumn("token", F.expr("substring(l, 1, size)"))
+    cut = t.withColumn("size", F.explode(F.array(*map(F.lit, (8, 4, 2, 1))))).where("length(t) >= size")
+    cut = cut.withColumn("token", F.explode(F.expr("array_distinct(transform(sequence(1, length(t) - size + 1), i -> substring(t, i, size)))")))
     found = long.join(tokens, "token").where(F.contains("t", F.col("l"))).select("l", key)
-    return found.union(short.join(t, F.contains("t", F.col("l"))).select("l", key)).withColumnRenamed("l", line)
+    return found.union(short.join(cut, ["size", "token"]).where(F.contains("t", F.col("l"))).select("l", key)).withColumnRenamed("l", line)
 
 
 def voices(text: Column) -> Column:

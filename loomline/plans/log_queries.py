@@ -19,11 +19,11 @@ LOG = "(select event_id as seq, date_trunc('second', ts) as ts, 'u' || user_id a
 
 
 def rendered(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("  "), "win", F.lit("@mesh  ::  ["), "tag", F.lit("] "), "body")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("  "), "win", F.lit("@host1  ::  ["), "tag", F.lit("] "), "body")
     return log(spark, d).select("seq", "win", line.alias("line"))
 
 
-@query(f"""with r as (select seq, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '  ' || win || '@mesh  ::  [' || tag || '] ' || body as line from {LOG})
+@query(f"""with r as (select seq, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '  ' || win || '@host1  ::  [' || tag || '] ' || body as line from {LOG})
 select seq, strptime(regexp_extract(line, '^(\\S+)\\s', 1), '%Y-%m-%dT%H:%M:%SZ') as ts, regexp_extract(line, '^\\S+\\s+(\\S+?)@', 1) as win, regexp_extract(line, '@(\\S+)\\s+::', 1) as host,
  regexp_extract(line, '::\\s+\\[([a-z0-9-]+)\\]', 1) as tag, regexp_extract(line, '::\\s+(.*)$', 1) as body from r""")
 def parse_log(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +81,23 @@ o as (select * from k where n_lines >= {ll} and n_chars >= {lc})
 select board as {board}, (row_number() over (partition by board order by w) - 1)::bigint as k, first_seq, n_lines, n_chars from o"""
 
 
-@query(_greedy.format(board="win", seq="seq", line="body", blocked="tag = 'error'", src=LOG, chars=200, most=22, ll=4, lc=60))
+SPOKEN = "(win || ': ' || body)"
+
+
+def spoken(own: DataFrame) -> DataFrame:
+    """A log with ``line``: each entry as it stands in a window."""
+    return own.withColumn("line", F.concat("win", F.lit(": "), "body"))
+
+
+@query(_greedy.format(board="win", seq="seq", line=SPOKEN, blocked="tag = 'error'", src=LOG, chars=200, most=22, ll=4, lc=60))
 def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
-    return W.greedy_windows(log(spark, d).withColumn("b", F.col("tag") == "error"), "win", "seq", "body", "b", 200, 22, 4, 60)
+    return W.greedy_windows(spoken(log(spark, d)).withColumn("b", F.col("tag") == "error"), "win", "seq", "line", "b", 200, 22, 4, 60)
 
 
-_strided = f"""o as (select win, seq, body, row_number() over (partition by win order by seq) - 1 as i, count(*) over (partition by win) // 8 as step from {LOG}),
+#: Windows are cut from the last so many rows of a board; few, so that the small tables have longer ones.
+TAIL = 40
+_strided = f"""tl as (select win, seq, {SPOKEN} as body from (select *, row_number() over (partition by win order by seq desc) as r from {LOG}) where r <= {TAIL}),
+o as (select win, seq, body, row_number() over (partition by win order by seq) - 1 as i, count(*) over (partition by win) // 8 as step from tl),
 e as (select o.*, k from o, range(8) t(k) where i >= k * step),
 c as (select *, coalesce(sum(length(body) + 1) over (partition by win, k order by i rows between unbounded preceding and 1 preceding), 0) as before from e),
 w as (select win, k, seq, body from c where before < 4200 and i - k * step < 22)"""
@@ -94,13 +105,17 @@ w as (select win, k, seq, body from c where before < 4200 and i - k * step < 22)
 
 @query(f"with {_strided} select win, k, seq, body from w")
 def strided_windows(spark: SparkSession, d: str) -> DataFrame:
-    return W.strided_windows(log(spark, d), "win", "seq", "body")
+    return strided(log(spark, d))
+
+
+def strided(own: DataFrame) -> DataFrame:
+    return W.strided_windows(spoken(own), "win", "seq", "line", tail=TAIL).withColumnRenamed("line", "body")
 
 
 @query(f"with {_strided}, s as (select win, min(ts) as lo, max(ts) as hi from w join {LOG} l using (win, seq) where k % 3 = 0 group by win, k) select l.seq, l.win, l.ts from {LOG} l where not exists (select 1 from s where s.win = l.win and l.ts between s.lo and s.hi)")
 def holdout_spans_antijoin(spark: SparkSession, d: str) -> DataFrame:
     own = log(spark, d)
-    spans = W.strided_windows(own, "win", "seq", "body").where("k % 3 = 0").join(own.select("win", "seq", "ts"), ["win", "seq"]).groupBy("win", "k").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    spans = strided(own).where("k % 3 = 0").join(own.select("win", "seq", "ts"), ["win", "seq"]).groupBy("win", "k").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     return W.outside(own, spans, ["win"], "ts", "lo", "hi").select("seq", "win", "ts")
 
 
@@ -108,35 +123,37 @@ _wtext = f"{_strided}, t as (select win || '/' || k as wid, win, k, string_agg(b
 
 
 def _window_texts(spark: SparkSession, d: str) -> DataFrame:
-    w = W.strided_windows(log(spark, d), "win", "seq", "body")
+    w = strided(log(spark, d))
     at = F.array_sort(F.collect_list(F.struct("seq", "body")))
     return w.groupBy("win", "k").agg(F.array_join(F.transform(at, lambda x: x["body"]), "\n").alias("text")).withColumn("wid", F.concat_ws("/", "win", F.col("k").cast("string")))
 
 
-@query(f"""with {_wtext}, x as (select wid, string_split(text, chr(10)) as want from t), l as (select win as board, body, row_number() over (partition by win order by seq) - 1 as i from {LOG}),
+@query(f"""with {_wtext}, x as (select wid, string_split(text, chr(10)) as want from t), l as (select win as board, {SPOKEN} as body, row_number() over (partition by win order by seq) - 1 as i from {LOG}),
 cand as (select wid, board, i, want from x join l on want[1] = body), st as (select wid, board, i, len(want) as n, unnest(want) as w, generate_subscripts(want, 1) - 1 as o from cand),
 hit as (select st.wid, st.board, st.i, n from st join l on l.board = st.board and l.i = st.i + o and l.body = w),
 f as (select wid, board, i, n, count(*) as m from hit group by 1, 2, 3, 4 having count(*) = n), r as (select *, row_number() over (partition by wid order by board, i) as k from f)
 select wid, board as win, i, i + n as j from r where k = 1""")
 def locate_window(spark: SparkSession, d: str) -> DataFrame:
-    return W.locate(_window_texts(spark, d), log(spark, d), "win", "seq", "body", "wid", "text").withColumn("j", F.col("j").cast("long"))
+    return W.locate(_window_texts(spark, d), spoken(log(spark, d)), "win", "seq", "line", "wid", "text").withColumn("j", F.col("j").cast("long"))
 
 
-@query(_greedy.format(board="win", seq="seq", line="body", blocked="b", src=f"(with {_strided} select l.*, exists (select 1 from w where w.win = l.win and w.seq = l.seq and w.k % 4 = 0) as b from {LOG} l)", chars=4200, most=22, ll=3, lc=30))
+@query(_greedy.format(board="win", seq="seq", line=SPOKEN, blocked="b", src=f"(with {_strided}, lr as (select *, row_number() over (partition by win order by seq) - 1 as nr from {LOG}), sp as (select w.win, k, min(nr) as lo, max(nr) + 1 as hi from w join lr using (win, seq) where k < 2 group by 1, 2) select lr.*, exists (select 1 from sp where sp.win = lr.win and lr.nr >= sp.lo and lr.nr < sp.hi) as b from lr)", chars=4200, most=22, ll=3, lc=30))
 def recut_windows(spark: SparkSession, d: str) -> DataFrame:
-    own = log(spark, d)
-    claimed = W.strided_windows(own, "win", "seq", "body").where("k % 4 = 0").select("win", "seq").distinct().withColumn("b", F.lit(True))
-    return W.greedy_windows(own.join(claimed, ["win", "seq"], "left").withColumn("b", F.coalesce("b", F.lit(False))), "win", "seq", "body", "b", 4200, 22, 3, 30)
+    """Windows cut from what the rows of two frozen ones leave: spans of row numbers block."""
+    own = spoken(log(spark, d)).withColumn("at", F.expr("row_number() over (partition by win order by seq) - 1"))
+    spans = strided(log(spark, d)).where("k < 2").join(own.select("win", "seq", "at"), ["win", "seq"]).groupBy("win", "k").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi"))
+    return W.greedy_windows(W.blocked(own, spans, ["win"], "at", "lo", "hi"), "win", "seq", "line", "blocked", 4200, 22, 3, 30)
 
 
 _runs = "select {k}, unnest(case when len(l) >= {n} then list_transform(range(1, len(l) - {n} + 2), lambda i: array_to_string(l[i:i + {n} - 1], chr(10))) else [] end) as run from (select {k}, string_split(text, chr(10)) as l from {t})"
 
 
-@query(f"with d as ({_runs.format(k='doc_id', n=2, t='documents')}), c as (select run, count(distinct doc_id) as n from d group by 1 having count(distinct doc_id) > 1) select doc_id, count(*)::bigint as n_shared from d join c using (run) group by 1")
+@query(f"""with {_wtext}, cl as (select * from t where k < 2), cd as (select * from t where k >= 2), r as (select distinct run from ({_runs.format(k='wid', n=4, t='cl')})),
+h as (select wid, count(*) as n from ({_runs.format(k='wid', n=4, t='cd')}) join r using (run) group by 1) select wid, coalesce(h.n, 0)::bigint as n_reruns, coalesce(h.n, 0) > 0 as dropped from cd left join h using (wid)""")
 def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
-    runs = W.line_runs(table(spark, d, "documents"), "doc_id", "text", 2)
-    shared = runs.distinct().groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    return runs.join(shared, "run").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+    """Candidate windows that repeat a run of four lines of a frozen one are dropped."""
+    texts = _window_texts(spark, d)
+    return W.reruns(texts.where("k >= 2"), texts.where("k < 2"), "wid", "text").withColumn("dropped", F.col("n_reruns") > 0)
 
 
 @query("with l as (select distinct unnest(string_split(text, chr(10))) as line from documents) select line, item_id from l join benchmark b on contains(b.text, line) where line <> ''")
@@ -157,7 +174,7 @@ def window_shape(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.stats import low_decile
 
     m = _window_texts(spark, d).select("win", F.size(F.split("text", "\n")).cast("long").alias("n"), F.length("text").alias("c"))
-    return m.groupBy("win").agg(F.count("*").alias("n"), F.median("n").alias("med_lines"), low_decile("n").alias("p10_lines"), F.median("c").alias("med_chars"))
+    return m.groupBy("win").agg(F.count("*").alias("n"), F.median("n").alias("med_lines"), low_decile("n").cast("long").alias("p10_lines"), F.median("c").alias("med_chars"))
 
 
 @query("with p as (select doc_id, lang, i, p from (select doc_id, lang, unnest(string_split(text, chr(10))) as p, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)), c as (select *, coalesce(sum(length(p) + 2) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as before from p) select doc_id, i::int as i, p as line from c where before < 1000")
@@ -209,14 +226,14 @@ def stable_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select seq, ts, win from {LOG} order by seq limit 97")
 def take_first_n(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).select("seq", "ts", "win").orderBy("seq").limit(97)
+    return W.take_first(log(spark, d).select("seq", "ts", "win"), ["seq"], 97)
 
 
-@query(f"with d as (select distinct win, strftime(ts, '%Y-%m-%d') as day from {LOG}), r as (select *, dense_rank() over (partition by win order by day desc) as k from d) select l.seq, l.win, r.day from {LOG} l join r on l.win = r.win and strftime(l.ts, '%Y-%m-%d') = r.day where k <= 8")
+@query(f"with d as (select distinct strftime(ts, '%Y-%m-%d') as day from {LOG}), r as (select day from d order by day desc limit 8) select l.seq, l.win, r.day from {LOG} l join r on strftime(l.ts, '%Y-%m-%d') = r.day")
 def last_n_days(spark: SparkSession, d: str) -> DataFrame:
     own = log(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    days = own.select("win", "day").distinct().withColumn("k", F.expr("dense_rank() over (partition by win order by day desc)")).where("k <= 8").drop("k")
-    return own.join(days, ["win", "day"]).select("seq", "win", "day")
+    days = own.select("day").distinct().orderBy(F.desc("day")).limit(8)
+    return own.join(F.broadcast(days), "day").select("seq", "win", "day")  # eight rows
 
 
 @query(f"select seq, win, strftime(ts, '%m%dT%H%M') as stamp, round(epoch(ts - lag(ts) over (partition by win order by ts, seq)) / 3600.0, 6) as gap_h from {LOG}")
@@ -235,4 +252,4 @@ def upper_median_gap(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.stats import upper_median
 
     g = log(spark, d).select("win", F.expr("unix_timestamp(ts) - unix_timestamp(lag(ts) over (partition by win order by ts, seq))").alias("gap"))
-    return g.groupBy("win").agg(upper_median("gap").alias("upper_median"), F.min("gap").alias("least"), F.max("gap").alias("most"))
+    return g.groupBy("win").agg(upper_median("gap").cast("long").alias("upper_median"), F.min("gap").alias("least"), F.max("gap").alias("most"))

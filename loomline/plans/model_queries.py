@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import models as M
 from ..operators import ngrams as N
+from ..operators import pairs as P
 from ..operators import stats as S
-from .pair_queries import CONV, conversations
+from .pair_queries import CONV, conversations, donor_sql, shuffle_sql
 from .registry import query, table
 
 WORDS = "regexp_extract_all(lower({0}), '[a-z'']+')"
@@ -34,9 +36,12 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.round(c, 9).alias(c) if c in cols else c for c in df.columns])
 
 
-@query(f"select ctx, tok, c::bigint as c from ({counts_sql('documents')})")
+@query(f"with c as ({counts_sql('documents')}), v as (select count(distinct tok) as v from c) select ctx, tok, c::bigint as c, round((c + 0.1) / (sum(c) over (partition by ctx) + 0.1 * v), 9) as p from c, v")
 def ngram_lm_fit(spark: SparkSession, d: str) -> DataFrame:
-    return M.bigram_counts(table(spark, d, "documents"))
+    """Bigrams smoothed by a tenth of a count for each known word."""
+    counts = M.bigram_counts(table(spark, d, "documents"))
+    known = counts.select("tok").distinct().count()
+    return counts.join(rounded(M.probabilities(counts, 0.1, known), "p"), ["ctx", "tok"])
 
 
 @query(f"with r as (select *, row_number() over (partition by ctx order by p desc, tok) as r from {BENCH}) select ctx, tok, round(p, 9) as p from r where r <= 5")
@@ -64,27 +69,35 @@ def product_of_experts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _uni = f"u as (select w as tok, count(*) as c from (select unnest({WORDS.format('text')}) as w from conversations) group by 1), t as (select sum(c) as n, count(*) as v from u)"
-_src = f"pr as (select conv_id as name, source, summary from {CONV} where source is not null and summary is not null), s as (select name, unnest({WORDS.format('source')}) as tok, generate_subscripts({WORDS.format('source')}, 1) - 1 as pos from pr)"
+#: Words of each summary that are given, and summaries of others that are tried for each pair.
+BUDGET, DONORS = 8, 3
+_src = f"pr as (select conv_id as name, source, array_to_string(string_split(summary, ' ')[1:{BUDGET}], ' ') as summary from {CONV} where source is not null and summary is not null and len(string_split(summary, ' ')) >= {BUDGET}), s as (select name, tok, pos, lag(tok) over (partition by name order by pos) as prev from (select name, unnest({WORDS.format('source')}) as tok, generate_subscripts({WORDS.format('source')}, 1) - 1 as pos from pr))"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return conversations(spark, d).where("source is not null and summary is not null").select(F.col("conv_id").alias("name"), "source", "summary")
+    own = conversations(spark, d).where("source is not null and summary is not null").where(F.size(F.split("summary", " ")) >= BUDGET)
+    return own.select(F.col("conv_id").alias("name"), "source", F.array_join(F.slice(F.split("summary", " "), 1, BUDGET), " ").alias("summary"))
 
 
 def _nll(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair without context, with its own summary, with those of DONORS other pairs, and with its own shuffled."""
     pairs = _pairs(spark, d)
-    given = pairs.select("name", F.lit("none").alias("cond"), F.lit("").alias("body")).union(pairs.select("name", F.lit("own"), "summary"))
-    ring = pairs.select((F.col("name") + 1).alias("name"), F.lit("foreign").alias("cond"), F.col("summary").alias("body"))
-    given = given.union(ring.join(pairs.select("name"), "name", "left_semi")).union(pairs.select("name", F.lit("shuffled"), F.array_join(F.shuffle(F.split("summary", " "), F.lit(3)), " ")))
+    mixed = P.shuffled(F.split("summary", " "), F.lit("3"), F.col("name").cast("string"))
+    given = pairs.select("name", F.lit("none").alias("cond"), F.lit("").alias("body")).union(pairs.select("name", F.lit("own"), "summary")).union(pairs.select("name", F.lit("shuffled"), F.array_join(mixed, " ")))
+    donors = P.donors(pairs, "name", "name", DONORS, 7).join(pairs.select(F.col("name").alias("donor"), F.col("summary").alias("body")), "donor")
+    given = given.union(donors.select("name", F.concat(F.lit("foreign"), F.col("nth").cast("string")), "body"))
     return M.conditional_nll(pairs, given, N.word_counts(table(spark, d, "conversations")))
 
 
-_nll_sql = f"""{_uni}, {_src}, own as (select distinct name, unnest({WORDS.format('summary')}) as tok, true as ov from pr),
-g as (select name, 'none' as cond, '' as body from pr union all select name, 'own', summary from pr union all select pr.name, 'foreign', o.summary from pr join pr o on o.name = pr.name - 1 union all select name, 'shuffled', summary from pr),
-gw as (select name, cond, {WORDS.format('body')} as w from g), k as (select name, cond, tok, count(*) as k from (select name, cond, unnest(w) as tok from gw) group by 1, 2, 3),
-x as (select s.name, gw.cond, s.pos, s.tok, length(s.tok) as n_char, coalesce(ov, false) as overlap, (coalesce(u.c, 0) + 1)::double / (n + v + 1) as p0, len(w) as m, coalesce(k.k, 0) as k
- from s cross join t left join u on u.tok = s.tok left join own on own.name = s.name and own.tok = s.tok join gw on gw.name = s.name left join k on k.name = s.name and k.cond = gw.cond and k.tok = s.tok),
-y as (select name, cond, pos, tok, n_char, overlap, -ln(case when m > 0 then 0.5 * k / m + 0.5 * p0 else p0 end) as nll from x)"""
+_nll_sql = f"""{_uni}, {_src}, own as (select distinct name, unnest({WORDS.format('summary')}) as tok, true as ov from pr), {donor_sql('pr', 'name', 'name', 7, DONORS)},
+gv as (select name, 'none' as cond, '' as body from pr union all select name, 'own', summary from pr union all select dn.name, 'foreign' || nth, pr.summary from dn join pr on pr.name = donor
+ union all select name, 'shuffled', array_to_string({shuffle_sql("string_split(summary, ' ')", "'3'", 'name')}, ' ') from pr),
+gw as (select name, cond, {WORDS.format('body')} as w from gv), k as (select name, cond, tok, count(*) as k from (select name, cond, unnest(w) as tok from gw) group by 1, 2, 3),
+fl as (select name, cond, w[i] as prev, w[i + 1] as tok from (select name, cond, w, unnest(range(1, len(w))) as i from gw)), k2 as (select name, cond, prev, tok, count(*) as k2 from fl group by 1, 2, 3, 4), m2 as (select name, cond, prev, count(*) as m2 from fl group by 1, 2, 3),
+x as (select s.name, gw.cond, s.pos, s.tok, length(s.tok) as n_char, coalesce(ov, false) as overlap, (coalesce(u.c, 0) + 1)::double / (t.n + v + 1) as p0, len(w) as m, coalesce(k.k, 0) as k, coalesce(m2.m2, 0) as m2, coalesce(k2.k2, 0) as k2
+ from s cross join t left join u on u.tok = s.tok left join own on own.name = s.name and own.tok = s.tok join gw on gw.name = s.name left join k on k.name = s.name and k.cond = gw.cond and k.tok = s.tok
+ left join m2 on m2.name = s.name and m2.cond = gw.cond and m2.prev = s.prev left join k2 on k2.name = s.name and k2.cond = gw.cond and k2.prev = s.prev and k2.tok = s.tok),
+y as (select name, cond, pos, tok, n_char, overlap, -ln(case when m > 0 then 0.25 * k / m else 0.25 * p0 end + case when m2 > 0 then 0.25 * k2 / m2 else 0.25 * p0 end + 0.5 * p0) as nll from x)"""
 
 
 @query(f"with {_nll_sql} select name, cond, pos::int as pos, tok, round(nll, 6) as nll from y where cond = 'none'")
@@ -97,12 +110,23 @@ def overlap_novel_partition(spark: SparkSession, d: str) -> DataFrame:
     return _nll(spark, d).groupBy("name", "cond", "overlap").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_nll_sql} select name, cond, count_if(overlap) + count_if(not overlap) = count(*) as whole from y group by 1, 2")
+@query(f"""with {_nll_sql}, q as (select name, pos, tok from y where cond = 'own'), ov as (select name, pos from q where tok in (select tok from own where own.name = q.name)), nv as (select name, pos from q where tok not in (select tok from own where own.name = q.name)),
+n as (select name, count(*) as n from q group by 1), a as (select name, count(*) as a from ov group by 1), b as (select name, count(*) as b from nv group by 1)
+select name, n::bigint as n, coalesce(a, 0)::bigint as n_overlap, coalesce(b, 0)::bigint as n_novel, 0::bigint as n_both, coalesce(a, 0) + coalesce(b, 0) = n as whole from n left join a using (name) left join b using (name)""")
 def partition_gate(spark: SparkSession, d: str) -> DataFrame:
-    return _nll(spark, d).groupBy("name", "cond").agg((F.count_if("overlap") + F.count_if(~F.col("overlap")) == F.count("*")).alias("whole"))
+    """The scored parts against places found by a semi-join and an anti-join on the summary's words: disjoint, and all together."""
+    pairs = _pairs(spark, d)
+    said = pairs.select("name", F.explode(F.array_distinct(X.words(F.col("summary")))).alias("tok"))
+    scored = _nll(spark, d).where("cond = 'own'").select("name", "pos", "tok", "overlap")
+    inside = scored.join(said, ["name", "tok"], "left_semi").select("name", "pos", F.lit(1).alias("a"))
+    beyond = scored.join(said, ["name", "tok"], "left_anti").select("name", "pos", F.lit(1).alias("b"))
+    rows = scored.join(inside, ["name", "pos"], "left").join(beyond, ["name", "pos"], "left")
+    count = lambda c: F.count_if(F.expr(c))
+    out = rows.groupBy("name").agg(F.count("*").alias("n"), count("overlap and a = 1").alias("n_overlap"), count("not overlap and b = 1").alias("n_novel"), count("a = 1 and b = 1").alias("n_both"))
+    return out.withColumn("whole", (F.col("n_overlap") + F.col("n_novel") == F.col("n")) & (F.col("n_both") == 0))
 
 
-_stats = f"{_nll_sql}, pt as (select y.*, unnest(['all', case when overlap then 'overlap' else 'novel' end]) as part from y), sb as (select name, cond, part, count(*) as n_tok, sum(n_char) as n_char, sum(nll) as nats from pt group by 1, 2, 3), wh as (select distinct name, cond, unnest(['all', 'overlap', 'novel']) as part from y), st as (select name, cond, part, coalesce(n_tok, 0)::bigint as n_tok, coalesce(n_char, 0)::bigint as n_char, coalesce(nats, 0) as nats, nats / n_tok as npt, case when n_char > 0 then nats / n_char end as npc from wh left join sb using (name, cond, part))"
+_stats = f"{_nll_sql}, pt as (select y.*, unnest(['all', case when overlap then 'overlap' else 'novel' end]) as part from y), sb as (select name, cond, part, count(*) as n_tok, sum(n_char) as n_char, sum(nll) as nats from pt group by 1, 2, 3), wh as (select distinct name, cond, unnest(['all', 'overlap', 'novel']) as part from y), st as (select name, cond, part, coalesce(n_tok, 0)::bigint as n_tok, coalesce(n_char, 0)::bigint as n_char, coalesce(nats, 0) as nats, nats / n_tok as npt, case when n_char > 0 then nats / n_char end as npc from wh left join sb using (name, cond, part)), fm as (select name, case when cond like 'foreign%' then 'foreign' else cond end as cond, part, avg(n_tok) as n_tok, avg(n_char) as n_char, avg(nats) as nats, avg(npt) as npt, avg(npc) as npc from st group by 1, 2, 3)"
 
 
 @query(f"with {_stats} select name, cond, part, n_tok, n_char, round(nats, 5) as nats, round(npt, 6) as npt, round(npc, 6) as npc from st")
@@ -111,21 +135,23 @@ def nll_subset_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("name", "cond", "part", "n_tok", "n_char", F.round("nats", 5).alias("nats"), F.round("npt", 6).alias("npt"), F.round("npc", 6).alias("npc"))
 
 
-@query(f"with {_stats} select cond, part, round(avg(npc), 6) as npc, count(npc)::bigint as n from st group by 1, 2")
+@query(f"with {_stats} select name, cond, part, round(n_tok, 6) as n_tok, round(nats, 5) as nats, round(npc, 6) as npc from fm where cond = 'foreign'")
 def foreign_mean(spark: SparkSession, d: str) -> DataFrame:
-    return S.subset_stats(_nll(spark, d), ["name", "cond"]).groupBy("cond", "part").agg(F.round(F.avg("npc"), 6).alias("npc"), F.count("npc").alias("n"))
+    """Every statistic of a pair under others' summaries, as the mean over its donors."""
+    out = S.over_donors(S.subset_stats(_nll(spark, d), ["name", "cond"])).where("cond = 'foreign'")
+    return out.select("name", "cond", "part", F.round("n_tok", 6).alias("n_tok"), F.round("nats", 5).alias("nats"), F.round("npc", 6).alias("npc"))
 
 
-_deltas = f"{_stats}, dl as (select name, " + ", ".join(f"max(npc) filter (cond = 'none' and part = '{p}') - max(npc) filter (cond = '{c}' and part = '{p}') as {c}_{p}" for c in ("own", "foreign", "shuffled") for p in ("all", "overlap", "novel")) + " from st group by 1), dd as (select *, " + ", ".join(f"own_{p} - foreign_{p} as signal_{p}" for p in ("all", "overlap", "novel")) + " from dl)"
+_deltas = f"{_stats}, dl as (select name, " + ", ".join(f"max(npc) filter (cond = 'none' and part = '{p}') - max(npc) filter (cond = '{c}' and part = '{p}') as {c}_{p}" for c in ("own", "foreign", "shuffled") for p in ("all", "overlap", "novel")) + " from fm group by 1), dd as (select *, " + ", ".join(f"own_{p} - foreign_{p} as signal_{p}" for p in ("all", "overlap", "novel")) + " from dl)"
 _cells = [f"{c}_{p}" for c in ("own", "foreign", "shuffled", "signal") for p in ("all", "overlap", "novel")]
 
 
 def _delta(spark: SparkSession, d: str) -> DataFrame:
-    return S.deltas(S.subset_stats(_nll(spark, d), ["name", "cond"]))
+    return S.deltas(S.over_donors(S.subset_stats(_nll(spark, d), ["name", "cond"])))
 
 
 @query(f"with {_deltas} select name, " + ", ".join(f"round({c}, 5) + 0.0 as {c}" for c in _cells) + " from dd")
-def condent_deltas(spark: SparkSession, d: str) -> DataFrame:
+def context_deltas(spark: SparkSession, d: str) -> DataFrame:
     return _delta(spark, d).select("name", *[(F.round(c, 5) + 0.0).alias(c) for c in _cells])
 
 
@@ -144,22 +170,36 @@ def condition_by_axis(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def generate_words(spark: SparkSession, d: str) -> DataFrame:
-    starts = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.regexp_extract(F.lower("text"), "[a-z']+", 0).alias("tok"))
-    return M.generate(starts, M.bigram_counts(table(spark, d, "benchmark")), 5)
+    """Each benchmark item goes on from its first word for five words, two words of context rolling along."""
+    items = table(spark, d, "benchmark")
+    starts = items.select(F.col("item_id").alias("name"), F.regexp_extract(F.lower("text"), "[a-z']+", 0).alias("tok"))
+    draw = lambda counts: M.selection(M.probabilities(counts), 0.85, 40, 0.95)
+    return M.generate(starts, [draw(M.trigram_counts(items)), draw(M.bigram_counts(items))], 5)
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz "
 
 
 @query()
 def product_generate(spark: SparkSession, d: str) -> DataFrame:
-    return M.draw(M.nucleus(M.product(bench(spark, d), chat(spark, d), 0.5, 0.85), 0.95), F.lit(0.5))
+    """Letters drawn from the product of two experts, fitted on documents and on conversations, that must know the same letters."""
+    a, b = (M.letter_model(table(spark, d, t), ALPHABET) for t in ("documents", "conversations"))
+    M.same_vocabulary(a, b)
+    starts = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.regexp_extract(F.lower("text"), "[a-z]", 0).alias("tok"))
+    return M.generate(starts, [M.selection(M.product(a, b, 0.5, 0.85), 1.0, None, 0.95)], 4, 1, "")
+
+
+#: A vocabulary of the special token, 256 bytes and 16 merged symbols.
+VOCABULARY = 273
 
 
 @query()
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    merges = M.train_bpe(N.word_counts(table(spark, d, "benchmark")), 8)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "nth int, a string, b string")
+    merges = M.train_bpe(N.word_counts(table(spark, d, "documents")), VOCABULARY)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges, M.FIRST_MERGED)], "id int, a string, b string")
 
 
 @query()
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
-    own = N.word_counts(table(spark, d, "benchmark"))
-    return M.encode_bpe(own, M.train_bpe(own, 8))
+    own = N.word_counts(table(spark, d, "documents"))
+    return M.encode_bpe(own, M.train_bpe(own, VOCABULARY))

@@ -38,9 +38,14 @@ def pair_reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d).where("reason is not null").select("conv_id", "reason")
 
 
-@query(f"select conv_id, source, array_to_string(string_split(summary, ' ')[1:16], ' ') as summary from {CONV} where {_judge} is null")
+@query(f"""with bd as (select min(len(string_split(summary, ' '))) as b from {CONV} where length(summary) > 0)
+select conv_id, source, array_to_string(string_split(summary, ' ')[1:b], ' ') as summary from {CONV}, bd where coalesce(length(source), 0) > 0 and coalesce(length(summary), 0) > 0 and len(string_split(source, ' ')) >= 64 and len(string_split(summary, ' ')) >= b""")
 def pair_budget_filter(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).where("reason is null").select("conv_id", "source", F.array_join(F.slice(F.split("summary", " "), 1, 16), " ").alias("summary"))
+    """Pairs cut to the default budget, which is that of the shortest summary; pairs under it go and none is padded."""
+    own = conversations(spark, d)
+    budget = P.default_budget(own, F.col("summary"))
+    kept = P.judge(own, F.col("source"), F.col("summary"), 64).where("reason is null").join(F.broadcast(budget))  # one row
+    return kept.select("conv_id", "source", F.array_join(F.expr("slice(split(summary, ' '), 1, budget)"), " ").alias("summary"))
 
 
 @query(f"select conv_id from {CONV} where coalesce(length(source), 0) > 0 and coalesce(length(summary), 0) > 0")
@@ -97,10 +102,15 @@ def handoff_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return files.join(latest, "win", "left_anti").select("win")
 
 
-_donor = "with n as (select greatest(ceil(count(*) / 1000.0), 1)::bigint as blocks from supplier), o as (select s_suppkey as name, s_nationkey as g, md5('7|' || s_suppkey) as h from supplier), b as (select *, ('0x' || substr(h, 1, 7))::bigint % blocks as block from o, n), r as (select *, row_number() over (partition by block order by h, name) as i from b), p as (select a.name, c.name as donor, c.i, a.g as g, c.g as cg from r a join r c on a.block = c.block and c.i > a.i and c.i <= a.i + 12), k as (select name, donor, row_number() over (partition by name order by i) - 1 as nth from p where g <> cg)"
+def donor_sql(src: str, name: str, group: str, seed: int, k: int) -> str:
+    """CTEs that end in dn (name, donor, nth)."""
+    h = lambda salt: f"('0x' || substr(md5('{seed}{salt}|' || {name}), 1, 7))::bigint"
+    return f"""nb as (select greatest(ceil(count(*) / 1000.0), 1)::bigint as blocks from {src}), ow as (select {name} as name, {group} as g, {h('')} as h, {h('p')} as p from {src}), bl as (select *, h % blocks as block from ow, nb),
+rg as (select *, row_number() over (partition by block order by g, h, name) - 1 as i, count(*) over (partition by block) as n, count(*) over (partition by block, g) as s from bl), fr as (select *, min(i) over (partition by block, g) as first, n - s as m from rg),
+dn as (select a.name, c.name as donor, nth::int as nth from fr a, range({k}) r(nth), fr c where nth < a.m and c.block = a.block and c.i = (a.first + a.s + (a.p + nth) % a.m) % a.n)"""
 
 
-@query(f"{_donor} select name, donor, nth::int as nth from k where nth < 3")
+@query(f"with {donor_sql('supplier', 's_suppkey', 's_nationkey', 7, 3)} select name, donor, nth from dn")
 def foreign_donors(spark: SparkSession, d: str) -> DataFrame:
     return P.donors(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", 3, 7)
 
@@ -154,29 +164,37 @@ def mask_and_pack(spark: SparkSession, d: str) -> DataFrame:
     return own.select("conv_id", join(made["input_ids"]).alias("input_ids"), join(made["labels"]).alias("labels"), F.least(F.size("p") + F.size("t"), F.lit(64)).cast("long").alias("n"))
 
 
-@query()
+@query("select doc_id, case when text is not null then list_reduce(list_prepend(length(text), range(200)), lambda a, x: case when a + 200 > 1024 and a > 500 then floor(a * 0.9)::bigint else a end) end::bigint as n_chars from documents")
 def shrink_to_fit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", P.shrink_to_fit(F.length("text"), F.lit(200), 1024).alias("n_chars"))
 
 
-@query()
+@query("select doc_id, lang, row_number() over (partition by lang, source order by md5('11|' || doc_id), doc_id)::int as draw from documents")
 def seeded_draw(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang", F.expr("row_number() over (partition by lang, source order by xxhash64(doc_id, 11))").alias("draw"))
+    h = F.md5(F.concat(F.lit("11|"), F.col("doc_id").cast("string")).cast("binary"))
+    return table(spark, d, "documents").withColumn("h", h).select("doc_id", "lang", F.expr("row_number() over (partition by lang, source order by h, doc_id)").alias("draw"))
 
 
-@query()
+def shuffle_sql(words: str, *seeds: str) -> str:
+    seed = " || '|' || ".join(seeds)
+    return f"list_transform(list_sort(list_transform({words}, lambda x, i: md5({seed} || '|' || (i - 1)) || '|' || x)), lambda x: substr(x, 34))"
+
+
+@query(f"select doc_id, array_to_string({shuffle_sql("string_split(text, ' ')", "'3'", 'doc_id')}, ' ') as shuffled from documents")
 def shuffle_control(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.shuffle(F.split("text", " "), F.lit(3)), " ").alias("shuffled"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(P.shuffled(F.split("text", " "), F.lit("3"), F.col("doc_id").cast("string")), " ").alias("shuffled"))
 
 
-@query()
+@query("with l as (select source, max(doc_id) as last from documents group by 1) select source, arg_min(doc_id, md5('5|' || doc_id)) as pick from documents join l using (source) where doc_id <> last group by 1")
 def pick_not_last(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").groupBy("source").agg(F.max("doc_id").alias("last"))
     rest = table(spark, d, "documents").select("doc_id", "source").join(own, "source").where("doc_id <> last")
-    return rest.groupBy("source").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(5))).alias("pick"))
+    return rest.groupBy("source").agg(F.min_by("doc_id", F.md5(F.concat(F.lit("5|"), F.col("doc_id").cast("string")).cast("binary"))).alias("pick"))
 
 
-@query()
+@query("select doc_id, k::int as k, substr(text, (1 + ('0x' || substr(md5('9|' || doc_id || '|' || k), 1, 7))::bigint % greatest(1, length(text) - 900))::int, 900) as slice from documents, range(8) r(k)")
 def book_slices(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "text").select(
-        "doc_id", "k", F.expr("substring(text, cast(1 + pmod(xxhash64(doc_id, k), greatest(1, length(text) - 900)) as int), 900)").alias("slice"))
+    """Eight slices, the least number of samples, of 900 characters of each text, at drawn places."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("9"), F.col("doc_id").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    return table(spark, d, "documents").select("doc_id", "text", k).withColumn("u", u).select("doc_id", "k", F.expr("substring(text, cast(1 + u % greatest(1, length(text) - 900) as int), 900)").alias("slice"))

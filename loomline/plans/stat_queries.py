@@ -1,4 +1,4 @@
-"""Queries of statistics over scored sets; lineitem stands for scores: side = return flag, variant = status and line, window = supplier."""
+"""Queries of statistics over scored sets; lineitem stands for scores: side = return flag, variant = flag and line, window = month, of which each side has its own."""
 
 from __future__ import annotations
 
@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import stats as S
 from .registry import query, table
 
-SCORES = "(select l_returnflag as side, l_returnflag || (l_linenumber % 3) as variant, l_suppkey as window_, avg(l_extendedprice / 1000 - l_quantity) as v from lineitem where l_returnflag in ('A', 'R') and l_discount < 0.07 and l_suppkey % (2 + l_linenumber) <> 1 group by 1, 2, 3)"
+SCORES = "(select l_returnflag as side, l_returnflag || l_linenumber as variant, strftime(l_shipdate, '%Y-%m') as window_, avg(l_extendedprice / 1000 - l_quantity) as v from lineitem group by 1, 2, 3)"
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "lineitem").where("l_returnflag in ('A', 'R') and l_discount < 0.07 and l_suppkey % (2 + l_linenumber) <> 1")
-    return own.groupBy(F.col("l_returnflag").alias("side"), F.concat("l_returnflag", (F.col("l_linenumber") % 3).cast("string")).alias("variant"), F.col("l_suppkey").alias("window")).agg(F.avg(F.col("l_extendedprice") / 1000 - F.col("l_quantity")).alias("v"))
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("side"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("variant"), F.date_format("l_shipdate", "yyyy-MM").alias("window")).agg(F.avg(F.col("l_extendedprice") / 1000 - F.col("l_quantity")).alias("v"))
 
 
 _sh = f"s as {SCORES}, sh as (select window_ from s group by 1 having count(distinct variant) = (select count(distinct variant) from s)), o as (select s.* from s join sh using (window_))"
+#: The same for the sides A and R alone.
+_ar = _sh.replace(f"s as {SCORES}", f"s as (select * from {SCORES} where side in ('A', 'R'))")
 
 
 @query(f'with {_sh} select window_ as "window" from sh')
@@ -30,9 +31,9 @@ def dropped_windows(spark: SparkSession, d: str) -> DataFrame:
     return own.join(S.shared_windows(own), "window", "left_anti").groupBy("variant").agg(F.count("*").alias("n_dropped"))
 
 
-@query(f'with {_sh} select side, window_ as "window", round(avg(v), 6) as v from s group by 1, 2')
+@query(f'with {_sh} select side, window_ as "window", round(avg(v), 4) as v from s group by 1, 2')
 def family_mean(spark: SparkSession, d: str) -> DataFrame:
-    return scores(spark, d).groupBy("side", "window").agg(F.round(F.avg("v"), 6).alias("v"))
+    return scores(spark, d).groupBy("side", "window").agg(F.round(F.avg("v"), 4).alias("v"))
 
 
 @query(f"with {_sh} select variant, count(*)::bigint as n, round(avg(v), 6) as mean, round(stddev_samp(v) / sqrt(count(*)), 6) as sem, round(avg(v) / (stddev_samp(v) / sqrt(count(*))), 4) as ratio from s group by 1")
@@ -55,7 +56,7 @@ def training_spread(spark: SparkSession, d: str) -> DataFrame:
     return S.training_spread(own).select("side", "n_runs", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "sem_train")])
 
 
-@query(f"""with {_sh}, {_spread}, f as (select window_, avg(v) filter (side = 'A') as va, avg(v) filter (side = 'R') as vb from o group by 1), d as (select vb - va as d from f),
+@query(f"""with {_ar}, {_spread}, f as (select window_, avg(v) filter (side = 'A') as va, avg(v) filter (side = 'R') as vb from o group by 1), d as (select vb - va as d from f),
 e as (select count(*) as n_windows, avg(d) as delta, coalesce(stddev_samp(d) / sqrt(count(*)), 0) as sem_win, count_if(d > 0) as n_positive from d),
 b as (select max(sem_train) filter (side = 'A') as sa, max(sem_train) filter (side = 'R') as sb from tr)
 select n_windows::bigint as n_windows, round(delta, 6) as delta, round(sem_win, 6) as sem_win, n_positive::bigint as n_positive, round(sa, 6) as sem_a, round(sb, 6) as sem_b, round(sqrt(sem_win * sem_win + sa * sa + sb * sb), 6) as bar from e, b""")
@@ -63,26 +64,29 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
     return S.paired_delta(scores(spark, d), "A", "R").select("n_windows", F.round("delta", 6).alias("delta"), F.round("sem_win", 6).alias("sem_win"), "n_positive", F.round("sem_a", 6).alias("sem_a"), F.round("sem_b", 6).alias("sem_b"), F.round("bar", 6).alias("bar"))
 
 
-@query(f"with {_sh} select a.variant as variant_a, b.variant as variant_b, round(avg(b.v - a.v), 6) as delta from o a join o b using (window_) where a.side = 'A' and b.side = 'R' group by 1, 2")
+@query(f"with {_ar} select a.variant as variant_a, b.variant as variant_b, round(avg(b.v - a.v), 6) as delta from o a join o b using (window_) where a.side = 'A' and b.side = 'R' group by 1, 2")
 def pairings_cross(spark: SparkSession, d: str) -> DataFrame:
     return S.pairings(scores(spark, d), "A", "R").select("variant_a", "variant_b", F.round("delta", 6).alias("delta"))
 
 
-_gate = """(values ('A', 'a1'), ('A', 'a2'), ('A', 'a3'), ('B', 'b1'), ('B', 'b2'), ('C', 'c1'), ('D', 'd1'), ('D', 'zz'), ('E', 'a1'), ('E', 'c1')) s(side, variant)"""
-_prov = "(values ('a1', 'r1'), ('a2', 'r2'), ('a3', 'r3'), ('b1', 'q1'), ('b2', 'q1'), ('c1', null), ('d1', 'p1')) p(variant, training)"
+_sets = "(select distinct s_nationkey as side, s_suppkey as variant from supplier)"
+#: A supplier in debt stands for a set of unknown origin, one of little balance for one without a training draw.
+_prov = "(select s_suppkey as variant, case when s_acctbal >= 1500 then s_name end as training from supplier where s_acctbal >= 0)"
 
 
-@query(f"""with c as (select side, count(*)::bigint as n_sets, count(distinct training)::bigint as n_trainings, count_if(p.variant is null)::bigint as n_untraceable, count_if(p.variant is not null and training is null)::bigint as n_no_draw from {_gate} left join {_prov} on s.variant = p.variant group by 1),
+@query(f"""with c as (select side, count(*)::bigint as n_sets, count(distinct training)::bigint as n_trainings, count_if(p.variant is null)::bigint as n_untraceable, count_if(p.variant is not null and training is null)::bigint as n_no_draw from {_sets} s left join {_prov} p on s.variant = p.variant group by 1),
 r as (select *, case when n_untraceable > 0 then 'untraceable' when n_no_draw > 0 and n_trainings = 0 then 'exempt' when n_no_draw > 0 then 'mixed' when n_trainings < 3 then 'too few' else 'replicated' end as reason from c)
 select *, reason in ('exempt', 'replicated') as ok from r""")
 def replication_gate(spark: SparkSession, d: str) -> DataFrame:
-    return S.gate(spark.sql(f"select * from {_gate}"), spark.sql(f"select * from {_prov}"))
+    own = table(spark, d, "supplier")
+    known = own.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("variant"), F.when(F.col("s_acctbal") >= 1500, F.col("s_name")).alias("training"))
+    return S.gate(own.select(F.col("s_nationkey").alias("side"), F.col("s_suppkey").alias("variant")), known)
 
 
-@query()
+@query("select l_returnflag, array_to_string(list_sort(list(distinct l_linenumber)), ',') as budgets, count(distinct l_linenumber) > 1 as differ from lineitem group by 1")
 def budgets_warning(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.array_sort(F.collect_set("l_linenumber")).alias("budgets"))
-    return own.withColumn("differ", F.size("budgets") > 1)
+    own = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.array_sort(F.collect_set("l_linenumber")).alias("b"))
+    return own.select("l_returnflag", F.array_join(F.col("b").cast("array<string>"), ",").alias("budgets"), (F.size("b") > 1).alias("differ"))
 
 
 _loss = "(select l_orderkey as run, l_linenumber as iter, l_discount as val, l_quantity as k from lineitem)"

@@ -72,23 +72,37 @@ def collapse_ws(spark: SparkSession, d: str) -> DataFrame:
 _body = "'*** START OF THE PROJECT GUTENBERG EBOOK X ***' || chr(10) || 'front' || chr(10) || 'BODY' || chr(10) || 'CHAPTER I. Of it' || chr(10) || 'XIV.' || chr(10) || '_' || text || '_ [Illustration: a' || chr(10) || 'b]' || chr(10) || '*** END OF THE PROJECT GUTENBERG EBOOK X ***'"
 
 
-@query("select doc_id, 'BODY' || chr(10) || chr(10) || replace(text, '_', '') || ' ' || chr(10) as body from documents where text not like '%[Illustration%'")
+@query(r"select doc_id, 'BODY' || chr(10) || chr(10) || replace(regexp_replace(text, '(?s)\[Illustration(?::.*?)?\]', '', 'g'), '_', '') || ' ' || chr(10) as body from documents")
 def strip_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    own = docs(spark, d).where("text not like '%[Illustration%'")
-    return own.select("doc_id", X.strip_boilerplate(F.expr(_body), "BODY").alias("body"))
+    return docs(spark, d).select("doc_id", X.strip_boilerplate(F.expr(_body), "BODY").alias("body"))
 
 
-@query()
+_ident = r"[a-z][a-z0-9]*(?:-[a-z0-9]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{7,40}\b|\b[A-Z]{3,}\b|\b\d+(?:\.\d+)?(?:ms|MB|GB|s|%|h)\b|\b\w+\.(?:py|sh|md|json|log|csv|state)\b"
+
+
+@query(f"with i as (select page_id, regexp_extract_all(html, '{_ident}') as a from pages) select page_id, substr(array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ' '), 1, 200) as idents from i")
 def identifier_entities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.identifiers(F.col("html"), 200).alias("idents"))
 
 
-@query()
+_lines = f"list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '{SP}', '', 'g')) > 0)"
+_opening = f"substr(array_to_string(string_split(regexp_replace(case when contains(m, ': ') then substr(m, strpos(m, ': ') + 2) else m end, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))[1:2], ' '), 1, 400 // k)"
+
+
+@query(f"""with l as (select doc_id, {_lines} as a from documents), u as (select doc_id, list_filter(a, lambda x, i: list_position(a, x) = i) as l from l where a is not null),
+k as (select doc_id, l, greatest(1, least(len(l), 6)) as k from u), s as (select *, greatest(1, len(l) // k) as seg from k),
+b as (select *, list_transform(range(1, greatest(len(l), 1) + 1, seg), lambda i: l[i:i + seg - 1]) as bs from s),
+m as (select doc_id, k, list_transform(list_filter(bs, lambda x: len(x) > 0), lambda x: list_reduce(list_prepend('', x), lambda a, y: case when length(y) > length(a) then y else a end)) as ms from b),
+o as (select doc_id, list_transform(ms, lambda m: {_opening}) as os from m)
+select doc_id, substr(trim(regexp_replace(array_to_string(os, ' '), '{SP}+', ' ', 'g'), ' '), 1, 400) as summary from o union all select doc_id, null from documents where text is null""")
 def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.extractive(F.col("text"), 400).alias("summary"))
 
 
-@query()
+SENTENCES = "string_split(regexp_replace({0}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"select doc_id, array_to_string({SENTENCES.format('text')}[1:2], ' ') as head from documents")
 def first_sentences(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.array_join(F.slice(F.split("text", r"(?<=[.!?]) "), 1, 2), " ").alias("head"))
 
@@ -109,7 +123,10 @@ def product_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("product-w%02d", F.col("l_quantity").cast("int")).alias("product_id"))
 
 
-@query()
+_byte = "case when b between 33 and 126 then b - 32 when b between 161 and 172 then b - 66 when b between 174 and 255 then b - 67 when b <= 32 then b + 189 when b <= 160 then b + 95 else 256 end"
+
+
+@query(f"with h as (select doc_id, list_transform(regexp_extract_all(hex(encode(' ' || text)), '..'), lambda x: ('0x' || x)::int) as bs from documents), i as (select doc_id, list_transform(bs, lambda b: {_byte}) as ids from h) select doc_id, len(ids)::int as n_ids, md5(array_to_string(ids, ',')) as ids_md5 from i")
 def byte_tokens(spark: SparkSession, d: str) -> DataFrame:
     ids = X.byte_tokens(F.col("text"))
     return docs(spark, d).select("doc_id", F.size(ids).alias("n_ids"), F.md5(F.array_join(ids.cast("array<string>"), ",").cast("binary")).alias("ids_md5"))
@@ -138,16 +155,7 @@ def verbatim_overlap_5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(" union all ".join(f"select {n}::int as n, sum(n_grams)::bigint as n_grams, sum(n_found)::bigint as n_found from ({overlap_sql(n)})" for n in (2, 3, 4, 5, 8)))
 def ngram_overlap_sweep(spark: SparkSession, d: str) -> DataFrame:
-    own = docs(spark, d).select("doc_id", X.words(F.col("text")).alias("w"))
-    known = bench(spark, d).select(X.words(F.col("text")).alias("w"))
-    out = None
-    for n in (2, 3, 4, 5, 8):
-        bag = own.select(F.explode(X.grams(F.col("w"), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
-        k = known.select(F.explode(X.grams(F.col("w"), n)).alias("gram")).distinct().withColumn("known", F.lit(1))
-        one = bag.join(k, "gram", "left").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_grams"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("c"))), F.lit(0)).alias("n_found"))
-        one = one.select(F.lit(n).alias("n"), "n_grams", "n_found")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return N.overlap_totals(docs(spark, d), bench(spark, d), [2, 3, 4, 5, 8])
 
 
 _types = f"select distinct doc_id, unnest({WORDS.format('text')}) as w from documents"
@@ -213,7 +221,7 @@ m as (select doc_id, lang, len(w) as words, 1 - len(list_distinct(g))::double /
 @query(f"{_describe} select lang, count(*)::bigint as n, " + ", ".join(f"round(avg({c}), 6) as {c}" for c in ("words", "self_repeat", "verb3", "verb5", "novel_words", "ttr")) + " from m group by 1")
 def describe_by_group(spark: SparkSession, d: str) -> DataFrame:
     own = docs(spark, d)
-    m = N.describe(own.select("doc_id", "text"), bench(spark, d)).join(own.select("doc_id", "lang"), "doc_id").where("words is not null")
+    m = N.describe(own.select(F.struct("doc_id", "lang").alias("k"), "text"), bench(spark, d), "k").select("k.lang", "*").where("words is not null")
     return m.groupBy("lang").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("words", "self_repeat", "verb3", "verb5", "novel_words", "ttr")])
 
 
@@ -256,6 +264,12 @@ def char_entropy(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.round(F.log(F.sum("c").cast("double")) - F.sum(F.col("c") * F.log("c")) / F.sum("c"), 6).alias("nats_per_char"))
 
 
+@query()
+def compression_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Nats for each character of a text by order-0 counts, gzip and xz at their highest levels."""
+    return N.ladder(docs(spark, d).where("length(text) > 0"))
+
+
 @query("select lang, sum(length(text))::bigint as n_chars, sum(len(regexp_extract_all(text, '[^ \\n]+')))::bigint as n_tok, round(greatest(sum(length(text))::double / greatest(sum(len(regexp_extract_all(text, '[^ \\n]+'))), 1), 0.5), 9) as chars_per_token from documents group by 1")
 def chars_per_token(spark: SparkSession, d: str) -> DataFrame:
     t = F.regexp_count("text", F.lit("[^ \\n]+"))
@@ -272,7 +286,10 @@ def doc_header_parse(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", *[c.alias(n) for n, c in parse_header(md).items()])
 
 
-@query()
+_sample = f"{_shape} select doc_id, len(w)::double as words, round(1 - len(list_distinct(g))::double / greatest(len(g), 1), 3) as self_repeat, round(len(list_distinct(w))::double / greatest(len(w), 1), 3) as ttr, text as body from g join (select doc_id, text from documents) using (doc_id)"
+
+
+@query(_sample)
 def sample_header_parse(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.text import parse_sample, render_sample
 
@@ -281,14 +298,20 @@ def sample_header_parse(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", *[c.alias(n) for n, c in parse_sample(F.col("value"), ["words", "self_repeat", "ttr"]).items()])
 
 
-@query()
+@query(f"select source as config, count(*)::bigint as n, round(avg(words), 6) as words, round(avg(self_repeat), 6) as self_repeat, round(avg(ttr), 6) as ttr from ({_sample}) s join (select doc_id, source from documents) using (doc_id) group by 1")
 def sample_table(spark: SparkSession, d: str) -> DataFrame:
     own = docs(spark, d).select("doc_id", F.col("source").alias("config"))
-    return sample_header_parse(spark, d).join(own, "doc_id").groupBy("config").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("words", "self_repeat", "ttr")])
+    return sample_header_parse(spark, d).join(own, "doc_id").groupBy("config").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("words", "self_repeat", "ttr")])
 
 
-@query("""select doc_id, case when starts_with(text, 'The') then substr(text, 4) else text end as rest from documents""")
+@query("""with p as (select source as slug, min(split_part(text, ' ', 1)) as prompt from documents where source is not null group by 1)
+select doc_id, prompt, case when starts_with(text, prompt) then substr(text, length(prompt) + 1) else text end as rest from documents left join p on slug = source""")
 def strip_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's prompt, its least first word, is looked up by the source and taken off texts that begin with it."""
+    from ..operators.sizes import bounded
     from ..sources.text import strip_known_prefix
 
-    return docs(spark, d).select("doc_id", strip_known_prefix(F.col("text"), F.lit("The")).alias("rest"))
+    own = docs(spark, d)
+    prompts = own.where("source is not null").groupBy(F.col("source").alias("slug")).agg(F.min(F.element_at(F.split("text", " "), 1)).alias("prompt"))
+    found = own.join(bounded(prompts), F.col("source") == F.col("slug"), "left")
+    return found.select("doc_id", "prompt", strip_known_prefix(F.col("text"), F.col("prompt")).alias("rest"))

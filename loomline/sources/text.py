@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
@@ -36,17 +38,28 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), X.newlines(F.decode("content", "UTF-8")).alias("value"))
 
 
+def setting(spark: SparkSession, name: str, variable: str, default: str) -> str:
+    """A path from the session's settings, else from the environment, else the default."""
+    return spark.conf.get(name, None) or os.environ.get(variable) or default
+
+
 def read_log_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_rank, seq, line): lines of log files in the order of ``paths``; missing files are skipped."""
+    """(file_rank, seq, line): lines of log files in the order of ``paths``; missing files are skipped.
+
+    Files are split as Spark's text source does, so a large one is many tasks. ``seq`` ascends with the place in the file: it is
+    the first byte of the split plus the number of the line in it, and a line has one byte at least.
+    """
     out = None
     for rank, p in enumerate(paths):
         try:
             require(spark, p)
         except MissingInput:
             continue
-        one = read_documents(spark, p).select(F.lit(rank).alias("file_rank"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
+        raw = spark.read.text(p).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+        first = raw.groupBy("f", "b").agg(F.min("i").alias("i0"))
+        one = raw.join(first, ["f", "b"]).select(F.lit(rank).alias("file_rank"), (F.col("b") + F.col("i") - F.col("i0")).alias("seq"), "line")
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "file_rank int, seq int, line string")
+    return out if out is not None else spark.createDataFrame([], "file_rank int, seq long, line string")
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
@@ -116,6 +129,25 @@ def snapshot_or_live(spark: SparkSession, path: str, cut: Callable[[], DataFrame
     return spark.read.parquet(path)
 
 
+#: Seconds that an outside program may take for a slice.
+PROGRAM_SECONDS = 180
+
+
+def program(argv: list[str], seconds: float = PROGRAM_SECONDS) -> Callable[[str], str]:
+    """Runs an outside program with a text as its input; its output. Raises if it fails or takes longer."""
+
+    def run(text: str) -> str:
+        return subprocess.run(argv, input=text, capture_output=True, text=True, timeout=seconds, check=True).stdout.strip()
+
+    return run
+
+
+def day_slices(log: DataFrame, ts: str, seq: str, line: str) -> DataFrame:
+    """(day, text): the lines of each day in order."""
+    at = F.array_sort(F.collect_list(F.struct(ts, seq, line)))
+    return log.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(F.array_join(F.transform(at, lambda x: x[line]), "\n").alias("text"))
+
+
 def external(slices: DataFrame, key: str, text: str, run: Callable[[str], str | None]) -> DataFrame:
     """(key, output, failed): each text through an outside program; a failure is noted and does not stop the others."""
 
