@@ -72,8 +72,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         steps.append(step)
         moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
         left = store(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    out = steps[0].toDF("node", "root")
-    for step in steps[1:]:
-        out = out.join(step.toDF("root", "__to"), "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+    out = steps[-1].toDF("node", "root")
+    for step in steps[-2::-1]:  # from the few nodes of the last round to all of the first
+        out = step.toDF("node", "__to").join(out.toDF("__to", "__root"), "__to", "left").select("node", F.coalesce("__root", "__to").alias("root"))
     out = store(out, "roots")
     return out.join(out.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")

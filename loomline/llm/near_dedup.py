@@ -204,9 +204,10 @@ def families(classes: DataFrame, bands: int, percent: int) -> tuple[DataFrame, D
         found = store(tried.select("hub", "rep", F.expr(f"{SIGNS} - ({apart})").alias("same")).where(f"same >= {low * SIGNS:.3f}"), "near-plausible")
         own = found.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         edges = own if edges is None else edges.union(own)
-        family = store(components(edges), "near-family")
         gone = found.where(f"same >= {HIGH * SIGNS:.3f}").groupBy("rep").agg(F.collect_set("hub").alias("near"))
         rest = members.where("not array_contains(hubs, rep)").join(gone, "rep", "left").where("near is null or not arrays_overlap(hubs, near)").select("rep", "bucket")
+        family = store(components(edges), "near-family")
+        edges = family.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         rest = store(rest.join(family.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("component", "rep").alias("f")), "near-rest")
         split = rest.groupBy("bucket").agg(F.min("f").alias("x"), F.max("f").alias("y")).where("x <> y").select("bucket")
         left = store(rest.join(split, "bucket").select("rep", "bucket"), "near-left")
