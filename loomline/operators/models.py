@@ -6,7 +6,7 @@ vocabulary, so selections run in windows over one context each.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,8 +95,8 @@ def conditional_nll(pairs: DataFrame, contexts: DataFrame, unigrams: DataFrame,
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder, where the session names one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """A checkpoint in the shared folder, where the session names one; else kept in memory and on disk, and made anew where an executor is lost."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def selection(dist: DataFrame, temperature: float = 1.0, k: int | None = None, top_p: float = 1.0) -> DataFrame:
@@ -159,19 +159,9 @@ def letter_model(docs: DataFrame, alphabet: str, text: str = "text", add: float
     return probabilities(counts, add, len(alphabet))
 
 
-def _joiner(a: str, b: str) -> Callable[[Column, Column], Column]:
-    """Appends a symbol to an array of symbols; b after a makes ab."""
-
-    def add(acc: Column, x: Column) -> Column:
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == a) & (x == b)
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x)))
-
-    return add
-
-
 def byte_symbols(word: Column) -> Column:
-    """The UTF-8 bytes of a word, with a blank in front, as hexadecimal pairs: the alphabet of a byte-level BPE."""
-    return F.regexp_extract_all(F.hex(F.encode(F.concat(F.lit(" "), word), "UTF-8")), F.lit(".."), F.lit(0))
+    """The UTF-8 bytes of a word, with a blank in front, each as ``<`` two hexadecimal digits ``>``: the alphabet of a byte-level BPE."""
+    return F.regexp_replace(F.hex(F.encode(F.concat(F.lit(" "), word), "UTF-8")), "(..)", "<$1>")
 
 
 #: The special token and the 256 bytes come before the merged symbols.
@@ -183,18 +173,18 @@ def train_bpe(word_counts: DataFrame, vocabulary: int) -> list[tuple[str, str]]:
 
     Symbols are the hexadecimal digits of their bytes; ties go to the smaller pair.
     """
-    own = word_counts.select(byte_symbols(F.col("word")).alias("s"), "c")
+    own = _stored(word_counts.select(byte_symbols(F.col("word")).alias("s"), "c"))
     found: list[tuple[str, str]] = []
     for i in range(vocabulary - FIRST_MERGED):
-        pairs = own.where(F.size("s") > 1).select("c", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p"))
-        best = pairs.groupBy("p.a", "p.b").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "a", "b").first()
+        a = F.regexp_extract_all("s", F.lit("<([0-9A-F]+)>"), F.lit(1))
+        pairs = own.select(a.alias("a"), "c").where("size(a) > 1").select("c", F.explode(F.arrays_zip(F.slice("a", F.lit(1), F.size("a") - 1).alias("x"), F.slice("a", F.lit(2), F.size("a") - 1).alias("y"))).alias("p"))
+        best = pairs.groupBy("p.x", "p.y").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "x", "y").first()
         if best is None:
             break
-        a, b = best["a"], best["b"]
-        found.append((a, b))
-        merged = F.reduce("s", F.array().cast("array<string>"), _joiner(a, b))
-        own = own.select(merged.alias("s"), "c")
-        if i % 8 == 7:
+        x, y = best["x"], best["y"]
+        found.append((x, y))
+        own = own.select(F.replace("s", F.lit(f"<{x}><{y}>"), F.lit(f"<{x}{y}>")).alias("s"), "c")
+        if i % 32 == 31:
             own = _stored(own)
     return found
 

@@ -77,10 +77,7 @@ def strip_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", X.strip_boilerplate(F.expr(_body), "BODY").alias("body"))
 
 
-_ident = r"[a-z][a-z0-9]*(?:-[a-z0-9]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{7,40}\b|\b[A-Z]{3,}\b|\b\d+(?:\.\d+)?(?:ms|MB|GB|s|%|h)\b|\b\w+\.(?:py|sh|md|json|log|csv|state)\b"
-
-
-@query(f"with i as (select page_id, regexp_extract_all(html, '{_ident}') as a from pages) select page_id, substr(array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ' '), 1, 200) as idents from i")
+@query()
 def identifier_entities(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.identifiers(F.col("html"), 200).alias("idents"))
 
