@@ -18,12 +18,14 @@ an id count once; an empty table gives no rows. Other columns take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import lean, store
 from .near_dedup import _runs
 
 SHARD, QUERY_BLOCK = 4096, 2048
@@ -197,7 +199,8 @@ def index(vectors: DataFrame, k: int, vec_id: str = "vec_id", vec: str = "embedd
     dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), shards[F.col("dim")]).cast("int"))
     dealt = dealt.repartition("dim", "shard").sortWithinPartitions("dim", "shard")
 
-    def run(batches):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["dim", "shard"]):
             t = t.combine_chunks()
             v = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 UNITS, STEPS, ROWS = 8, 64, 2048
 #: Documents of each language that are learnt from, at most.
 MAX_TRAIN = 1500
@@ -208,6 +210,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_p
     schema = T.StructType([*fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     langs, w = model.langs, model.w
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(langs, w))
         for whole in batches:
@@ -223,7 +226,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_p
     return src.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` that hold about ``most`` bytes of a binary column each, or one row."""
     _, offsets = buffers(batch.column(column))
     at = 0

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, store
+from .common import components, lean, small, store
 from .langid import buffers, slices
 from .ngram_lm import tokens
 from .token_files import mix
@@ -160,9 +160,10 @@ def describe(docs: DataFrame, key: str, text: str, bands: int) -> DataFrame:
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     names = ["doc_id", "n", "h1", "h2", *(f"b{i}" for i in range(bands)), *(f"s{i}" for i in range(SIGNS // 7))]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "t", 2 << 20):
+            for b in slices(whole, "t"):
                 h, offsets = shingles(*buffers(b.column("t")))
                 k = sketch(h, offsets)
                 n = np.diff(offsets)
@@ -299,9 +300,10 @@ def confirmed(docs: DataFrame, placed: DataFrame, percent: int, key: str, text:
     src = src.join(small(placed, MAX_SENT), "rep")
     rest = ["rep", "family", "units", "kind", "label"]
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "t", 2 << 20):
+            for b in slices(whole, "t"):
                 h, offsets = shingles(*buffers(b.column("t")))
                 raw = [h[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(np.diff(offsets)), pa.array(raw, pa.binary())], [*rest, "n", "hashes"])
@@ -310,6 +312,7 @@ def confirmed(docs: DataFrame, placed: DataFrame, percent: int, key: str, text:
     units = full.withColumn("unit", F.explode("units")).select("family", "unit.i", "unit.j", "rep", "n", "kind", "label", "hashes")
     units = units.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["family", "i", "j"]):
             if found := _link(t, percent):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, store
+from .common import lean, scratch_path, store
 from .files import map_arrays, write_arrays
 from .langid import buffers, held_out, slices
 from .token_files import mix
@@ -49,7 +49,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64, at least n of each."""
     if len(_powers[0]) < n:
         for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            a = np.full(max(n, 1 << 22), b, np.uint64)
+            a = np.full(max(n, 1 << 21), b, np.uint64)
             a[0] = 1
             _powers[k] = np.multiply.accumulate(a)
     return _powers[0], _powers[1]
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, learn: Column, out_dir: str, text: str = "text", parts:
     parts = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     src = docs.where(learn).select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, learn: Column, out_dir: str, text: str = "text", parts:
         if held:
             yield from flush()
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, blocks in _gathered(batches, 3).items():
             (u, w), (c,) = total([np.concatenate([x[i] for x in blocks]) for i in (0, 1)], [np.concatenate([x[2] for x in blocks])])
@@ -175,6 +177,7 @@ def fit(docs: DataFrame, learn: Column, out_dir: str, text: str = "text", parts:
             for b in _send(by_part(words, parts), [words, cc, n], parts):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64()))], ["part", "block", "kinds"])
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, blocks in _gathered(batches, 3).items():
             (w,), (cc, n) = total([np.concatenate([x[0] for x in blocks])], [np.concatenate([x[i] for x in blocks]) for i in (1, 2)])
@@ -260,6 +263,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text") ->
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__bytes"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped = Mapped(model)
         for whole in batches:

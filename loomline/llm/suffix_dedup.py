@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, store
+from .common import lean, scratch_path, store
 from .files import map_arrays, write_arrays
 from .induced import Space, suffix_array
 from .langid import buffers, slices
@@ -118,6 +118,7 @@ def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) -> dict[int, str]:
     """Write the sorted anchors of each part that occur in two documents or more; their paths."""
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -145,6 +146,7 @@ def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) ->
         if held:
             yield from flush()
 
+    @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for b in batches:
@@ -200,6 +202,7 @@ def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def snippets(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text: str) -> DataFrame:
     """(part, d, pos, kind, size, bytes): blocks of the snippets around repeated anchors; ``kind`` counts the block's distinct snippets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[int, np.ndarray] = {}
         held: list[tuple[np.ndarray, ...]] = []
@@ -305,6 +308,7 @@ def ranges(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text
     parts = max(12, -(-total // SHARD_BYTES))
     paths = repeated(docs, out_dir, parts, key, text)
 
+    @lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, blocks in _by_part(batches, ("d", "pos", "kind", "size", "bytes"), (np.int64, np.int64, np.uint32, np.uint8, np.uint8)):
             shift = np.cumsum([0, *(len(x[3]) for x in blocks)])
@@ -318,6 +322,7 @@ def ranges(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text
             for x, own in _blocks(p[order], parts):
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([a[own].tobytes()], pa.binary()) for a in (d, s.astype(np.int64), (e - s).astype(np.int64)))], ["part", "d", "s", "n"])
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, blocks in _by_part(batches, ("d", "s", "n"), (np.int64,) * 3):
             d, s, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
@@ -336,6 +341,7 @@ def cut(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text: str,
     kept = [T.StructField(c, docs.schema[c].dataType) for c in names]
     made = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())] if digest else [T.StructField(text, T.BinaryType())]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[int, list[np.ndarray]] = {}
         for whole in batches:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small, store
+from .common import lean, scratch_path, small, store
 from .files import open_fs
 from .langid import buffers, slices
 
@@ -300,13 +300,14 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, end: int = 2, key: str
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     src = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, stream, enc = TaskContext.get().partitionId(), None, encoder(tokenizer)
         keys, counts = [], []
         dtype = np.dtype(f"<u{enc.width}")
         uri = f"{out_dir}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.ids"
         for whole in batches:
-            for b in slices(whole, "t", 2 << 20):
+            for b in slices(whole, "t"):
                 if stream is None:
                     disk, path = open_fs(uri)
                     disk.create_dir(path.rpartition("/")[0], recursive=True)
@@ -373,6 +374,7 @@ class ShardFile:
 def read(keys: DataFrame) -> DataFrame:
     """(shard, doc_id, offset, n_tokens, ids_crc32) of keys (shard, path, doc_id, nth), each looked up in its shard file."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, file = None, None
         for b in batches:
