@@ -18,11 +18,14 @@ _own_dir: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; a local folder is made only where the cluster names none.
+    Read from ``spark.checkpoint.dir``. A local folder is made where none is named and all runs on one machine; on a
+    cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="loomline-")

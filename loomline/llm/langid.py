@@ -185,16 +185,18 @@ class Scorer:
 
 
 def sample(docs: DataFrame, may_learn: Column, text: str, lang: str, key: str, max_train: int) -> list:
-    """(lang, piece) rows: of each language one piece from each of the ``max_train`` documents, about, whose hashes are least."""
-    h = F.xxhash64(F.col(key), F.length(F.col(text)))
+    """(lang, piece) rows: of each language one piece from each of the ``max_train`` documents whose hashes are least, at most."""
+    h = F.xxhash64(F.col(key), F.xxhash64(F.col(text)))
     rows = docs.where(may_learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), F.pmod(h, F.lit(1 << 30)).alias("u"), F.col(text).alias("t"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
-    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.2 * max_train / n) * (1 << 30)))])
-    found = rows.where(F.col("u") < limits[F.col("lang")]).select("lang", "u", F.expr(f"substring(t, 1 + cast(pmod(u, greatest(1, length(t) - {STEPS})) as int), {STEPS})").alias("piece"))
-    return [(r["lang"], r["piece"]) for r in found.orderBy("u", "piece").limit(2 * max_train * len(counts)).collect()]
+    # few more than wanted pass the first sieve, and only those are ranked
+    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (max_train + 6 * max_train**0.5) / n) * (1 << 30)))])
+    found = rows.where(F.col("u") <= limits[F.col("lang")]).select("lang", "u", F.expr(f"substring(t, 1 + cast(pmod(u, greatest(1, length(t) - {STEPS})) as int), {STEPS})").alias("piece"))
+    ranked = found.withColumn("r", F.expr("row_number() over (partition by lang order by u, piece)")).where(F.col("r") <= max_train)
+    return [(r["lang"], r["piece"]) for r in ranked.orderBy("u", "piece").collect()]
 
 
 def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", max_train: int = MAX_TRAIN) -> Model:

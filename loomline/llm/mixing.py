@@ -9,8 +9,8 @@ parent's own siblings only when the whole subtree is used up.
 A leaf with N tokens and a target of T gives T div N whole epochs of its documents and, from the next
 epoch, a prefix: documents in the order of a hash of (seed, epoch, doc_id), as long as their tokens
 together do not pass T mod N. The prefix is found in two steps, sums of hash cells of a leaf and
-then the rows of the one cell that the prefix ends in, so a leaf that holds a third of all rows is
-never sorted in one task. Only the leaf table is broadcast, and only if it is small.
+then the rows of the one cell that the prefix ends in; cells hold some CELL_ROWS rows, so a leaf that holds a third of all
+rows is never sorted in one task. Only the leaf table is broadcast, and only if it is small.
 
 Tokens are runs of characters other than blanks. Defined results: null text has no tokens; a null
 level value is ''; a leaf without tokens gives no rows; a weight of 0 takes a branch out; rows that
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import small, store
 
-CELLS = 256
+#: Rows of a leaf in a hash cell, about.
+CELL_ROWS = 10_000
 MAX_LEAVES = 100_000
 Weights = Mapping[tuple[str, ...], int]
 
@@ -73,15 +74,15 @@ def select(docs: DataFrame, levels: list[Column], weights: Weights, budget: int
     names = [f"l{i}" for i in range(1, len(levels) + 1)]
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names, strict=True)], n_tokens(F.col(text)).alias("n"))
     rows = store(rows, "mix-rows")
-    leaves = store(rows.groupBy(*names).agg(F.sum("n").alias("tokens")), "mix-leaves")
+    leaves = store(rows.groupBy(*names).agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")), "mix-leaves")
     if isinstance(budget, float):
         budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * budget)
-    plan = store(targets(leaves, len(names), weights, budget, max_epochs).where("target > 0"), "mix-plan")
-    plan = plan.selectExpr(*names, "target", "target div tokens as full", "target % tokens as part")
+    plan = store(targets(leaves.drop("rows"), len(names), weights, budget, max_epochs).where("target > 0"), "mix-plan")
+    plan = plan.join(leaves.select(*names, "rows"), names).selectExpr(*names, "target", "target div tokens as full", "target % tokens as part", f"1 + rows div {CELL_ROWS} as cells")
     own = rows.join(small(plan, MAX_LEAVES), names)
     whole = own.where("full > 0").withColumn("epoch", F.explode(F.expr("sequence(1, full)")))
     some = own.where("part > 0").withColumn("epoch", F.col("full") + 1)
-    some = some.withColumn("u", order_hash(seed, F.col("epoch"), F.col("k"))).withColumn("cell", F.expr(f"u div {(1 << 32) // CELLS}"))
+    some = some.withColumn("u", order_hash(seed, F.col("epoch"), F.col("k"))).withColumn("cell", F.expr(f"u * cells div {1 << 32}"))
     cells = some.groupBy(*names, "cell", "part").agg(F.sum("n").alias("s"))
     before = f"sum(s) over (partition by {', '.join(names)} order by cell)"
     cells = store(cells.selectExpr(*names, "cell", f"{before} - s as base", f"{before} <= part as inside", f"{before} - s < part as begun").where("begun"), "mix-cells")
@@ -111,11 +112,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, levels: list[Column], weights: Weights, budget: int | float, max_epochs: int = 2, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, a row once for each epoch; their own columns."""
+    """The rows of ``docs`` that the mix takes, a row once for each epoch; their own columns.
+
+    Of rows that repeat id and text, as many stay in an epoch as the mix takes."""
     taken = select(docs, levels, weights, budget, max_epochs, seed, key, text)
-    times = taken.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th"), "epoch").agg(F.lit(1).alias("one")).groupBy("__k", "__th").agg(F.count("*").alias("__times"))
-    joined = docs.join(times, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__th")))
-    return joined.withColumn("__epoch", F.explode(F.expr("sequence(1, __times)"))).drop("__k", "__th", "__times", "__epoch")
+    per = taken.groupBy(F.col("k").alias("__k"), F.col("th").alias("__th"), "epoch").agg(F.count("*").alias("c")).groupBy("__k", "__th").agg(F.collect_list("c").alias("__cs"))
+    joined = docs.join(per, F.col(key).eqNullSafe(F.col("__k")) & F.xxhash64(text).eqNullSafe(F.col("__th")))
+    if docs.groupBy(key, F.xxhash64(text)).count().where("count > 1").limit(1).count():
+        joined = joined.withColumn("__nth", F.expr("row_number() over (partition by __k, __th order by __th)"))
+    else:
+        joined = joined.withColumn("__nth", F.lit(1))
+    return joined.withColumn("__c", F.explode(F.expr("filter(__cs, c -> c >= __nth)"))).drop("__k", "__th", "__cs", "__nth", "__c")
 
 
 def _oracle() -> str:

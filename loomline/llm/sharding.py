@@ -11,7 +11,7 @@ are themselves above the limit and hold more than one hash go through the same s
 Defined results: null or empty text has 0 bytes; a null key has the hash of ``''``; rows of one key
 are never parted, so a single key (or a single long document) above the limit makes a shard of its
 own with ``oversize`` true; repeated rows count each time; an empty table gives no rows. Columns of
-the input beyond key and text are ignored by ``assign`` and kept by ``shard``.
+the input beyond key and text are ignored by ``assign`` and kept by ``shard``, which renames those that clash.
 """
 
 from __future__ import annotations
@@ -80,9 +80,11 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
 
 
 def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with its shard: all columns, then shard and shard_depth."""
+    """Every row of ``docs`` with its shard: all columns, then shard and shard_depth. Columns of the input
+    that have these names are kept as input_shard and input_shard_depth."""
     of = assign(docs, limit, key, text).select(F.col(key).alias("__k"), F.col("shard").alias("__shard"), F.col("depth").alias("__depth")).distinct()
-    return docs.drop("shard", "shard_depth").join(of, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k").withColumnsRenamed({"__shard": "shard", "__depth": "shard_depth"})
+    own = docs.withColumnsRenamed({c: f"input_{c}" for c in ("shard", "shard_depth") if c in docs.columns})
+    return own.join(of, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k").withColumnsRenamed({"__shard": "shard", "__depth": "shard_depth"})
 
 
 #: Production limit of a shard, in bytes.

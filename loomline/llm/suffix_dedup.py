@@ -3,30 +3,29 @@
 Every LENGTH-byte string that also starts in a document with a smaller id is removed, wherever it
 occurs in a later one; overlaps count and strings are judged on the input.
 
-1. Candidates, without loss: a 16-byte window's hash that is smallest in some LENGTH-byte string is an
-   anchor; equal strings have equal anchors. Anchors that occur in two documents are found by shuffling
-   their hashes, and written as sorted arrays that workers map.
-2. Around each occurrence of such an anchor, the bytes of all LENGTH-byte strings that hold it (a
-   snippet) go to the anchor's shard, so equal strings meet there. Anchors are dealt evenly by hash.
-3. A shard's distinct snippets are sorted by ``induced.suffix_array``: recursive induction with
-   disk-backed range queues. Neighbours in suffix order whose first LENGTH bytes agree form groups; each
-   group's smallest document keeps its string and every other occurrence is removed. A snippet that
-   occurs often is sorted once, with its smallest id; its other occurrences are removed whole.
-4. Removed ranges are merged per document into sorted arrays that workers map while they read the
-   documents once more; texts are never shuffled.
-
-Common prefixes are compared to LENGTH bytes on the sorted neighbours rather than carried in the queue's
-tuples: more is never needed, and it is exact.
+1. Each string's anchor is the leftmost of its GRAM-byte grams of least hash, so equal strings have equal
+   anchors. Anchors that occur in two documents are found by shuffling their hashes, and written as sorted
+   arrays that workers map. No other string can repeat.
+2. The bytes of all strings of one occurrence of such an anchor (a snippet) go to the anchor's shard; of equal snippets one
+   is sent, with the least and the greatest document that has it. Occurrences themselves never travel, so
+   a passage that very many documents share is no more work than another.
+3. A shard sorts the suffixes of its distinct snippets with ``induced.suffix_array``: recursive induction with
+   disk-backed priority queues whose tuples carry common prefixes. Suffixes whose common prefixes reach LENGTH
+   bytes form groups; the smallest document of a group keeps its string. Snippets of an anchor that has no other
+   snippet need no sorting. What must go is written by the snippet's hash, as sorted arrays.
+4. Documents are read once more, look their snippets up in the mapped arrays and are cut; texts are never shuffled.
+
+The number of shards grows with the root of the input, and so does their size; the sorter works beyond memory.
 
 Defined results: null text is empty; texts under LENGTH bytes lose nothing; rows that repeat an id are
-one document and remove nothing from each other; rows without id take no part; an empty table gives
-no rows. Other columns take no part.
+one document and remove nothing from each other; rows without id take no part; very long texts are read in pieces;
+an empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,53 +35,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import lean, scratch_path, store
-from .files import map_arrays, write_arrays
+from .files import exists, map_arrays, mounted, write_arrays
 from .induced import Space, suffix_array
 from .langid import buffers, slices
 from .ngram_lm import by_part
 from .token_files import mix
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
-#: Bytes of documents for each shard; suffixes that a range of the alphabet may hold.
-SHARD_BYTES, MEMORY = 2 << 20, 1 << 16
 #: Bytes of text that a task works on at once, and of snippets or anchors that it gathers before it sends them.
 PIECE, GATHER = 256 << 10, 3 << 20
-#: Bytes of an array that the sorter keeps in memory.
-KEEP = 32 << 20
+#: Tuples that the sorter takes at once, and bytes of an array that it keeps in memory.
+BATCH, KEEP = 1 << 16, 16 << 20
 _rng = np.random.default_rng(6)
 BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 AT = _rng.integers(0, 1 << 63, (2, 128), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, document) of all anchors of the texts."""
+def _sliding(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbouring values."""
+    k = 1
+    while 2 * k <= width:
+        values = np.minimum(values[:-k], values[k:])
+        k *= 2
+    return np.minimum(values[: len(values) - (width - k)], values[width - k :]) if k < width else values
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, document) of all anchors: the bytes from ``start`` to ``end`` are those of the anchor's strings."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none.astype(np.uint64), none
+        return none.astype(np.uint64), none, none, none
     with np.errstate(over="ignore"):
         h = BYTE[data]
         for k in (1, 2, 4, 8):
             h = h[:-k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) + h[k:]
             h ^= h >> np.uint64(29)
+        h = h[: len(h) - (GRAM - 16)] * np.uint64(0xD1342543DE82EF95) + h[GRAM - 16 :]
     h = mix(h, 41)
-    top = (h >> np.uint64(32)).astype(np.uint32)  # least and greatest are sought on 32 bits; ties only add anchors
-    low = top
-    for k in (1, 2, 4, 8, 16):
-        low = np.minimum(low[:-k], low[k:])
-    low = np.minimum(low[: len(low) - (WINDOW - 32)], low[WINDOW - 32 :])  # least of each window
-    n = len(low)
-    whole = np.zeros(n + 1, np.int64)
+    # the least of a window by the upper half of its hash; of equal ones the leftmost, by the place in the lower half
+    least = _sliding((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), WINDOW)
+    whole = np.zeros(len(least) + 1, np.int64)
     ok = np.diff(offsets) >= LENGTH
     np.add.at(whole, offsets[:-1][ok], 1)
     np.add.at(whole, offsets[1:][ok] - LENGTH + 1, -1)
-    low = np.where(np.cumsum(whole)[:n] > 0, low, np.uint32(0))
-    high = np.concatenate([np.zeros(WINDOW - 1, np.uint32), low, np.zeros(WINDOW - 1, np.uint32)])
-    for k in (1, 2, 4, 8, 16):
-        high = np.maximum(high[:-k], high[k:])
-    high = np.maximum(high[: len(high) - (WINDOW - 32)], high[WINDOW - 32 :])  # greatest least of the windows around
-    at = np.flatnonzero(top == high)
-    return at, h[at], np.searchsorted(offsets, at, "right") - 1
+    string = np.flatnonzero(np.cumsum(whole)[:-1] > 0)
+    if not len(string):
+        return none.astype(np.uint64), none, none, none
+    at = (least[string] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = string[np.append(new[1:], len(at)) - 1]
+    return h[at[new]], string[new], last + LENGTH, np.searchsorted(offsets, string[new], "right") - 1
 
 
 def place(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +114,71 @@ def _by_part(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], kinds:
         yield last, held
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i] .. starts[i] + sizes[i] - 1 of all i, one after another."""
+    to = np.cumsum(sizes)
+    total = int(to[-1]) if len(to) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 30) else np.int64
+    out = np.repeat((starts - to + sizes).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def content(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each of the strings that lie in ``raw`` one after another."""
+    starts = np.cumsum(size) - size
+    out = np.empty((2, len(size)), np.uint64)
+    for i in range(0, len(size), 10_000):
+        own = slice(i, i + 10_000)
+        body = raw[starts[own][0] : starts[own][-1] + size[own][-1]]
+        first = starts[own] - starts[own][0]
+        within = np.arange(len(body)) - np.repeat(first, size[own])
+        with np.errstate(over="ignore"):
+            for k in (0, 1):
+                out[k, own] = mix(np.add.reduceat(BYTE[body] * AT[k][within], first) + size[own].astype(np.uint64), 50 + k)
+    return out[0], out[1]
+
+
+def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its kind, and of each kind a row; kinds in order of the keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.concatenate([[True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return kind, order[new]
+
+
+def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of ranges, in order."""
+    if not len(d):
+        return d, s, e
+    order = np.lexsort((s, d))
+    d, s, e = d[order], s[order], e[order]
+    doc = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]]))
+    far = np.int64(max(int(e.max()), 0) + 2)
+    reach = np.maximum.accumulate(e + doc * far)
+    new = np.concatenate([[True], (s + doc * far)[1:] > reach[:-1]])
+    at = np.flatnonzero(new)
+    return d[at], s[at], np.maximum.reduceat(e, at)
+
+
 def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
 
-def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) -> dict[int, str]:
-    """Write the sorted anchors of each part that occur in two documents or more; their paths."""
+def parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row, base) of the texts, a long one piece by piece; pieces share LENGTH - 1 bytes, so each string is in one."""
+    size = np.diff(offsets)
+    if len(size) != 1 or size[0] <= 2 * PIECE:
+        yield data, offsets, np.arange(len(size)), np.zeros(len(size), np.int64)
+        return
+    for s in range(0, int(size[0]) - LENGTH + 1, PIECE):
+        own = data[s : s + PIECE + LENGTH - 1]
+        yield own, np.array([0, len(own)]), np.zeros(1, np.int64), np.array([s])
+
+
+def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) -> None:
+    """Write the sorted anchors of each part that occur in two documents or more."""
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,210 +194,215 @@ def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) ->
             new = np.concatenate([[True], k[1:] != k[:-1]])
             at = np.flatnonzero(new)
             many = np.maximum.reduceat(np.concatenate([[0], (~new[1:] & (d[1:] != d[:-1])).astype(np.uint8)]), at)
-            k = k[at]
+            k, first = k[at], d[at]
             p, low = (k >> np.uint64(32)).astype(np.int64), k.astype(np.uint32)
             for x, own in _blocks(p, parts):
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([low[own].tobytes()], pa.binary()), pa.array([np.packbits(many[own]).tobytes()], pa.binary())], ["part", "low", "many"])
+                cells = [low[own], np.packbits(many[own]), first[own]]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "low", "many", "first"])
 
         for whole in batches:
             for b in slices(whole, "t", PIECE):
-                _, h, of = anchors(*buffers(b.column("t")))
-                held.append((h, b.column("d").to_numpy()[of]))
-                if sum(len(x[0]) for x in held) > GATHER // 8:
-                    yield from flush()
+                d = b.column("d").to_numpy()
+                for data, offsets, row, _ in parts_of(*buffers(b.column("t"))):
+                    h, _, _, of = anchors(data, offsets)
+                    if len(h):
+                        held.append((h, d[row[of]]))
+                    if sum(len(x[0]) for x in held) > GATHER // 8:
+                        yield from flush()
         if held:
             yield from flush()
 
     @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
-        for b in batches:
-            for k, low, many in zip(b.column("part").to_pylist(), b.column("low").to_pylist(), b.column("many").to_pylist(), strict=True):
-                low = np.frombuffer(low, np.uint32)
-                found.setdefault(k, []).append((low, np.unpackbits(np.frombuffer(many, np.uint8))[: len(low)]))
-        for k, blocks in found.items():
-            low, many = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        for k, blocks in _by_part(batches, ("low", "many", "first"), (np.uint32, np.uint8, np.int64)):
+            low, first = (np.concatenate([x[i] for x in blocks]) for i in (0, 2))
+            many = np.concatenate([np.unpackbits(x[1])[: len(x[0])] for x in blocks])
             order = np.argsort(low, kind="stable")
-            low, many = low[order], many[order]
-            twice = np.concatenate([low[1:] == low[:-1], [False]])
-            write_arrays(path := f"{out_dir}/anchors-{k:05d}-{uuid.uuid4().hex[:12]}", [np.unique(low[twice | (many > 0)])])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([path])], ["part", "path"])
+            low, many, first = low[order], many[order], first[order]
+            twice = np.concatenate([(low[1:] == low[:-1]) & (first[1:] != first[:-1]), [False]])
+            write_arrays(f"{out_dir}/anchors-{k:06d}", [np.unique(low[twice | (many > 0)])])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], ["part"])
 
-    sent = _pieces(docs, key, text).mapInArrow(send, "part int, low binary, many binary").repartition(parts, "part")
-    return {r["part"]: r["path"] for r in store(sent.mapInArrow(merge, "part int, path string"), "anchors").collect()}
+    sent = _pieces(docs, key, text).mapInArrow(send, "part int, low binary, many binary, first binary").repartition(parts, "part").sortWithinPartitions("part")
+    store(sent.mapInArrow(merge, "part int"), "anchors")
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The positions starts[i] .. starts[i] + sizes[i] - 1 of all i, one after another."""
-    to = np.cumsum(sizes)
-    total = int(to[-1]) if len(to) else 0
-    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 30) else np.int64
-    out = np.repeat((starts - to + sizes).astype(kind), sizes)
-    out += np.arange(total, dtype=kind)
-    return out
+class Files:
+    """The arrays that the parts of a step have written, mapped on first use; a part without a file has none."""
 
+    def __init__(self, folder: str, name: str):
+        self.folder, self.name, self.open = folder, name, {}
 
-def content(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each of the strings that lie in ``raw`` one after another."""
-    starts = np.cumsum(size) - size
-    out = np.empty((2, len(size)), np.uint64)
-    for i in range(0, len(size), 10_000):
-        own = slice(i, i + 10_000)
-        body = raw[starts[own][0] : starts[own][-1] + size[own][-1]]
-        first = starts[own] - starts[own][0]
-        within = np.arange(len(body)) - np.repeat(first, size[own])
-        with np.errstate(over="ignore"):
-            for k in (0, 1):
-                out[k, own] = mix(np.add.reduceat(BYTE[body] * AT[k][within], first) + size[own].astype(np.uint64), 50 + k)
-    return out[0], out[1]
+    def part(self, k: int) -> list[np.ndarray] | None:
+        if k not in self.open:
+            path = f"{self.folder}/{self.name}-{k:06d}"
+            self.open[k] = map_arrays(path) if exists(path) else None
+        return self.open[k]
 
 
-def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the number of its kind, and of each kind a row; kinds in order of the keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.concatenate([[True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])])
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    return kind, order[new]
+def occurrences(data: np.ndarray, offsets: np.ndarray, files: Files, parts: int) -> tuple[np.ndarray, ...]:
+    """(part, anchor, text, start, size, bytes) of the snippets of repeated anchors; ``start`` counts from the text's first byte."""
+    h, s, e, of = anchors(data, offsets)
+    p, low = place(h, parts)
+    order = np.argsort(p.astype(np.min_scalar_type(parts)), kind="stable")
+    hit = np.zeros(len(h), bool)
+    for x, own in _blocks(p[order], parts):
+        found = files.part(x)
+        if found and len(found[0]):
+            mine = low[order[own]]
+            hit[order[own]] = found[0][np.minimum(np.searchsorted(found[0], mine), len(found[0]) - 1)] == mine
+    s, e, of = s[hit], e[hit], of[hit]
+    return p[hit], low[hit], of, s - offsets[of], e - s, data[ragged(s, e - s)]
 
 
-def snippets(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text: str) -> DataFrame:
-    """(part, d, pos, kind, size, bytes): blocks of the snippets around repeated anchors; ``kind`` counts the block's distinct snippets."""
+def snippets(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) -> DataFrame:
+    """(part, anchor, least, most, size, bytes): blocks of distinct snippets around repeated anchors, with the least and greatest document of each."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, np.ndarray] = {}
-        held: list[tuple[np.ndarray, ...]] = []
+        files, held = Files(out_dir, "anchors"), []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            p, d, pos, size, raw = (np.concatenate([x[i] for x in held]) for i in range(5))
+            p, low, d, size, raw = (np.concatenate([x[i] for x in held]) for i in range(5))
             held.clear()
             starts = np.cumsum(size) - size
-            kind, heads = distinct([p, *content(raw, size)])  # equal snippets are sent once
-            order = np.argsort(kind, kind="stable")
-            p, d, pos, kind = p[order], d[order], pos[order], kind[order]
-            of_kind = p[np.searchsorted(kind, np.arange(len(heads)))]
-            for (x, own), (_, kinds) in zip(_blocks(p, parts), _blocks(of_kind, parts), strict=True):
-                body = raw[ragged(starts[heads[kinds]], size[heads[kinds]])]
-                cells = [d[own], pos[own], (kind[own] - kinds.start).astype(np.uint32), size[heads[kinds]].astype(np.uint8), body]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "d", "pos", "kind", "size", "bytes"])
+            kind, heads = distinct([p, *content(raw, size)])
+            least, most = np.full(len(heads), np.iinfo(np.int64).max), np.full(len(heads), np.iinfo(np.int64).min)
+            np.minimum.at(least, kind, d)
+            np.maximum.at(most, kind, d)
+            for x, own in _blocks(p[heads], parts):
+                mine = heads[own]
+                cells = [low[mine], least[own], most[own], size[mine].astype(np.uint8), raw[ragged(starts[mine], size[mine])]]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "anchor", "least", "most", "size", "bytes"])
 
         for whole in batches:
             for b in slices(whole, "t", PIECE):
-                data, offsets = buffers(b.column("t"))
-                at, h, of = anchors(data, offsets)
-                p, low = place(h, parts)
-                order = np.argsort(p.astype(np.min_scalar_type(parts)), kind="stable")
-                hit = np.zeros(len(at), bool)
-                for x, own in _blocks(p[order], parts):
-                    if x in paths:
-                        if x not in files:
-                            files[x] = map_arrays(paths[x])[0]
-                        known = files[x]
-                        if len(known):
-                            mine = low[order[own]]
-                            hit[order[own]] = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
-                at, of, p = at[hit], of[hit], p[hit]
-                s, e = np.maximum(at - (LENGTH - GRAM), offsets[of]), np.minimum(at + LENGTH, offsets[of + 1])
-                held.append((p, b.column("d").to_numpy()[of], (s - offsets[of]).astype(np.int64), e - s, data[ragged(s, e - s)]))
-                if sum(len(x[4]) for x in held) > GATHER:
-                    yield from flush()
+                d = b.column("d").to_numpy()
+                for data, offsets, row, _ in parts_of(*buffers(b.column("t"))):
+                    p, low, of, _, size, raw = occurrences(data, offsets, files, parts)
+                    if len(p):
+                        held.append((p, low, d[row[of]], size, raw))
+                    if sum(len(x[4]) for x in held) > GATHER:
+                        yield from flush()
         if held:
             yield from flush()
 
-    return _pieces(docs, key, text).mapInArrow(run, "part int, d binary, pos binary, kind binary, size binary, bytes binary")
+    return _pieces(docs, key, text).mapInArrow(run, "part int, anchor binary, least binary, most binary, size binary, bytes binary")
 
 
-def shard_ranges(d: np.ndarray, pos: np.ndarray, sent: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) to remove: occurrences (d, pos) of the snippets ``sent`` of one shard."""
-    starts = np.cumsum(size) - size
-    of, heads = distinct(list(content(raw, size)))
-    kind = of[sent]
-    least = np.full(len(heads), np.iinfo(np.int64).max)
-    np.minimum.at(least, kind, d)
-    n = size[heads]
+def shared(size: np.ndarray, raw: np.ndarray, least: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): what of each distinct snippet also lies in one with a smaller least document; 0, 0 for nothing."""
+    n = size.astype(np.int64)
     first = np.cumsum(n + 1) - (n + 1)
-    text = np.ones(int((n + 1).sum()) + 1, np.int32)
+    text = space.array(int((n + 1).sum()) + 1, "<i4")
+    text[:] = 1
     text[-1] = 0
-    text[ragged(first, n)] = raw[ragged(starts[heads], n)].astype(np.int32) + 2
-    flat = np.zeros(len(text) + LENGTH, np.uint8)
-    flat[ragged(first, n)] = raw[ragged(starts[heads], n)]
-    owner = np.repeat(np.arange(len(heads), dtype=np.int32), n + 1)
-    space = Space(KEEP)
-    try:
-        sa = suffix_array(text, MEMORY, space)
-    finally:
-        space.close()
-    sa = sa[sa < len(owner)]
-    own = owner[sa]
-    ok = sa - first[own] <= n[own] - LENGTH
-    sa, own = sa[ok], own[ok]
-    view = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
-    same = np.zeros(len(sa), bool)
-    for s in range(1, len(sa), 50_000):
-        a, b = sa[s - 1 : s + 49_999], sa[s : s + 50_000]
-        same[s : s + 50_000] = (view[a[: len(b)]] == view[b]).all(1)
-    groups = np.flatnonzero(~same)
-    smallest = np.repeat(np.minimum.reduceat(least[own], groups), np.diff(np.concatenate([groups, [len(sa)]]))) if len(sa) else least[own]
-    gone = smallest < least[own]
-    low, high = np.full(len(heads), 1 << 40), np.full(len(heads), -1)
-    np.minimum.at(low, own[gone], (sa - first[own])[gone])
-    np.maximum.at(high, own[gone], (sa - first[own])[gone])
-    later = d > least[kind]
-    some = ~later & (high[kind] >= 0)
-    return (
-        np.concatenate([d[later], d[some]]), np.concatenate([pos[later], pos[some] + low[kind[some]]]),
-        np.concatenate([pos[later] + n[kind[later]], pos[some] + high[kind[some]] + LENGTH]))
-
-
-def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of ranges, in order."""
-    if not len(d):
-        return d, s, e
-    order = np.lexsort((s, d))
-    d, s, e = d[order], s[order], e[order]
-    doc = np.cumsum(np.concatenate([[0], d[1:] != d[:-1]]))
-    far = np.int64(max(int(e.max()), 0) + 2)
-    reach = np.maximum.accumulate(e + doc * far)
-    new = np.concatenate([[True], (s + doc * far)[1:] > reach[:-1]])
-    at = np.flatnonzero(new)
-    return d[at], s[at], np.maximum.reduceat(e, at)
-
-
-def ranges(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text") -> tuple[dict[int, str], int]:
-    """Write, for each part of documents, (ids, starts, ends) of the runs to remove; the paths and the number of parts."""
+    text[ragged(first, n)] = raw.astype(np.int32) + 2
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
+    order, common = suffix_array(text, BATCH, space, LENGTH)
+    low, high = np.full(len(n), 255, np.int64), np.zeros(len(n), np.int64)
+    held, tied, at = np.zeros(0, np.int64), np.zeros(0, np.uint8), 0
+    while at < len(order):  # whole groups at a time
+        to = min(len(order), at + (1 << 18))
+        sa, lcp = np.concatenate([held, order[at:to]]), np.concatenate([tied, common[at:to]])
+        at = to
+        starts = np.flatnonzero(lcp < LENGTH)
+        end = len(sa) if at == len(order) or not len(starts) else int(starts[-1])
+        if at < len(order) and (not len(starts) or end == 0):
+            held, tied = sa, lcp
+            continue
+        held, tied = sa[end:], lcp[end:]
+        sa, starts = sa[:end], starts[starts < end]
+        size_of = np.diff(np.append(starts, end))
+        many = np.repeat(size_of > 1, size_of)
+        if not many.any():
+            continue
+        sa = sa[many]
+        own = owner[np.minimum(sa, len(owner) - 1)]
+        groups = size_of[size_of > 1]
+        smallest = np.repeat(np.minimum.reduceat(least[own], np.cumsum(groups) - groups), groups)
+        gone = (smallest < least[own]) & (sa - first[own] <= n[own] - LENGTH)  # not across the end of a snippet
+        where = (sa - first[own])[gone]
+        np.minimum.at(low, own[gone], where)
+        np.maximum.at(high, own[gone], where + LENGTH)
+    return np.where(high > 0, low, 0), high
+
+
+def resolve(anchor: np.ndarray, least: np.ndarray, most: np.ndarray, size: np.ndarray, raw: np.ndarray, under: str | None = None) -> list[np.ndarray]:
+    """(hash, second hash, least, low, high) of the snippets of one shard that remove something, by hash."""
+    size = size.astype(np.int64)
+    starts = np.cumsum(size) - size
+    hashes = content(raw, size)
+    kind, heads = distinct(list(hashes))
+    low_doc, high_doc = np.full(len(heads), np.iinfo(np.int64).max), np.full(len(heads), np.iinfo(np.int64).min)
+    np.minimum.at(low_doc, kind, least)
+    np.maximum.at(high_doc, kind, most)
+    _, of, count = np.unique(anchor[heads], return_inverse=True, return_counts=True)
+    sort = np.flatnonzero(count[of] > 1)
+    low, high = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+    if len(sort):
+        mine = heads[sort]
+        space = Space(KEEP, under)
+        try:
+            low[sort], high[sort] = shared(size[mine], raw[ragged(starts[mine], size[mine])], low_doc[sort], space)
+        finally:
+            space.close()
+    some = np.flatnonzero((high > 0) | (high_doc > low_doc))
+    by = some[np.argsort(hashes[0][heads][some], kind="stable")]
+    return [hashes[0][heads][by], (hashes[1][heads][by] >> np.uint64(32)).astype(np.uint32), low_doc[by], low[by].astype(np.uint8), high[by].astype(np.uint8)]
+
+
+def find(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text") -> int:
+    """Write what must go of which snippets under ``out_dir``; the number of parts."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    parts = max(12, -(-total // SHARD_BYTES))
-    paths = repeated(docs, out_dir, parts, key, text)
+    parts = max(12, math.ceil(2 * math.sqrt(total / (1 << 20))))
+    repeated(docs, out_dir, parts, key, text)
 
     @lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, blocks in _by_part(batches, ("d", "pos", "kind", "size", "bytes"), (np.int64, np.int64, np.uint32, np.uint8, np.uint8)):
-            shift = np.cumsum([0, *(len(x[3]) for x in blocks)])
-            sent = np.concatenate([x[2].astype(np.int64) + m for x, m in zip(blocks, shift, strict=False)])
-            d, pos, size, raw = (np.concatenate([x[i] for x in blocks]) for i in (0, 1, 3, 4))
+        for k, blocks in _by_part(batches, ("anchor", "least", "most", "size", "bytes"), (np.uint32, np.int64, np.int64, np.uint8, np.uint8)):
+            columns = [np.concatenate([x[i] for x in blocks]) for i in range(5)]
             blocks.clear()
-            d, s, e = merged(*shard_ranges(d, pos, sent, size.astype(np.int64), raw))
-            p = by_part(mix(d.view(np.uint64), 60), parts)
-            order = np.argsort(p, kind="stable")
-            d, s, e = d[order], s[order], e[order]
-            for x, own in _blocks(p[order], parts):
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([a[own].tobytes()], pa.binary()) for a in (d, s.astype(np.int64), (e - s).astype(np.int64)))], ["part", "d", "s", "n"])
-
-    @lean
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, blocks in _by_part(batches, ("d", "s", "n"), (np.int64,) * 3):
-            d, s, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            write_arrays(path := f"{out_dir}/ranges-{k:05d}-{uuid.uuid4().hex[:12]}", list(merged(d, s, s + n)))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([path])], ["part", "path"])
-
-    shards = snippets(docs, paths, parts, key, text).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(sort, "part int, d binary, s binary, n binary")
-    done = store(store(shards, "ranges").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(finish, "part int, path string"), "range-files")
-    return {r["part"]: r["path"] for r in done.collect()}, parts
-
-
-def cut(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text: str, digest: bool) -> DataFrame:
-    """The rows of ``docs`` with the runs of ``paths`` removed: digests, or all columns with the remaining bytes as text."""
+            write_arrays(f"{out_dir}/gone-{k:06d}", resolve(*columns, mounted(out_dir)))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], ["part"])
+
+    shards = snippets(docs, out_dir, parts, key, text).repartition(parts, "part").sortWithinPartitions("part")
+    store(shards.mapInArrow(sort, "part int"), "suffix-parts")
+    return parts
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: Files, gone: Files, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): the maximal runs of bytes to remove from the texts."""
+    rows, low, high = [], [], []
+    for piece, edges, row, base in parts_of(data, offsets):
+        p, _, of, s, size, raw = occurrences(piece, edges, known, parts)
+        if not len(p):
+            continue
+        h, again = content(raw, size)
+        order = np.argsort(p, kind="stable")
+        for x, own in _blocks(p[order], parts):
+            found = gone.part(x)
+            if not found or not len(found[0]):
+                continue
+            mine = order[own]
+            at = np.minimum(np.searchsorted(found[0], h[mine]), len(found[0]) - 1)
+            hit = (found[0][at] == h[mine]) & (found[1][at] == (again[mine] >> np.uint64(32)).astype(np.uint32))
+            mine, at = mine[hit], at[hit]
+            d = ids[row[of[mine]]]
+            later = d > found[2][at]
+            a, z = np.where(later, 0, found[3][at].astype(np.int64)), np.where(later, size[mine], found[4][at].astype(np.int64))
+            some = z > a
+            start = s[mine] + base[of[mine]]
+            rows.append(row[of[mine]][some])
+            low.append((start + a)[some])
+            high.append((start + z)[some])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return merged(np.concatenate(rows), np.concatenate(low), np.concatenate(high))
+
+
+def cut(docs: DataFrame, out_dir: str, parts: int, key: str, text: str, digest: bool) -> DataFrame:
+    """The rows of ``docs`` without what must go: digests, or all columns with the remaining bytes as text."""
     names = [key] if digest else [c for c in docs.columns if c != text]
     src = docs.select(F.col(key).cast("long").alias("__d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__t"), F.col(text).isNull().alias("__none"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)])
     kept = [T.StructField(c, docs.schema[c].dataType) for c in names]
@@ -343,49 +410,43 @@ def cut(docs: DataFrame, paths: dict[int, str], parts: int, key: str, text: str,
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, list[np.ndarray]] = {}
+        known, gone = Files(out_dir, "anchors"), Files(out_dir, "gone")
         for whole in batches:
-            for b in slices(whole, "__t", 2 * PIECE):
+            for b in slices(whole, "__t", PIECE):
                 data, offsets = buffers(b.column("__t"))
-                ids = b.column("__d").fill_null(0).to_numpy()
-                known = ~b.column("__d").is_null().to_numpy(zero_copy_only=False)
-                part = by_part(mix(ids.view(np.uint64), 60), parts)
-                runs: list[tuple[np.ndarray, np.ndarray]] = []
+                # a row without id is before all others, so nothing is taken from it
+                ids = b.column("__d").fill_null(np.iinfo(np.int64).min).to_numpy()
+                row, s, e = runs_of(data, offsets, ids, known, gone, parts)
+                has_id = ~b.column("__d").is_null().to_numpy(zero_copy_only=False)
+                ok = has_id[row]
+                row, s, e = row[ok], s[ok], e[ok]
+                edges = np.searchsorted(row, np.arange(len(ids) + 1))
+                texts, removed = [], np.zeros(len(ids), np.int64)
+                np.add.at(removed, row, e - s)
                 for i in range(len(ids)):
-                    k = int(part[i])
-                    if k in paths and k not in files:
-                        files[k] = map_arrays(paths[k])
-                    if k not in files or not known[i]:
-                        runs.append((ids[:0], ids[:0]))
-                        continue
-                    d, s, e = files[k]
-                    x, y = np.searchsorted(d, ids[i], "left"), np.searchsorted(d, ids[i], "right")
-                    runs.append((s[x:y], e[x:y]))
-                texts, removed, spans = [], [], []
-                for i, (s, e) in enumerate(runs):
                     t = data[offsets[i] : offsets[i + 1]]
-                    ok = s < len(t)  # rows that share an id may differ in length
-                    s, e = s[ok], np.minimum(e[ok], len(t))
-                    bounds = np.concatenate([[0], np.stack([s, e], 1).ravel(), [len(t)]])
-                    texts.append(b"".join(t[a:z].tobytes() for a, z in zip(bounds[::2].tolist(), bounds[1::2].tolist(), strict=True)))
-                    removed.append(int((e - s).sum()))
-                    spans.append(len(s))
+                    x, y = edges[i], edges[i + 1]
+                    if x == y:
+                        texts.append(t)
+                    else:
+                        bounds = np.concatenate([[0], np.stack([s[x:y], e[x:y]], 1).ravel(), [len(t)]]).tolist()
+                        texts.append(b"".join(t[a:z].tobytes() for a, z in zip(bounds[::2], bounds[1::2], strict=True)))
                 own = [b.column(f"__{i}") for i in range(len(names))]
                 if digest:
-                    own += [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
+                    own += [pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(edges)), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
                 else:
-                    own.append(pa.array([None if none else x for x, none in zip(texts, b.column("__none").to_pylist(), strict=True)], pa.binary()))
+                    own.append(pa.array([None if none else bytes(x) for x, none in zip(texts, b.column("__none").to_pylist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(own, [*names, *(f.name for f in made)])
 
     return src.mapInArrow(run, T.StructType([*kept, *made]))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    paths, parts = ranges(docs, scratch_path(docs.sparkSession, "suffix"))
-    return cut(docs, paths, parts, "doc_id", "text", True)
+    out_dir = scratch_path(docs.sparkSession, "suffix")
+    return cut(docs, out_dir, find(docs, out_dir), "doc_id", "text", True)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated strings removed from the texts, which become binary: a cut may part a character."""
-    paths, parts = ranges(docs, scratch_path(docs.sparkSession, "suffix"), key, text)
-    return cut(docs, paths, parts, key, text, False).select(*docs.columns)
+    out_dir = scratch_path(docs.sparkSession, "suffix")
+    return cut(docs, out_dir, find(docs, out_dir, key, text), key, text, False).select(*docs.columns)

@@ -163,14 +163,44 @@ def test_line_dedup_links_lines_with_one_edit(spark):
     assert got <= set(wanted) and len(got) >= 0.99 * len(wanted), (len(got), len(wanted))
 
 
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def test_suffix_array():
-    for n in range(60):
+    for n in [*range(60), 300, 700]:
         t = [*rng.integers(1, 1 + n % 4 + 1, n).tolist(), 0]
         t = (t[: n // 2] * 2)[:n] + [0] if n % 3 == 0 else t
-        space = induced.Space(16)
-        got = induced.suffix_array(np.array(t), 1 + n % 5, space).tolist()
+        space = induced.Space(16 if n % 2 else 1 << 20)
+        got, prefixes = induced.suffix_array(np.array(t), 1 + n % 5 * 13, space, 50, 1 + n % 7 * 20)
         space.close()
-        assert got == sorted(range(len(t)), key=lambda i: t[i:])
+        want = sorted(range(len(t)), key=lambda i: t[i:])
+        assert got.tolist() == want
+        assert prefixes.tolist() == [0] + [min(50, common(t[i:], t[j:])) for i, j in zip(want, want[1:])]
+
+
+def test_suffix_array_far_larger_than_its_memory():
+    import tracemalloc
+
+    size, bound = 1 << 20, 64 << 10
+    t = np.append(np.random.default_rng(2).integers(1, 5, size).astype(np.int32), 0).astype(np.int32)
+    t[size // 2 : size // 2 + 200_000] = t[:200_000]
+    space = induced.Space(bound)
+    text = space.array(len(t), "<i4")
+    text[:] = t
+    raw = t.astype(np.uint8).tobytes()
+    del t
+    tracemalloc.start()
+    order, prefixes = induced.suffix_array(text, 1 << 12, space, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(order, np.memmap) and isinstance(prefixes, np.memmap)
+    assert most < 10 * size, most  # the arrays and the queue together are more than 60 bytes a character
+    for i in np.random.default_rng(3).integers(1, size, 3000).tolist():
+        a, b = raw[order[i - 1] :][:300_000], raw[order[i] :][:300_000]
+        assert a < b and prefixes[i] == min(50, common(a[:60], b[:60]))
+    assert len(np.unique(order)) == size + 1
+    space.close()
 
 
 def removed(rows):
