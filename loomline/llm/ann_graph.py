@@ -197,7 +197,8 @@ def index(vectors: DataFrame, k: int, vec_id: str = "vec_id", vec: str = "embedd
     counts = {r["dim"]: r["count"] for r in found.groupBy("dim").count().collect()}
     shards = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, -(-n // SHARD))]) if counts else F.create_map(F.lit(0), F.lit(1))
     dealt = found.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), shards[F.col("dim")]).cast("int"))
-    dealt = dealt.repartition("dim", "shard").sortWithinPartitions("dim", "shard")
+    # a task for each shard: without a number Spark would join several small ones
+    dealt = dealt.repartition(max(1, sum(-(-n // SHARD) for n in counts.values())), "dim", "shard").sortWithinPartitions("dim", "shard")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,8 @@ def search(shards: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
         return pa.table([np.concatenate(a) for a in zip(*out, strict=True)], schema=schema)
 
     found = q.groupBy("dim", "shard", "block").cogroup(at.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
-    ranked = found.distinct().withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id counts once, at its nearest vector
+    ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

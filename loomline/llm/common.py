@@ -73,6 +73,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sheltered(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run(docs, ...)`` with columns of ``docs`` that begin with two underscores, as the operators' own do, under other names meanwhile."""
+
+    @functools.wraps(run)
+    def call(docs: DataFrame, *args, **more) -> DataFrame:
+        away = {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                name = f"sheltered{len(away)}"
+                while name in docs.columns:
+                    name += "_"
+                away[c] = name
+        return run(docs.withColumnsRenamed(away), *args, **more).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return call
+
+
 #: Bytes, as JSON, that a table may have to be sent to every executor.
 SENT_BYTES = 48 << 20
 

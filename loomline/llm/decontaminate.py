@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store
+from .common import sheltered, small, store
 
 K, W, SPAN = 5, 6, 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,6 +114,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+@sheltered
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a word inside a benchmark window; all their columns."""
     bad = found_in(keyed(docs, key, text), benchmark).where("n_hit > 0").select(F.col("k4").alias("__k"), F.col("th4").alias("__th"))

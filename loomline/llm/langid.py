@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import lean, sheltered
 
 UNITS, STEPS, ROWS = 8, 64, 2048
 #: Documents of each language that are learnt from, at most.
@@ -260,6 +260,7 @@ def report(docs: DataFrame) -> DataFrame:
 LEAST = 0.4
 
 
+@sheltered
 def accept(docs: DataFrame, key: str = "doc_id", least: float = LEAST) -> DataFrame:
     """The rows whose text the model takes for one of its languages; their own columns."""
     model = train(docs, ~held_out(key))

@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store
+from .common import sheltered, small, store
 
 #: Rows of a leaf in a hash cell, about.
 CELL_ROWS = 10_000
@@ -111,6 +111,7 @@ def report(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_tokens"), F.col("target").alias("leaf_target"), F.col("epoch").cast("int").alias("epoch"))
 
 
+@sheltered
 def mix(docs: DataFrame, levels: list[Column], weights: Weights, budget: int | float, max_epochs: int = 2, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes, a row once for each epoch; their own columns.
 

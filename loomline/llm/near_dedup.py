@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lean, small, store
+from .common import components, lean, sheltered, small, store
 from .langid import buffers, slices
 from .ngram_lm import tokens
 from .token_files import mix
@@ -367,6 +367,7 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs, 85).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@sheltered
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that are not of the smallest id of their group; their own columns.
 

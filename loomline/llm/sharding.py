@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store
+from .common import sheltered, small, store
 
 BITS = 60
 
@@ -79,6 +79,7 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     )
 
 
+@sheltered
 def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its shard: all columns, then shard and shard_depth. Columns of the input
     that have these names are kept as input_shard and input_shard_depth."""
