@@ -42,7 +42,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
 
-#: Language ID and near-duplicate groups are beyond SQL; the stages are tested against brute force.
+#: Language ID and near-duplicate groups are beyond SQL; tests hold each stage against SQL or plain Python on what it was given.
 ORACLE_SQL = None
 
 
