@@ -5,8 +5,8 @@ limit splits on its next bit, any other stays as it is, until every shard fits.
 
 Hash: the first 60 bits of md5 over the key's text, so that SQL engines agree on it. To find the
 splits without a pass for each bit, the rows are first summed into cells of ``depth`` bits, chosen so
-that a mean cell holds 1/64 of the limit; the tree of splits is then grown over cells. Cells that
-are themselves above the limit and hold more than one hash go through the same step, deeper.
+that a mean cell holds 1/64 of the limit, and cells are merged to the shallowest prefixes that fit. Cells that
+are themselves above the limit and hold more than one hash go through the same step, deeper. ``directory`` lists the slots.
 
 Defined results: null or empty text has 0 bytes; a null key has the hash of ``''``; rows of one key
 are never parted, so a single key (or a single long document) above the limit makes a shard of its
@@ -39,14 +39,35 @@ def bits(h: Column, depth: Column) -> Column:
     return F.substring(F.lpad(F.conv(h.cast("string"), 10, 2), BITS, "0"), F.lit(1), depth)
 
 
+#: Bits that one step of the merging of cells covers.
+STEP = 4
+
+
 def _grow(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """(p, depth, shard_bytes, shard_rows, stuck): the shallowest fitting prefix of each cell of ``high`` bits, from depth ``low``."""
-    at = cells.select("p", "n_bytes", "n_rows", "lo", "hi", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-    at = at.withColumn("q", F.expr(f"shiftrightunsigned(p, {high} - depth)"))
-    sums = at.groupBy("depth", "q").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi")))
-    found = at.select("p", "depth", "q").join(fits.drop("lo", "hi"), ["depth", "q"]).groupBy("p").agg(F.min(F.struct("depth", "shard_bytes", "shard_rows")).alias("s"))
-    return cells.select("p").join(found, "p", "left").select("p", "s.depth", "s.shard_bytes", "s.shard_rows", F.col("s").isNull().alias("stuck"))
+    """(p, depth, shard_bytes, shard_rows, stuck): the shallowest fitting prefix, of ``low`` bits at least, of each cell of ``high`` bits.
+
+    A prefix that fits has only fitting ones below it, so cells are merged upwards, STEP bits at a time, as long as what they
+    merge to fits; each step has a sixteenth of the nodes of the one before, and most shards end in the first ones.
+    """
+    fits = (F.col("n_bytes") <= limit) | (F.col("lo") == F.col("hi"))
+    nodes, at, ended = cells.select(F.col("p").alias("q"), "n_bytes", "n_rows", "lo", "hi").withColumn("open", fits), high, []
+    while True:
+        top = max(low, at - STEP)
+        up = nodes.select("q", "n_bytes", "n_rows", "lo", "hi", "open", F.explode(F.sequence(F.lit(top), F.lit(at))).alias("depth")).withColumn("r", F.expr(f"shiftrightunsigned(q, {at} - depth)"))
+        sums = store(up.groupBy("depth", "r").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_rows").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("open", fits), "shard-sums")
+        best = up.where("open").select("q", "depth", "r").join(sums.where("open").select("depth", "r", "n_bytes", "n_rows"), ["depth", "r"])
+        best = best.groupBy("q").agg(F.min(F.struct("depth", "n_bytes", "n_rows")).alias("s"))
+        done = best if top == low else best.where(F.col("s.depth") > top)
+        ended.append((at, done.select("q", "s.depth", F.col("s.n_bytes").alias("shard_bytes"), F.col("s.n_rows").alias("shard_rows"))))
+        nodes = sums.where(F.col("depth") == top).select(F.col("r").alias("q"), "n_bytes", "n_rows", "lo", "hi", "open")
+        at = top
+        if at == low or not nodes.where("open").limit(1).count():
+            break
+    found = None
+    for depth, done in ended:
+        own = cells.select("p", F.expr(f"shiftrightunsigned(p, {high - depth})").alias("q")).join(done, "q").select("p", "depth", "shard_bytes", "shard_rows")
+        found = own if found is None else found.union(own)
+    return cells.select("p").join(found, "p", "left").select("p", "depth", "shard_bytes", "shard_rows", F.col("depth").isNull().alias("stuck"))
 
 
 def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,6 +109,17 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     return own.join(of, F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k").withColumnsRenamed({"__shard": "shard", "__depth": "shard_depth"})
 
 
+def directory(assigned: DataFrame) -> DataFrame:
+    """(slot, shard): the directory of the result of ``assign``, a row for each prefix of as many bits as the deepest shard has.
+
+    A shard of fewer bits has several slots; prefixes that no row has point nowhere and are left out.
+    """
+    shards = assigned.select("shard", "depth").distinct()
+    deepest = shards.agg(F.max("depth")).first()[0] or 0
+    tails = F.when(F.col("depth") < deepest, F.expr(f"transform(sequence(0L, shiftleft(1L, {deepest} - depth) - 1), i -> lpad(conv(cast(i as string), 10, 2), {deepest} - depth, '0'))")).otherwise(F.array(F.lit("")))
+    return shards.select("shard", F.explode(tails).alias("tail")).select(F.concat("shard", "tail").alias("slot"), "shard")
+
+
 #: Production limit of a shard, in bytes.
 LIMIT = 1 << 20
 

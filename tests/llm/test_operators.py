@@ -83,8 +83,25 @@ def test_sharding(docs, empty):
     for s, rows in sizes.items():
         assert sum(r.n_bytes for r in rows) == rows[0].shard_bytes and (rows[0].shard_bytes <= 600 or len({r.doc_id for r in rows}) == 1)
         assert not any(t != s and t.startswith(s) for t in sizes)
-    assert sharding.assign(empty, 600).count() == 0
-    assert sharding.shard(docs, 600).count() == len(corpus())
+    slots = {r.slot: r.shard for r in sharding.directory(sharding.assign(docs, 600)).collect()}
+    assert len({len(x) for x in slots}) == 1 and set(slots.values()) == set(sizes) and all(x.startswith(y) for x, y in slots.items())
+    assert sharding.assign(empty, 600).count() == 0 and sharding.directory(sharding.assign(empty, 600)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 40, 3000, 10**9])
+def test_shards_are_the_shallowest_that_fit(spark, limit):
+    rows = [(i, "x" * int(n)) for i, n in enumerate(rng.integers(0, 60, 700))] + [(3, "y" * 5000)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()
+    bits = {i: f"{int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16):060b}" for i, _ in rows}
+    for r in got:
+        inside = {b for b in bits.values() if b.startswith(r.shard)}
+        size = sum(len(t) for i, t in rows if bits[i].startswith(r.shard))
+        assert bits[r.doc_id].startswith(r.shard) and r.shard_bytes == size and (size <= limit or len(inside) == 1)
+    assert sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), limit).count() == len(rows)
+    for r in got:
+        if r.depth:
+            above = sum(len(t) for i, t in rows if bits[i].startswith(r.shard[:-1]))
+            assert above > limit and len({b for b in bits.values() if b.startswith(r.shard[:-1])}) > 1
 
 
 @pytest.mark.parametrize("spread", [1, 50])
