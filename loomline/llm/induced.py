@@ -31,7 +31,10 @@ MOST_PREFIX = 255
 
 
 class Space:
-    """Arrays that lie in memory up to ``most`` bytes each and in files of a temporary folder beyond, made in the folder ``under``."""
+    """Arrays that lie in memory up to ``most`` bytes each and in files of a temporary folder beyond, made in the folder ``under``.
+
+    Files are mapped and taken out of the folder at once, so what is no longer used takes no room, even after a crash.
+    """
 
     def __init__(self, most: int, under: str | None = None):
         self.most, self.under, self.folder, self.n = most, under, None, 0
@@ -45,7 +48,10 @@ class Space:
     def array(self, n: int, dtype: str) -> np.ndarray:
         if n * np.dtype(dtype).itemsize <= self.most:
             return np.empty(n, dtype)
-        return np.memmap(self.file(), dtype, "w+", shape=(n,))
+        path = self.file()
+        out = np.memmap(path, dtype, "w+", shape=(n,))
+        os.remove(path)  # its blocks are freed with the array
+        return out
 
     def close(self) -> None:
         if self.folder:
@@ -71,13 +77,13 @@ class PriorityQueue:
         self.held += len(key)
         while len(self.runs) > 1 and 2 * self._left(self.runs[-1]) > self._left(self.runs[-2]):
             self.runs[-2:] = [self._merge(self.runs[-2:])]
-        if 16 * self.held > self.space.most:
+        if 16 * self.held > 2 * self.space.most:
             whole = self._merge(self.runs)
             self.held = len(whole[0])
             self.runs = [whole]
-            if 32 * self.held > self.space.most:
+            if 16 * self.held > self.space.most:
                 for i in (0, 1):
-                    kept = np.memmap(self.space.file(), "<u8", "w+", shape=whole[i].shape)
+                    kept = self.space.array(len(whole[i]), "<u8")
                     kept[:] = whole[i]
                     whole[i] = kept
                 self.files.append(whole)
