@@ -45,8 +45,8 @@ class Space:
         self.n += 1
         return os.path.join(self.folder, str(self.n))
 
-    def array(self, n: int, dtype: str) -> np.ndarray:
-        if n * np.dtype(dtype).itemsize <= self.most:
+    def array(self, n: int, dtype: str, beyond: bool = False) -> np.ndarray:
+        if not beyond and n * np.dtype(dtype).itemsize <= self.most:
             return np.empty(n, dtype)
         path = self.file()
         out = np.memmap(path, dtype, "w+", shape=(n,))
@@ -83,7 +83,7 @@ class PriorityQueue:
             self.runs = [whole]
             if 16 * self.held > self.space.most:
                 for i in (0, 1):
-                    kept = self.space.array(len(whole[i]), "<u8")
+                    kept = self.space.array(len(whole[i]), "<u8", True)
                     kept[:] = whole[i]
                     whole[i] = kept
                 self.files.append(whole)
