@@ -89,7 +89,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def place(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part and 32-bit remainder of each hash."""
+    """Part and 32-bit remainder of each hash, hashed again, as those of anchors are small ones."""
+    h = mix(h, 43)
     return by_part(h, parts), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
