@@ -321,7 +321,7 @@ def _ordered_stars(text: np.ndarray, s_type: np.ndarray, space: Space, batch: in
 
 
 #: Strings of names up to so long are sorted in memory.
-BASE = 1 << 16
+BASE = 1 << 19
 
 
 def _doubled(text: np.ndarray) -> np.ndarray:
@@ -370,23 +370,33 @@ def suffix_array(text: np.ndarray, batch: int = 1 << 16, space: Space | None = N
         out[0] = n - 1  # the end, which nothing induces, is the least
         if most:
             common[0] = 0
-        at, x, y = 1, 0, len(small)  # merge by first character, L-suffixes first
-        top = int(text.max())
-        in_large = np.zeros(top + 2, np.int64)
-        in_small = np.zeros(top + 2, np.int64)
+        top = int(text.max())  # merge by first character, L-suffixes first
+        in_large, in_small = np.zeros(top + 1, np.int64), np.zeros(top + 1, np.int64)
         for part, count in ((large, in_large), (small, in_small)):
             for k in _pieces(len(part)):
-                count[:-1] += np.bincount(text[part[k]], minlength=top + 1)
-        for c in np.flatnonzero(in_large + in_small).tolist():
-            p, q = int(in_large[c]), int(in_small[c])
-            out[at : at + p], out[at + p : at + p + q] = large[x : x + p], small[y - q : y][::-1]
+                count += np.bincount(text[part[k]], minlength=top + 1)
+        begin = 1 + np.cumsum(in_large + in_small) - in_large - in_small  # of each character in the result
+        shift = begin - (np.cumsum(in_large) - in_large)
+        for k in _pieces(len(large)):
+            to = shift[text[large[k]]] + np.arange(k.start, k.stop)
+            out[to] = large[k]
             if most:
-                if p:
-                    common[at], common[at + 1 : at + p] = 0, large_common[x + 1 : x + p]
-                if q:
-                    common[at + p] = agreement(text, np.array([out[at + p - 1]], np.int64), np.array([out[at + p]], np.int64), most)[0] if p else 0
-                    common[at + p + 1 : at + p + q] = small_common[y - q + 1 : y][::-1]
-            at, x, y = at + p + q, x + p, y - q
+                common[to] = large_common[k]
+        shift = begin + in_large - (np.cumsum(in_small) - in_small)
+        for k in _pieces(len(small)):  # these stand the other way round
+            own = small[len(small) - k.stop : len(small) - k.start][::-1]
+            to = shift[text[own]] + np.arange(k.start, k.stop)
+            out[to] = own
+            if most:
+                near_next = np.asarray(small_common[len(small) - k.stop + 1 : len(small) - k.start + 1])
+                common[to] = np.append(near_next, [0] * (len(to) - len(near_next)))[::-1]
+        if most:
+            heads = np.flatnonzero(in_small)
+            first = (begin + in_large)[heads]
+            both = in_large[heads] > 0
+            common[first] = 0
+            common[first[both]] = agreement(text, np.asarray(out[first[both] - 1]).astype(np.int64), np.asarray(out[first[both]]).astype(np.int64), most)
+            common[begin[np.flatnonzero(in_large)]] = 0
         return out, common
     finally:
         if space is None:
