@@ -359,7 +359,7 @@ def resolve(anchor: np.ndarray, least: np.ndarray, most: np.ndarray, size: np.nd
 def find(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text") -> int:
     """Write what must go of which snippets under ``out_dir``; the number of parts."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    parts = max(12, math.ceil(2 * math.sqrt(total / (1 << 20))))
+    parts = max(12, math.ceil(4 * math.sqrt(total / (1 << 20))))
     repeated(docs, out_dir, parts, key, text)
 
     @lean
