@@ -101,16 +101,48 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows and total <= SENT_BYTES else df
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges up to which a graph is connected by one task.
+ONE_TASK = 1_000_000
+
+
+def _connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of a graph that is counted to be small, by union-find in one task."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                for x in (a, b):
+                    root.setdefault(x, x)
+                while root[a] != a:
+                    root[a] = a = root[root[a]]
+                while root[b] != b:
+                    root[b] = b = root[root[b]]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        nodes = sorted(root)
+        for x in nodes:  # a root is smaller than what points to it, so it is settled before
+            root[x] = root[root[x]]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root[x] for x in nodes], pa.int64())], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component = smallest node.
 
-    ``edges`` has long columns (a, b). Nodes without an edge to another do not appear. Each round every node moves to that of
+    ``edges`` has long columns (a, b). Nodes without an edge to another do not appear. Up to ``one_task`` edges, a proven
+    bound, are connected by one task, which spares many small jobs. More go in rounds: every node moves to that of
     itself and its neighbours whose hash, another one each round, is least, and the edges are contracted along;
     chains shrink by a constant factor whatever their numbering, and stars vanish in two rounds. The rounds'
     pointers are then followed back. All steps are sums and joins that Spark may split where a node has
     very many edges.
     """
-    left = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    left = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
+    if left.limit(one_task + 1).count() <= one_task:
+        return _connected(left)
+    left = store(left.distinct(), "edges")
     steps: list[DataFrame] = []
     while not steps or left.limit(1).count():
         if len(steps) > max_rounds:

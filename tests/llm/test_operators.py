@@ -41,8 +41,17 @@ def empty(spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 7), (7, 8), (5, 5)] + [(100 + i, 101 + i) for i in range(30)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{100 + i: 100 for i in range(31)}}
+    for bound in (0, 1000):
+        got = {r.node: r.component for r in components(edges, one_task=bound).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{100 + i: 100 for i in range(31)}}
+    many = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    of = {x: x for e in many for x in e}
+    for _ in of:
+        for a, b in many:
+            of[a] = of[b] = min(of[a], of[b])
+    for bound in (0, 1000):
+        got = {r.node: r.component for r in components(spark.createDataFrame(many, "a long, b long"), one_task=bound).collect()}
+        assert got == {x: c for x, c in of.items() if any(x in e and e[0] != e[1] for e in many)}
 
 
 def test_language_id(docs, empty):
