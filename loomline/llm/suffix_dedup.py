@@ -41,10 +41,10 @@ from .langid import buffers, slices
 from .ngram_lm import by_part
 from .token_files import mix
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text that a task works on at once, and of snippets or anchors that it gathers before it sends them.
-PIECE, GATHER = 128 << 10, 3 << 20
+PIECE, GATHER = 96 << 10, 3 << 20
 #: Tuples that the sorter takes at once, and bytes of an array that it keeps in memory.
 BATCH, KEEP = 1 << 16, 16 << 20
 _rng = np.random.default_rng(6)
