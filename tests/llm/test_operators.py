@@ -217,7 +217,7 @@ def test_suffix_array_far_larger_than_its_memory():
     raw = t.astype(np.uint8).tobytes()
     del t
     tracemalloc.start()
-    order, prefixes = induced.suffix_array(text, 1 << 12, space, 50)
+    order, prefixes = induced.suffix_array(text, 1 << 12, space, 50, 1 << 12)  # names beyond 4,096 go on to recursion
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert isinstance(order, np.memmap) and isinstance(prefixes, np.memmap)
