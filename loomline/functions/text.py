@@ -23,6 +23,7 @@ def newlines(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Scan text to paragraphs: rejoin hyphenated line ends, unwrap lines, keep paragraph breaks, collapse blanks."""
+    # fixed values: the patterns and their order, which the result depends on
     c = F.regexp_replace(c, rf"-{SPACE}*\n{SPACE}*", "")
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, rf"{SPACE_IN_LINE}*\n{SPACE_IN_LINE}*", "\n")

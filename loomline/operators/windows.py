@@ -6,10 +6,11 @@ so no sort or running sum ever spans the whole table in one task.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import bounded
+
 #: The header of a log entry, and its tag.
 HEADER = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ)\s+(\S+?)@(\S+)\s+::\s+(.*)$"
 TAG = r"^\[([a-z0-9-]+)\]\s*"
@@ -81,33 +82,72 @@ def quota_prefix(rows: DataFrame, key: str, seq: str, size: Column, quota: Colum
     return own.withColumn("__before", before).where(F.col("__before") < quota).drop("__n", "__before")
 
 
-def greedy_windows(lines: DataFrame, board: str, seq: str, line: str, blocked: str, chars: int = CHARS, most: int = LINES, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(board, k, first_seq, n_lines, n_chars): disjoint windows cut one after another within each board.
+#: Lines of a block that windows are cut in.
+BLOCK = 2048
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder, where the session names one; else kept in memory and on disk, and made anew where an executor is lost."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def numbered(rows: DataFrame, board: str, seq: str) -> DataFrame:
+    """``rows`` with ``i``, their place in the board's order from 0, found without sorting a board in one task.
 
-    A window takes lines while it is under ``chars`` and ``most``, and ends before a blocked one; short
-    windows are dropped but their lines stay used. The state of one cut decides the next up to a blocked line,
-    where it starts anew: the stretches between blocked lines are cut side by side, and only lengths travel.
+    Rows are dealt by ranges of (board, seq); a row's place is the number of rows of its board in the ranges before, and its place in its own.
     """
-    rows = lines.select(F.col(board), F.col(seq), (F.length(line) + 1).alias("n"), F.col(blocked).alias("b"))
-    rows = rows.withColumn("__part", F.expr(f"sum(cast(b as int)) over (partition by `{board}` order by `{seq}`)")).where("not b").drop("b")
-
-    def cut(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(seq, kind="stable")
-        out, begin, size, count = [], None, 0, 0
-        for at, n in zip(g[seq].tolist(), g["n"].tolist(), strict=True):
-            if count and (size >= chars or count >= most):
-                out.append((begin, count, size))
-                size = count = 0
-            begin = at if not count else begin
-            size, count = size + n, count + 1
-        out.append((begin, count, size))
-        kept = pd.DataFrame(out, columns=["first_seq", "n_lines", "n_chars"]).query(f"n_lines >= {least_lines} and n_chars >= {least_chars}")
-        kept.insert(0, board, g[board].iloc[0])
-        return kept
+    dealt = stored(rows.repartitionByRange(board, seq).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col(board).alias("__b"), F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__b", "__r", F.expr("sum(__n) over (partition by __b order by __r) - __n").alias("__before"))
+    own = dealt.withColumn("__at", F.expr(f"row_number() over (partition by `{board}`, __range order by `{seq}`) - 1"))
+    return own.join(before, F.col(board).eqNullSafe(F.col("__b")) & (F.col("__range") == F.col("__r"))).withColumn("i", F.col("__before") + F.col("__at")).drop("__b", "__r", "__n", "__range", "__at", "__before")
 
+
+def _entries(blocks: DataFrame, most: int, length: int) -> DataFrame:
+    """(b, block, entry): the first line of each block where a window starts.
+
+    A window has at most ``most`` lines, so it reaches no further than that many lines into the next block: a block is a map
+    from its possible first starts to those of the next one. The maps of a board's blocks are composed by doubling, each with
+    that of 1, 2, 4, ... blocks before, until they lead there from the board's first line.
+    """
+    jump = f"aggregate(w, transform(sequence(0, {most - 1}), e -> block * {length} + e), (acc, x) -> transform(acc, p -> if(p = x.i, x.i + greatest(x.cnt, 1), p)))"
+    maps = stored(blocks.where("more").select("b", "block", F.expr(f"transform({jump}, p -> cast(p - (block + 1) * {length} as int))").alias("to")))
+    last = maps.agg(F.max("block")).first()[0]
+    reach = 1
+    while last is not None and reach <= last:
+        before = maps.select(F.col("b").alias("__b"), (F.col("block") + reach).alias("__block"), F.col("to").alias("__to"))
+        joined = maps.join(before, F.col("b").eqNullSafe(F.col("__b")) & (F.col("block") == F.col("__block")), "left")
+        maps = stored(joined.select("b", "block", F.expr("if(__to is null, to, transform(__to, p -> to[p]))").alias("to")))
+        reach *= 2
+    first = blocks.where("block = 0").select("b", "block", F.lit(0).cast("long").alias("entry"))
+    return first.unionByName(maps.select("b", (F.col("block") + 1).alias("block"), F.expr(f"(block + 1) * {length} + to[0]").alias("entry")))
+
+
+def greedy_windows(lines: DataFrame, board: str, seq: str, line: str, blocked: str, chars: int = CHARS, most: int = LINES, least_lines: int = LEAST_LINES, least_chars: int = LEAST_CHARS, length: int = BLOCK) -> DataFrame:
+    """(board, k, first_seq, n_lines, n_chars): disjoint windows cut one after another within each board.
+
+    A window takes lines while it is under ``chars`` and ``most``, and ends before a blocked one; short windows are dropped
+    but their lines stay used. Boards are cut into blocks of ``length`` lines, with the next ``most`` lines along, and only
+    lengths travel. In a block each line gets the window that would start there; where the first one starts follows from
+    the blocks before (``_entries``), and a fold over the block then finds the windows. No board is in one task.
+    """
+    if not 0 < most <= length:
+        raise ValueError("a block must hold a window")
     kind = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-    cuts = rows.groupBy(board, "__part").applyInPandas(cut, f"`{board}` {kind[board]}, first_seq {kind[seq]}, n_lines long, n_chars long")
-    return cuts.select(board, F.expr(f"cast(row_number() over (partition by `{board}` order by first_seq) - 1 as long)").alias("k"), "first_seq", "n_lines", "n_chars")
+    rows = lines.select(F.col(board).alias("b"), F.col(seq).alias("seq"), (F.length(line) + 1).cast("long").alias("n"), F.col(blocked).alias("no"))
+    own = F.expr(f"i div {length}")
+    both = F.when((own > 0) & (F.col("i") % length < most), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = numbered(rows, "b", "seq").withColumn("block", F.explode(both))
+    blocks = dealt.groupBy("b", "block").agg(F.array_sort(F.collect_list(F.struct("i", "seq", "n", "no"))).alias("rows"))  # at most ``length`` and ``most``
+    window = f"aggregate(slice(rows, p, {most}), named_struct('cnt', 0L, 'size', 0L, 'open', true), (s, x) -> if(s.open and not x.no and s.size < {chars}, named_struct('cnt', s.cnt + 1L, 'size', s.size + x.n, 'open', true), named_struct('cnt', s.cnt, 'size', s.size, 'open', false)))"
+    each = f"transform(sequence(1, least(size(rows), {length})), p -> struct(rows[p - 1].i as i, rows[p - 1].seq as seq, {window} as w))"
+    blocks = stored(blocks.select("b", "block", F.expr(f"size(rows) > {length}").alias("more"), F.expr(f"transform({each}, x -> struct(x.i as i, x.seq as seq, x.w.cnt as cnt, x.w.size as size))").alias("w")))
+    cut = f"""aggregate(w, named_struct('at', entry, 'found', cast(array() as array<struct<seq:{kind[seq]},cnt:bigint,size:bigint>>)),
+      (s, x) -> if(x.i = s.at, named_struct('at', x.i + greatest(x.cnt, 1L), 'found', if(x.cnt >= {least_lines} and x.size >= {least_chars}, concat(s.found, array(named_struct('seq', x.seq, 'cnt', x.cnt, 'size', x.size))), s.found)), s)).found"""
+    entry = _entries(blocks, most, length).toDF("__b", "__block", "entry")
+    found = blocks.join(entry, F.col("b").eqNullSafe(F.col("__b")) & (F.col("block") == F.col("__block"))).select("b", "block", F.expr(cut).alias("found"))
+    found = found.withColumn("before", F.expr("sum(size(found)) over (partition by b order by block) - size(found)"))
+    return found.select(F.col("b").alias(board), "before", F.posexplode("found").alias("nth", "x")).select(board, (F.col("before") + F.col("nth")).cast("long").alias("k"), F.col("x.seq").alias("first_seq"), F.col("x.cnt").alias("n_lines"), F.col("x.size").alias("n_chars"))
 
 
 def strided_windows(lines: DataFrame, board: str, seq: str, line: str, n: int = 8, chars: int = CHARS, most: int = LINES, tail: int = TAIL) -> DataFrame:
@@ -123,6 +163,13 @@ def strided_windows(lines: DataFrame, board: str, seq: str, line: str, n: int =
     return rows.withColumn("before", before).where(f"before < {chars} and i - k * step < {most}").select(board, "k", seq, line)
 
 
+def tail_windows(lines: DataFrame, order: list[str], line: str, n: int = 8, chars: int = CHARS, most: int = LINES, tail: int = TAIL) -> DataFrame:
+    """(k, order, line): windows as ``strided_windows`` cuts them, over the last ``tail`` rows of the whole log in its order."""
+    last = lines.select(*order, line).orderBy(*[F.desc(c) for c in order]).limit(tail)  # so many rows and no more
+    own = last.select(F.lit(0).alias("__log"), F.struct(*order).alias("__o"), line)
+    return strided_windows(own, "__log", "__o", line, n, chars, most, tail).select("k", "__o.*", line)
+
+
 #: Lines of a window that are looked up together.
 HEAD = 4
 
@@ -146,10 +193,41 @@ def locate(windows: DataFrame, lines: DataFrame, board: str, seq: str, line: str
     return first_of(whole, [f"`{wid}`"], f"`{board}`, i").select(wid, board, "i", (F.col("i") + F.col("n")).alias("j"))
 
 
+def _long(c: Column, kind: str) -> Column:
+    return F.unix_micros(c) if kind.startswith("timestamp") else c.cast("long")
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return next(f.dataType.simpleString() for f in df.schema.fields if f.name == column)
+
+
+def binned_spans(spans: DataFrame, keys: list[str], lo: str, hi: str, closed: bool) -> tuple[DataFrame, int]:
+    """(keys, __bin, __lo, __hi) and the width of a bin: spans cut at the edges of bins, half-open and disjoint within a bin.
+
+    A bin is as wide as the spans are on average, so there are at most three rows for each span. Spans of one key are merged
+    bin by bin and never all in one task. Times become microseconds.
+    """
+    own = spans.select(*keys, _long(F.col(lo), _kind(spans, lo)).alias("__lo"), (_long(F.col(hi), _kind(spans, hi)) + int(closed)).alias("__hi")).where("__lo < __hi")
+    n, total = own.agg(F.count("*"), F.sum(F.col("__hi").cast("double") - F.col("__lo"))).first()
+    width = max(1, int(-(-total // n))) if n else 1
+    bin_of = lambda c: f"({c} - pmod({c}, {width}L)) div {width}L"
+    cut = own.withColumn("__bin", F.explode(F.expr(f"sequence({bin_of('__lo')}, {bin_of('(__hi - 1)')})")))
+    cut = cut.select(*keys, "__bin", F.expr(f"greatest(__lo, __bin * {width}L)").alias("__lo"), F.expr(f"least(__hi, (__bin + 1) * {width}L)").alias("__hi"))
+    return merged_spans(cut, [*keys, "__bin"], "__lo", "__hi"), width
+
+
+def _met(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, closed: bool, how: str) -> DataFrame:
+    """``rows`` joined with the spans that hold them, at most one each: an equi-join on keys and bin with the range as residual."""
+    binned, width = binned_spans(spans, keys, lo, hi, closed)
+    s = bounded(stored(binned)).withColumnsRenamed({k: f"__{k}" for k in keys})
+    placed = rows.withColumn("__at", _long(F.col(at), _kind(rows, at))).withColumn("__of", F.expr(f"(__at - pmod(__at, {width}L)) div {width}L"))
+    cond = " and ".join([*(f"`{k}` = `__{k}`" for k in keys), "__of = __bin", "__at >= __lo", "__at < __hi"])
+    return placed.join(s, F.expr(cond), how).drop("__at", "__of")
+
+
 def outside(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str) -> DataFrame:
-    """Rows whose ``at`` lies in no closed span of the same keys: an equi-join with the range as residual."""
-    cond = " and ".join([*(f"r.`{k}` = s.`{k}`" for k in keys), f"r.`{at}` between s.`{lo}` and s.`{hi}`"])
-    return rows.alias("r").join(spans.alias("s"), F.expr(cond), "left_anti")
+    """Rows whose ``at`` lies in no closed span of the same keys, or of all spans without keys."""
+    return _met(rows, spans, keys, at, lo, hi, True, "left_anti")
 
 
 def merged_spans(spans: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
@@ -161,11 +239,9 @@ def merged_spans(spans: DataFrame, keys: list[str], lo: str, hi: str) -> DataFra
     return own.groupBy(*keys, "__g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__g")
 
 
-def blocked(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str) -> DataFrame:
-    """``rows`` with ``blocked``: whether the row number ``at`` lies in a half-open span of the same keys."""
-    m = merged_spans(spans, keys, lo, hi).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
-    cond = " and ".join([*(f"`{k}` = `__{k}`" for k in keys), f"`{at}` >= __lo and `{at}` < __hi"])
-    return rows.join(m, F.expr(cond), "left").withColumn("blocked", F.col("__lo").isNotNull()).drop(*[f"__{k}" for k in keys], "__lo", "__hi")
+def blocked(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, lo: str, hi: str, closed: bool = False) -> DataFrame:
+    """``rows`` with ``blocked``: whether ``at`` lies in a span of the same keys, half-open unless ``closed``."""
+    return _met(rows, spans, keys, at, lo, hi, closed, "left").withColumn("blocked", F.col("__lo").isNotNull()).drop(*[f"__{k}" for k in keys], "__bin", "__lo", "__hi")
 
 
 def reruns(candidates: DataFrame, claimed: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:

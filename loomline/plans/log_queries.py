@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import windows as W
-from .registry import query, table
+from .catalog import query, table
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +94,8 @@ def greedy_windows(spark: SparkSession, d: str) -> DataFrame:
     return W.greedy_windows(spoken(log(spark, d)).withColumn("b", F.col("tag") == "error"), "win", "seq", "line", "b", 200, 22, 4, 60)
 
 
-#: Windows are cut from the last so many rows of a board; few, so that the small tables have longer ones.
-TAIL = 40
+#: Windows are cut from the last so many rows of a board, or of the whole log.
+TAIL = W.TAIL
 _strided = f"""tl as (select win, seq, {SPOKEN} as body from (select *, row_number() over (partition by win order by seq desc) as r from {LOG}) where r <= {TAIL}),
 o as (select win, seq, body, row_number() over (partition by win order by seq) - 1 as i, count(*) over (partition by win) // 8 as step from tl),
 e as (select o.*, k from o, range(8) t(k) where i >= k * step),
@@ -119,6 +119,33 @@ def holdout_spans_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return W.outside(own, spans, ["win"], "ts", "lo", "hi").select("seq", "win", "ts")
 
 
+_tail = f"""tl as (select * from (select ts, seq, {SPOKEN} as line from {LOG}) order by ts desc, seq desc limit {TAIL}),
+o as (select *, row_number() over (order by ts, seq) - 1 as i, count(*) over () // 8 as step from tl), e as (select o.*, k from o, range(8) t(k) where i >= k * step),
+c as (select *, coalesce(sum(length(line) + 1) over (partition by k order by i rows between unbounded preceding and 1 preceding), 0) as before from e),
+w as (select k, ts, seq, line from c where before < {W.CHARS} and i - k * step < {W.LINES}), sp as (select k, min(ts) as lo, max(ts) as hi from w group by k)"""
+
+
+@query(f"with {_tail} select k, ts, seq, line from w")
+def log_tail_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Eight windows spread over the last rows of the whole log."""
+    return W.tail_windows(spoken(log(spark, d)), ["ts", "seq"], "line")
+
+
+def _test_spans(spark: SparkSession, d: str) -> DataFrame:
+    return log_tail_windows(spark, d).groupBy("k").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+
+
+@query(f"with {_tail} select l.seq, l.win, l.ts from {LOG} l where not exists (select 1 from sp where l.ts between sp.lo and sp.hi)")
+def log_spans_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of any board outside the spans of all windows: a span of one board keeps rows of every board out."""
+    return W.outside(log(spark, d), _test_spans(spark, d), [], "ts", "lo", "hi").select("seq", "win", "ts")
+
+
+@query(f"with {_tail} select l.seq, l.win, exists (select 1 from sp where l.ts between sp.lo and sp.hi) as blocked from {LOG} l")
+def log_blocked_rows(spark: SparkSession, d: str) -> DataFrame:
+    return W.blocked(log(spark, d), _test_spans(spark, d), [], "ts", "lo", "hi", True).select("seq", "win", "blocked")
+
+
 _wtext = f"{_strided}, t as (select win || '/' || k as wid, win, k, string_agg(body, chr(10) order by seq) as text, count(*) as n, min(seq) as s from w group by win, k)"
 
 
@@ -145,6 +172,14 @@ def recut_windows(spark: SparkSession, d: str) -> DataFrame:
     return W.greedy_windows(W.blocked(own, spans, ["win"], "at", "lo", "hi"), "win", "seq", "line", "blocked", 4200, 22, 3, 30)
 
 
+@query(_greedy.format(board="log", seq="seq", line="line", blocked="b", src=f"(with recursive {_tail} select 0 as log, row_number() over (order by ts, seq) as seq, line, b from (select ts, seq, {SPOKEN} as line, exists (select 1 from sp where l.ts between sp.lo and sp.hi) as b from {LOG} l))", chars=W.CHARS, most=W.LINES, ll=W.LEAST_LINES, lc=300).replace("board as log, ", ""))
+def log_recut_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows cut one after another from the whole log, all boards in one order, around the spans of the test windows; first_seq is a row number."""
+    rows = W.blocked(spoken(log(spark, d)), _test_spans(spark, d), [], "ts", "lo", "hi", True)
+    own = W.numbered(rows.select(F.lit(0).alias("log"), F.struct("ts", "seq").alias("o"), "line", "blocked"), "log", "o").withColumn("at", F.col("i") + 1).drop("i")
+    return W.greedy_windows(own, "log", "at", "line", "blocked", least_chars=300).drop("log")
+
+
 _runs = "select {k}, unnest(case when len(l) >= {n} then list_transform(range(1, len(l) - {n} + 2), lambda i: array_to_string(l[i:i + {n} - 1], chr(10))) else [] end) as run from (select {k}, string_split(text, chr(10)) as l from {t})"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import pairs as P
 from .log_queries import LOG, log
-from .registry import query, table
+from .catalog import query, table
 
 CONV = "(select conv_id, string_agg(text, ' ' order by turn) filter (role = 'assistant') as source, arg_min(text, turn) filter (role = 'user') as summary, count(*)::bigint as n from conversations group by 1)"
 

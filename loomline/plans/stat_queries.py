@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
-from .registry import query, table
+from .catalog import query, table
 
 SCORES = "(select l_returnflag as side, l_returnflag || l_linenumber as variant, strftime(l_shipdate, '%Y-%m') as window_, avg(l_extendedprice / 1000 - l_quantity) as v from lineitem group by 1, 2, 3)"
 

@@ -38,6 +38,55 @@ def test_greedy_windows_use_each_free_line_once_and_are_full(spark, limits):
         assert size >= limits[0] or n == limits[1] or first + n == 60 or first + n in blocked
 
 
+def test_windows_of_many_blocks_are_those_of_one(spark):
+    """Blocks of a few lines, so that starts come through the doubled maps, against the same board in one block."""
+    lines = [(b, i, "x" * ((i * 11 + len(b)) % 37), (i * 7) % 41 == 3 or 50 < i < 75) for b, n in (("a", 300), ("bb", 5), ("ccc", 64)) for i in range(n)] + [(None, i, "y" * 30, False) for i in range(40)]
+    df = spark.createDataFrame(lines, "board string, seq long, line string, no boolean").repartition(5)
+    for limits in ((60, 5, 1, 1), (90, 7, 2, 40), (10, 1, 1, 1)):
+        got = [sorted(map(str, W.greedy_windows(df, "board", "seq", "line", "no", *limits, length=n).collect())) for n in (7, 1000)]
+        assert got[0] == got[1] and len(got[0]) > 20
+    with pytest.raises(ValueError):
+        W.greedy_windows(df, "board", "seq", "line", "no", 60, 22, length=7)
+
+
+def test_places_in_a_board(spark):
+    rows = [(b, i * 3) for b, n in (("a", 500), ("b", 1), (None, 30)) for i in range(n)]
+    got = W.numbered(spark.createDataFrame(rows, "board string, seq long").repartition(6), "board", "seq").collect()
+    assert sorted((r.board or "", r.seq, r.i) for r in got) == sorted((b or "", s, s // 3) for b, s in rows)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_spans_of_all_boards(spark, closed):
+    at = lambda m: dt.datetime(2026, 1, 1) + dt.timedelta(minutes=m)
+    rows = [("abc"[i % 3], at(i - 200)) for i in range(500)] + [("a", None)]
+    spans = [("a", at(3), at(40)), ("b", at(20), at(21)), ("c", at(-150), at(-150)), ("a", at(100), at(290)), ("b", at(120), at(130)), ("c", at(290), at(291)), ("a", None, at(5)), ("b", at(50), at(45))]
+    df, sp = spark.createDataFrame(rows, "win string, ts timestamp"), spark.createDataFrame(spans, "win string, lo timestamp, hi timestamp")
+    inside = lambda t, lo, hi: None not in (t, lo, hi) and lo <= t and (t <= hi if closed else t < hi)
+    for keys in ([], ["win"]):
+        want = {(w, t): any(inside(t, lo, hi) and (w == v or not keys) for v, lo, hi in spans) for w, t in rows}
+        got = W.blocked(df, sp, keys, "ts", "lo", "hi", closed).collect()
+        assert len(got) == len(rows) and {(r.win, r.ts): r.blocked for r in got} == want
+        if closed:
+            assert {(r.win, r.ts) for r in W.outside(df, sp, keys, "ts", "lo", "hi").collect()} == {k for k, hit in want.items() if not hit}
+    assert W.outside(df, sp.where("false"), [], "ts", "lo", "hi").count() == len(rows)
+
+
+def test_tail_windows_span_boards(spark):
+    rows = [(i // 2, i, f"w{i % 3}: " + "x" * (i % 5)) for i in range(100)]
+    got = {}
+    for r in W.tail_windows(spark.createDataFrame(rows, "ts long, seq long, line string"), ["ts", "seq"], "line", n=4, chars=40, most=6, tail=50).orderBy("k", "seq").collect():
+        got.setdefault(r.k, []).append(r.seq)
+    want = {}
+    for k in range(4):
+        i = 50 + k * 12
+        size = 0
+        while i < 100 and size < 40 and len(want.get(k, [])) < 6:
+            want.setdefault(k, []).append(i)
+            size += len(rows[i][2]) + 1
+            i += 1
+    assert got == want
+
+
 def test_blocked_rows_and_reruns(spark):
     rows = spark.createDataFrame([("b", i) for i in range(12)] + [("c", 1)], "board string, i long")
     spans = spark.createDataFrame([("b", 1, 3), ("b", 2, 5), ("b", 5, 6), ("b", 9, 10)], "board string, lo long, hi long")

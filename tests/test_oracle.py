@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"))
 def test_query_runs(spark, name):
-    assert len(entry.queries()[name](spark, DATA).columns) > 0
+    assert entry.queries()[name](spark, DATA).count() > 0
 
 
 def test_entry(spark):
