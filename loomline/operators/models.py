@@ -6,9 +6,6 @@ vocabulary, so selections run in windows over one context each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,52 +165,144 @@ def byte_symbols(word: Column) -> Column:
 SPECIAL, FIRST_MERGED = 0, 257
 
 
+#: Pairs whose counts come to the driver in a round; the least and the most of them for which it learns what merging them changes.
+KNOWN, AHEAD = 1000, (12, 200)
+
+
+def _symbols(s: str) -> Column:
+    """The symbols of ``<a><b>...``."""
+    return F.split(F.expr(f"substring({s}, 2, length({s}) - 2)"), "><")
+
+
+def _adjacent(a: str) -> Column:
+    """The pairs (x, y) of neighbours in a stored array."""
+    return F.when(F.size(a) > 1, F.arrays_zip(F.slice(a, F.lit(1), F.size(a) - 1).alias("x"), F.slice(a, F.lit(2), F.size(a) - 1).alias("y"))).otherwise(F.array().cast("array<struct<x:string,y:string>>"))
+
+
+def _round(own: DataFrame, ahead: int) -> tuple[dict[tuple[str, str], int], dict[tuple[str, str], dict[tuple[str, str], int]]]:
+    """The counts of the KNOWN most frequent pairs, and by how much merging each of the first ``ahead`` alone changes the counts of others."""
+    own = own.select("s", "c", _symbols("s").alias("a"))
+    pairs = own.select("c", F.explode(_adjacent("a")).alias("p"))
+    top = pairs.groupBy("p.x", "p.y").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "x", "y").limit(KNOWN)
+    first = top.orderBy(F.desc("n"), "x", "y").limit(ahead).select("x", "y")
+    held = own.select("s", "c", "a", F.explode(F.array_distinct(_adjacent("a"))).alias("p")).select("s", "c", "a", "p.x", "p.y").join(F.broadcast(first), ["x", "y"])  # ``ahead`` rows
+    merged = F.expr("replace(s, concat('<', x, '><', y, '>'), concat('<', x, y, '>'))")
+    held = held.select("x", "y", "c", "a", merged.alias("t")).select("x", "y", "c", "a", _symbols("t").alias("t"))
+    each = held.select("x", "y", "c", F.explode(F.array(F.struct(F.lit(-1).alias("d"), F.col("a").alias("a")), F.struct(F.lit(1).alias("d"), F.col("t").alias("a")))).alias("v")).select("x", "y", (F.col("c") * F.col("v.d")).alias("d"), F.col("v.a").alias("a"))
+    change = each.select("x", "y", "d", F.explode(_adjacent("a")).alias("q")).groupBy("x", "y", F.col("q.x").alias("u"), F.col("q.y").alias("v")).agg(F.sum("d").alias("d")).where("d <> 0")
+    # a pair that loses matters only where its count is known
+    change = change.join(F.broadcast(top.select(F.col("x").alias("u"), F.col("y").alias("v"), "n")), ["u", "v"], "left").where("d > 0 or n is not null").select("x", "y", "u", "v", "d")  # KNOWN rows
+    counts, changes = {}, {}
+    for r in top.select("x", "y", F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("v"), F.col("n").alias("d")).unionByName(change).collect():  # a few rows for each symbol and pair
+        if r["u"] is None:
+            counts[r["x"], r["y"]] = r["d"]
+        else:
+            changes.setdefault((r["x"], r["y"]), {})[r["u"], r["v"]] = r["d"]
+    return counts, changes
+
+
+def _agreed(counts: dict, changes: dict, made: set[str], most: int) -> list[tuple[str, str]]:
+    """The next merges of a plain trainer, as many as follow for certain from a round's counts.
+
+    A merge changes the counts of pairs next to it by what is known for it alone. Where a second merge may have changed them
+    too, only a bound is left; the round ends before a pair whose bound is the largest, and after one whose own merge has
+    unknown consequences, as it was itself touched or is not among the first.
+    """
+    least = min(counts.values()) if len(counts) >= KNOWN else 0
+    n, touched, unsure, out = dict(counts), {}, set(), []
+    while len(out) < most:
+        best = min((p for p in n if n[p] > 0), key=lambda p: (-n[p], p), default=None)
+        # pairs that are not known may come before those with no more than the least count
+        if best is None or best in unsure or (least and n[best] <= least and out):
+            break
+        out.append(best)
+        if best in touched or best not in changes:
+            break
+        a, b = best
+        for q, d in changes[best].items():
+            if q == best:
+                continue
+            if q not in n:
+                n[q] = least if q[0] in made and q[1] in made else 0
+                unsure |= {q} if n[q] else set()  # it may have been there, below the known ones
+            if q in touched:
+                n[q] = min(n[q], counts.get(q, n[q]) + d) if d < 0 else n[q] + d
+                unsure.add(q)
+            else:
+                n[q] += d
+            touched[q] = best
+        n[best] = 0
+        for other in out[:-1]:  # a pair made by one merge whose neighbour another one takes away
+            for p, o in ((best, other), (other, best)):
+                unsure |= {q for q in changes[p] if (q[0] == p[0] + p[1] and q[1] == o[0]) or (q[1] == p[0] + p[1] and q[0] == o[1])}
+    return out
+
+
 def train_bpe(word_counts: DataFrame, vocabulary: int) -> list[tuple[str, str]]:
-    """Merges of a byte-level BPE up to a size of vocabulary: each round counts pairs in Spark and merges the most frequent; only that pair reaches the driver.
+    """Merges of a byte-level BPE up to a size of vocabulary, those that a trainer finds which counts anew after each merge.
 
-    Symbols are the hexadecimal digits of their bytes; ties go to the smaller pair.
+    A round is one Spark job over the distinct words: it counts the pairs and, for the most frequent ones, the differences
+    that merging them would make to others. The driver, which sees a bounded number of pairs, takes as many merges as follow
+    for certain; all of them are then applied together. Symbols are the hexadecimal digits of their bytes; ties go to the smaller pair.
     """
     own = _stored(word_counts.select(byte_symbols(F.col("word")).alias("s"), "c"))
     found: list[tuple[str, str]] = []
-    for i in range(vocabulary - FIRST_MERGED):
-        a = F.regexp_extract_all("s", F.lit("<([0-9A-F]+)>"), F.lit(1))
-        pairs = own.select(a.alias("a"), "c").where("size(a) > 1").select("c", F.explode(F.arrays_zip(F.slice("a", F.lit(1), F.size("a") - 1).alias("x"), F.slice("a", F.lit(2), F.size("a") - 1).alias("y"))).alias("p"))
-        best = pairs.groupBy("p.x", "p.y").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "x", "y").first()
-        if best is None:
+    made, ahead = {f"{b:02X}" for b in range(256)}, AHEAD[0]
+    while len(found) < vocabulary - FIRST_MERGED:
+        merges = _agreed(*_round(own, ahead), made, vocabulary - FIRST_MERGED - len(found))
+        ahead = min(max(3 * len(merges), AHEAD[0]), AHEAD[1])
+        if not merges:
             break
-        x, y = best["x"], best["y"]
-        found.append((x, y))
-        own = own.select(F.replace("s", F.lit(f"<{x}><{y}>"), F.lit(f"<{x}{y}>")).alias("s"), "c")
-        if i % 32 == 31:
-            own = _stored(own)
+        found += merges
+        made |= {x + y for x, y in merges}
+        s = F.col("s")
+        for x, y in merges:
+            s = F.replace(s, F.lit(f"<{x}><{y}>"), F.lit(f"<{x}{y}>"))
+        before, own = own, _stored(own.select(s.alias("s"), "c"))
+        if before.is_cached:
+            own.count()
+            before.unpersist()
     return found
 
 
-def encode_bpe(words: DataFrame, merges: list[tuple[str, str]], word: str = "word") -> DataFrame:
-    """``words`` with ``ids``: each word, with a blank in front, by the merges in order. Ids 1 to 256 are the bytes."""
-    rank = {m: i for i, m in enumerate(merges)}
+def _ids(merges: list[tuple[str, str]]) -> dict[str, int]:
+    """The id of each symbol: 1 to 256 for the bytes, printed ones first, then the merged symbols in their order."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     order = printable + [b for b in range(256) if b not in set(printable)]
-    ids = {f"{b:02X}": i for i, b in enumerate(order, 1)} | {a + b: FIRST_MERGED + i for i, (a, b) in enumerate(merges)}
-
-    def pieces(w: str) -> list[int]:
-        s = [f"{b:02X}" for b in (" " + w).encode()]
-        while len(s) > 1:
-            first = min(rank.get(p, len(rank)) for p in zip(s, s[1:]))
-            if first == len(rank):
-                break
-            a, b = merges[first]
-            out, i = [], 0
-            while i < len(s):
-                hit = i + 1 < len(s) and s[i] == a and s[i + 1] == b
-                out.append(a + b if hit else s[i])
-                i += 2 if hit else 1
-            s = out
-        return [ids[x] for x in s]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(ids=[pieces(w) for w in b[word]])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields)
-    return words.mapInPandas(run, f"{fields}, ids array<int>")
+    return {f"{b:02X}": i for i, b in enumerate(order, 1)} | {a + b: FIRST_MERGED + i for i, (a, b) in enumerate(merges)}
+
+
+def encode_bpe(words: DataFrame, merges: list[tuple[str, str]], word: str = "word") -> DataFrame:
+    """``words`` with ``ids``: each word, with a blank in front, by the merges in order.
+
+    One expression: a fold over the merges, each of which replaces its two symbols from left to right. The merges travel as one row.
+    """
+    ids = _ids(merges)
+    rules = [(f"<{ids[a]}><{ids[b]}>", f"<{ids[a + b]}>") for a, b in merges]
+    table = words.sparkSession.createDataFrame([(rules,)], "__rules array<struct<f:string,t:string>>")
+    s = F.concat(F.lit("<"), F.array_join(X.byte_tokens(F.col(word)).cast("array<string>"), "><"), F.lit(">"))
+    own = words.withColumn("__s", s).crossJoin(F.broadcast(table))  # one row
+    own = own.withColumn("__s", F.aggregate("__rules", F.col("__s"), lambda x, r: F.replace(x, r["f"], r["t"])))
+    return own.withColumn("ids", _symbols("__s").cast("array<int>")).drop("__s", "__rules")
+
+
+def encode_documents(docs: DataFrame, merges: list[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words, ids): whole texts, lower-cased words only. Each distinct word is encoded once and joined back by its hash and itself."""
+    at = docs.select(F.col(key).alias("k"), F.posexplode_outer(X.words(F.col(text))).alias("pos", "word"))
+    coded = encode_bpe(at.where("word is not null").select("word").distinct(), merges)
+    rows = at.join(coded, "word", "left").groupBy("k").agg(F.count("word").alias("n_words"), F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("x"))
+    return rows.select(F.col("k").alias(key), "n_words", F.flatten(F.transform("x", lambda p: p["ids"])).alias("ids"))
+
+
+def coverage(docs: DataFrame, merges: list[tuple[str, str]], sizes: list[int], group: str, text: str = "text") -> DataFrame:
+    """(group, vocabulary, n_words, n_chars, n_tokens): what the first merges of each size of vocabulary make of a group's words.
+
+    Words are counted by group first, so each distinct word is encoded once for each size and only counts are joined.
+    """
+    counts = docs.select(F.col(group), F.explode(X.words(F.col(text))).alias("word")).groupBy(group, "word").agg(F.count("*").alias("c"))
+    counts = _stored(counts)
+    words, out = counts.select("word").distinct(), None
+    for size in sizes:
+        coded = encode_bpe(words, merges[: max(0, size - FIRST_MERGED)]).select("word", F.lit(size).alias("vocabulary"), F.size("ids").alias("n"))
+        out = coded if out is None else out.unionByName(coded)
+    return counts.join(out, "word").groupBy(group, "vocabulary").agg(F.sum("c").alias("n_words"), F.sum(F.col("c") * (F.length("word") + 1)).alias("n_chars"), F.sum(F.col("c") * F.col("n")).alias("n_tokens"))

@@ -189,17 +189,26 @@ def product_generate(spark: SparkSession, d: str) -> DataFrame:
     return M.generate(starts, [M.selection(M.product(a, b, 0.5, 0.85), 1.0, None, 0.95)], 4, 1, "")
 
 
-#: A vocabulary of the special token, 256 bytes and 16 merged symbols.
-VOCABULARY = 273
+#: A vocabulary of the special token, 256 bytes and 255 merged symbols.
+VOCABULARY = 512
+
+
+def _merges(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    return M.train_bpe(N.word_counts(table(spark, d, "documents")), VOCABULARY)
 
 
 @query()
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    merges = M.train_bpe(N.word_counts(table(spark, d, "documents")), VOCABULARY)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges, M.FIRST_MERGED)], "id int, a string, b string")
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_merges(spark, d), M.FIRST_MERGED)], "id int, a string, b string")
 
 
 @query()
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
-    own = N.word_counts(table(spark, d, "documents"))
-    return M.encode_bpe(own, M.train_bpe(own, VOCABULARY))
+    return M.encode_bpe(N.word_counts(table(spark, d, "documents")), _merges(spark, d))
+
+
+@query()
+def bpe_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens, and characters a token, of each language's words under bytes alone, half and all of the merges."""
+    out = M.coverage(table(spark, d, "documents"), _merges(spark, d), [M.FIRST_MERGED, (M.FIRST_MERGED + VOCABULARY) // 2, VOCABULARY], "lang")
+    return out.withColumn("chars_a_token", F.round(F.col("n_chars") / F.col("n_tokens"), 6))

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -77,34 +79,68 @@ def test_experts_must_share_their_vocabulary(spark):
         M.same_vocabulary(a, b.where("tok <> 'b'"))
 
 
-def test_bpe_against_a_plain_one(spark):
-    words = {"low": 5, "lower": 2, "newest": 6, "widest": 3, "é": 4}
-    df = spark.createDataFrame(list(words.items()), "word string, c long")
-    seqs, want = {w: [f"{b:02X}" for b in (" " + w).encode()] for w in words}, []
-    for _ in range(6):
+def plain_bpe(words, most):
+    seqs, merges = {w: [f"{b:02X}" for b in (" " + w).encode()] for w in words}, []
+    for _ in range(most):
         pairs = Counter()
         for w, s in seqs.items():
             for p in zip(s, s[1:]):
                 pairs[p] += words[w]
+        if not pairs:
+            break
         best = min(pairs, key=lambda p: (-pairs[p], p))
-        want.append(best)
+        merges.append(best)
         for w, s in seqs.items():
-            out = []
-            for x in s:
-                if out and (out[-1], x) == best:
-                    out[-1] += x
-                else:
-                    out.append(x)
+            out, i = [], 0
+            while i < len(s):
+                hit = tuple(s[i : i + 2]) == best
+                out.append(s[i] + s[i + 1] if hit else s[i])
+                i += 1 + hit
             seqs[w] = out
-    merges = M.train_bpe(df, M.FIRST_MERGED + 6)
-    assert merges == want
-    got = {r.word: list(r.ids) for r in M.encode_bpe(df, merges).collect()}
+    return merges, seqs
+
+
+def test_bpe_against_a_plain_one(spark):
+    words = {"low": 5, "lower": 2, "newest": 6, "widest": 3, "é": 4, "aaaaa": 3, "aaaab": 2, "abab": 6, "ababab": 1, "bcbcd": 6, "xyxyxy": 2, "q": 1}
+    df = spark.createDataFrame(list(words.items()), "word string, c long")
+    for n in (6, 30, 500):  # the last one merges all there is
+        want, seqs = plain_bpe(words, n)
+        merges = M.train_bpe(df, M.FIRST_MERGED + n)
+        assert merges == want
     symbols = {a + b: 257 + i for i, (a, b) in enumerate(merges)}
+    got = {r.word: list(r.ids) for r in M.encode_bpe(df, merges).collect()}
     for w in words:
         assert len(got[w]) == len(seqs[w]) and all(symbols.get(s, i) == i for s, i in zip(seqs[w], got[w]))
     assert M.encode_bpe(spark.createDataFrame([("!",)], "word string"), merges).first().ids == [221, 1]
 
 
+def test_rounds_of_many_merges_are_those_of_a_plain_trainer(spark, monkeypatch):
+    rng = random.Random(4)
+    words = Counter("".join(rng.choice(["th", "e", "in", "er", "on", "a", "st", "qu"]) for _ in range(rng.randint(1, 5))) for _ in range(3000))
+    df = spark.createDataFrame(list(words.items()), "word string, c long")
+    want, _ = plain_bpe(words, 120)
+    for known, ahead in ((1000, (12, 200)), (25, (3, 8))):
+        monkeypatch.setattr(M, "KNOWN", known)
+        monkeypatch.setattr(M, "AHEAD", ahead)
+        rounds, plain_round = [], M._round
+        monkeypatch.setattr(M, "_round", lambda *a, f=plain_round, n=rounds: n.append(1) or f(*a))
+        assert M.train_bpe(df, M.FIRST_MERGED + 120) == want
+        monkeypatch.setattr(M, "_round", plain_round)
+        assert len(rounds) <= 40
+
+
+def test_encoded_documents_and_coverage(spark):
+    docs = [(1, "Low lower, lowest! low", "en"), (2, None, "en"), (3, "", "fr"), (4, "newest low x", None), (None, "it's", "fr")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    merges = M.train_bpe(N.word_counts(df), M.FIRST_MERGED + 8)
+    coded = {r.word: list(r.ids) for r in M.encode_bpe(N.word_counts(df), merges).collect()}
+    said = lambda t: re.findall("[a-z']+", (t or "").lower())
+    assert {r.doc_id: (r.n_words, list(r.ids)) for r in M.encode_documents(df, merges).collect()} == {k: (len(said(t)), [i for w in said(t) for i in coded[w]]) for k, t, _ in docs}
+    got = {(r.lang, r.vocabulary): (r.n_words, r.n_chars, r.n_tokens) for r in M.coverage(df, merges, [257, 265], "lang").collect()}
+    en = said(docs[0][1])
+    assert got["en", 257] == (4, sum(map(len, en)) + 4, sum(map(len, en)) + 4) and got["en", 265] == (4, sum(map(len, en)) + 4, sum(len(coded[w]) for w in en))
+
+
 def test_compression_ladder(spark):
     texts = ["a" * 100, "abcd" * 30 + "é"]
     got = N.ladder(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
