@@ -6,6 +6,8 @@ vocabulary, so selections run in windows over one context each.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,29 +111,42 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 7), 16, 10).cast("long") / float(1 << 28)
 
 
-def generate(starts: DataFrame, models: list[DataFrame], length: int, seed: int = 0, glue: str = " ") -> DataFrame:
-    """(name, step, tok): tokens drawn one after another, a join for each step and model.
+#: Tokens that one level of the recursion draws.
+A_LEVEL = 8
+
 
-    ``models`` are distributions (ctx, tok, q) from the longest context to the shortest; the context of the n-th before
+def generate(starts: DataFrame, models: list[DataFrame], length: int, seed: int = 0, glue: str = " ", chars: int | None = None) -> DataFrame:
+    """(name, step, tok): tokens drawn one after another, by one recursive query, A_LEVEL tokens a level.
+
+    ``starts`` has (name, tok). ``models`` are distributions (ctx, tok, q) from the longest context to the shortest; the context of the n-th before
     last rolls over the last so many tokens, joined by ``glue``. The first model that knows the context gives the
-    token; where none does, the text ends.
+    token; where none does, the text ends, as it does after ``length`` tokens or once it has ``chars`` characters. A
+    context is one row of its tokens and their cumulated shares, so a step is a look-up for each text and model. Rows of a
+    result above ``spark.sql.cteRecursionRowLimit`` need that limit raised.
     """
-    tables = [_stored(m.select("ctx", "tok", F.expr("sum(q) over (partition by ctx order by q desc, tok rows unbounded preceding)").alias("cum"))) for m in models]
-    sums = [t.groupBy("ctx").agg(F.max("cum").alias("last")) for t in tables]
-    at = starts.select("name", F.lit(0).alias("step"), "tok", F.array("tok").alias("past"))
-    out = at.select("name", "step", "tok")
-    for i in range(1, length + 1):
-        near = at.select("name", "past", uniform(seed, F.col("name"), F.lit(i)).alias("u"))
-        found = None
-        for k, (table, total) in enumerate(zip(tables, sums, strict=True)):
-            n = len(tables) - k
-            ctx = F.when(F.size("past") >= n, F.array_join(F.slice("past", -n, n), glue))
-            hit = near.withColumn("ctx", ctx).join(total, "ctx").join(table, "ctx").where(F.col("cum") > F.least("u", F.col("last") * (1 - 1e-12)))
-            hit = hit.groupBy("name").agg(F.min(F.struct("cum", "tok"))["tok"].alias("tok"), F.first("past").alias("past"))
-            found = hit if found is None else found.unionByName(hit.join(found.select("name"), "name", "left_anti"))
-        at = _stored(found.select("name", F.lit(i).alias("step"), "tok", F.expr(f"slice(concat(past, array(tok)), greatest(1, size(past) + 2 - {len(models)}), {len(models)})").alias("past")))
-        out = out.unionByName(at.select("name", "step", "tok"))
-    return out
+    spark, names, joins, draws = starts.sparkSession, [], [], []
+    for k, m in enumerate(models):
+        at = m.select("ctx", F.struct((-F.col("q")).alias("o"), "tok", F.expr("sum(q) over (partition by ctx order by q desc, tok rows unbounded preceding)").alias("cum")).alias("x"))
+        row = at.groupBy("ctx").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a context's tokens, which the selection bounds
+        row = _stored(row.select("ctx", F.transform("x", lambda v: v["tok"]).alias("toks"), F.transform("x", lambda v: v["cum"]).alias("cums")))
+        names.append(f"loomline_{uuid.uuid4().hex}")
+        row.createOrReplaceTempView(names[-1])
+        n = len(models) - k
+        joins.append(f"left join {names[-1]} m{k} on m{k}.ctx = if(size(g.past) >= {n}, array_join(slice(g.past, -{n}, {n}), :glue), null)")
+        draws.append(f"get(m{k}.toks, size(filter(m{k}.cums, c -> c <= least(g.u, element_at(m{k}.cums, -1) * (1 - 1e-12D)))))")
+    names.append(f"loomline_{uuid.uuid4().hex}")
+    starts.select("name", "tok").createOrReplaceTempView(names[-1])
+    u = "cast(conv(substring(md5(cast(concat_ws('|', :seed, cast(name as string), cast(step + 1 as string)) as binary)), 1, 7), 16, 10) as bigint) / 268435456D"
+    more = f"step < {length} and n < {chars or 1 << 40}"
+    level = f"select name, step, past, n, cast(array() as array<string>) as said, {more} as alive from g where alive"
+    for _ in range(A_LEVEL):
+        level = f"""select name, step, past, n, said, tok is not null and {more} as alive from (select name, if(tok is null, step, step + 1) as step, if(tok is null, past, slice(concat(past, array(tok)), greatest(1, size(past) + 2 - {len(models)}), {len(models)})) as past,
+  if(tok is null, n, n + length(:glue) + length(tok)) as n, if(tok is null, said, concat(said, array(tok))) as said, tok from (select g.name, g.step, g.past, g.n, g.said, if(g.alive, coalesce({", ".join(draws)}), null) as tok from (select *, {u} as u from ({level})) g {" ".join(joins)}))"""
+    return spark.sql(f"""
+with recursive g max recursion level {length // A_LEVEL + 3} as (
+  select name, 0 as step, array(tok) as past, cast(length(tok) as bigint) as n, array(tok) as said, true as alive from {names[-1]} where tok is not null
+  union all {level})
+select name, step + 1 - size(said) + pos as step, tok from (select name, step, said, posexplode(said) as (pos, tok) from g)""", args={"glue": glue, "seed": str(seed)})
 
 
 class VocabularyMismatch(ValueError):
@@ -151,8 +166,9 @@ def letter_model(docs: DataFrame, alphabet: str, text: str = "text", add: float
     spark = docs.sparkSession
     all_pairs = spark.createDataFrame([(x, y) for x in alphabet for y in alphabet], "ctx string, tok string")
     kept = docs.select(F.regexp_replace(F.lower(text), f"[^{alphabet}]+", "").alias("t")).where("length(t) > 1")
-    pairs = kept.select(F.explode(F.expr("transform(sequence(1, length(t) - 1), i -> substring(t, i, 2))")).alias("p")).groupBy("p").agg(F.count("*").alias("c"))
-    counts = all_pairs.join(pairs.select(F.substring("p", 1, 1).alias("ctx"), F.substring("p", 2, 1).alias("tok"), "c"), ["ctx", "tok"], "left").select("ctx", "tok", F.coalesce("c", F.lit(0)).alias("c"))
+    own = kept.select(F.filter(F.split("t", ""), lambda x: x != "").alias("a"))
+    pairs = own.select(F.explode(_adjacent("a")).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("c"))
+    counts = all_pairs.join(pairs.toDF("ctx", "tok", "c"), ["ctx", "tok"], "left").select("ctx", "tok", F.coalesce("c", F.lit(0)).alias("c"))
     return probabilities(counts, add, len(alphabet))
 
 

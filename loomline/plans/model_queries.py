@@ -168,25 +168,70 @@ def condition_by_axis(spark: SparkSession, d: str) -> DataFrame:
     return _delta(spark, d).groupBy(axis.alias("axis")).agg(F.round(F.avg("signal_all"), 6).alias("mean"), F.count_if(F.col("signal_all") > 0).alias("n_positive"), F.count("signal_all").alias("n"))
 
 
-@query()
+#: Characters of a sample, and how the next word is chosen: temperature, likeliest words, nucleus.
+SAMPLE, HEAT, LIKELIEST, NUCLEUS = 900, 0.85, 40, 0.95
+
+
+def rows_sql(counts: str, heat: float, likeliest: int, top_p: float) -> str:
+    """A context's tokens and their cumulated shares, from counts or weights (ctx, tok, c)."""
+    return f"""(select ctx, list(tok order by q desc, tok) as toks, list(cum order by q desc, tok) as cums from (select ctx, tok, q, sum(q) over (partition by ctx order by q desc, tok rows unbounded preceding) as cum from (select ctx, tok, p / sum(p) over (partition by ctx) as q from
+ (select *, coalesce(sum(p) over (partition by ctx order by p desc, tok rows between unbounded preceding and 1 preceding), 0) as before from (select * from (select ctx, tok, e / sum(e) over (partition by ctx) as p from (select ctx, tok, exp((ln(p) - ln(max(p) over (partition by ctx))) / {heat}) as e from
+ (select ctx, tok, c::double / sum(c) over (partition by ctx) as p from ({counts})))) qualify row_number() over (partition by ctx order by p desc, tok) <= {likeliest})) where before < {top_p} - 1e-9)) group by ctx)"""
+
+
+def generate_sql(models: list[str], start: str, seed: int, glue: str, length: int, chars: int) -> str:
+    """CTEs that end in g (name, step, tok)."""
+    n = len(models)
+    draw = lambda k: f"m{k}.toks[len(list_filter(m{k}.cums, lambda c: c <= least(x.u, m{k}.cums[-1] * (1 - 1e-12)))) + 1]"
+    joins = " ".join(f"left join m{k} on m{k}.ctx = case when len(x.past) >= {n - k} then array_to_string(x.past[-{n - k}:], '{glue}') end" for k in range(n))
+    tables = ", ".join(f"m{k} as materialized (select * from {m})" for k, m in enumerate(models))
+    u = f"('0x' || substr(md5('{seed}|' || name || '|' || (step + 1)), 1, 7))::bigint / 268435456.0::double as u"
+    return f"""recursive {tables}, g as (select name, 0 as step, tok, [tok] as past, length(tok) as n from ({start}) union all
+ select name, step + 1, tok, list_append(past, tok)[-{n}:], n + {len(glue)} + length(tok) from (select x.name, x.step, x.past, x.n, coalesce({", ".join(draw(k) for k in range(n))}) as tok from (select *, {u} from g where step < {length} and n < {chars}) x {joins}) where tok is not null)"""
+
+
+_tri = f"select w[i] || ' ' || w[i + 1] as ctx, w[i + 2] as tok, count(*) as c from (select w, unnest(range(1, len(w) - 1)) as i from (select {WORDS.format('text')} as w from benchmark)) group by 1, 2"
+FIRST_WORD = "select item_id as name, regexp_extract(lower(text), '[a-z'']+') as tok from benchmark"
+_said = "select name, count(*)::bigint as n_tokens, string_agg(tok, '{0}' order by step) as text from g group by name"
+
+
+def _texts(rows: DataFrame, glue: str) -> DataFrame:
+    at = F.array_sort(F.collect_list(F.struct("step", "tok")))  # as many as the length of a sample allows
+    return rows.groupBy("name").agg(F.count("*").alias("n_tokens"), F.array_join(F.transform(at, lambda x: x["tok"]), glue).alias("text"))
+
+
+@query(f"with {generate_sql([rows_sql(m, HEAT, LIKELIEST, NUCLEUS) for m in (_tri, counts_sql('benchmark'))], FIRST_WORD, 0, ' ', SAMPLE, SAMPLE)} {_said.format(' ')}")
 def generate_words(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item goes on from its first word for five words, two words of context rolling along."""
+    """A sample of 900 characters for each benchmark item, from its first word, two words of context rolling along."""
     items = table(spark, d, "benchmark")
     starts = items.select(F.col("item_id").alias("name"), F.regexp_extract(F.lower("text"), "[a-z']+", 0).alias("tok"))
-    draw = lambda counts: M.selection(M.probabilities(counts), 0.85, 40, 0.95)
-    return M.generate(starts, [draw(M.trigram_counts(items)), draw(M.bigram_counts(items))], 5)
+    draw = lambda counts: M.selection(M.probabilities(counts), HEAT, LIKELIEST, NUCLEUS)
+    return _texts(M.generate(starts, [draw(M.trigram_counts(items)), draw(M.bigram_counts(items))], SAMPLE, 0, " ", SAMPLE), " ")
 
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz "
+#: Letters of a sample of the product of two experts.
+LETTERS = 120
 
 
-@query()
+def letters_sql(t: str) -> str:
+    """Smoothed shares of pairs of neighbouring letters."""
+    return f"""(select ctx, tok, (c + 0.1) / (sum(c) over (partition by ctx) + 0.1 * {len(ALPHABET)}) as p from (select x.l as ctx, y.l as tok, coalesce(c, 0) as c from a x cross join a y
+ left join (select t[i] as ctx, t[i + 1] as tok, count(*) as c from (select t, unnest(range(1, len(t))) as i from (select string_split(regexp_replace(lower(text), '[^{ALPHABET}]+', '', 'g'), '') as t from {t})) group by 1, 2) z on z.ctx = x.l and z.tok = y.l))"""
+
+
+_product = f"""select ctx, tok, exp(z - max(z) over (partition by ctx)) as c from (select ctx, tok, (0.5 * ln(a.p) + 0.5 * ln(b.p)) / 0.85 as z from pa a join pb b using (ctx, tok))"""
+_experts = f"recursive a as (select unnest(string_split('{ALPHABET}', '')) as l), pa as materialized {letters_sql('documents')}, pb as materialized {letters_sql('conversations')},"
+_letters = generate_sql([rows_sql(_product, 1.0, 99, NUCLEUS)], "select item_id as name, regexp_extract(lower(text), '[a-z]') as tok from benchmark", 1, "", LETTERS, 1 << 40)
+
+
+@query(f"with {_letters.replace('recursive', _experts, 1)} {_said.format('')}")
 def product_generate(spark: SparkSession, d: str) -> DataFrame:
     """Letters drawn from the product of two experts, fitted on documents and on conversations, that must know the same letters."""
     a, b = (M.letter_model(table(spark, d, t), ALPHABET) for t in ("documents", "conversations"))
     M.same_vocabulary(a, b)
     starts = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.regexp_extract(F.lower("text"), "[a-z]", 0).alias("tok"))
-    return M.generate(starts, [M.selection(M.product(a, b, 0.5, 0.85), 1.0, None, 0.95)], 4, 1, "")
+    return _texts(M.generate(starts, [M.selection(M.product(a, b, 0.5, HEAT), 1.0, None, NUCLEUS)], LETTERS, 1, ""), "")
 
 
 #: A vocabulary of the special token, 256 bytes and 255 merged symbols.
