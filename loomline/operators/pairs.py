@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import bounded
+from .windows import numbered, stored
+
 
 def default_budget(pairs: DataFrame, summary: Column) -> DataFrame:
     """One row (budget): the size in words of the shortest summary that is not empty."""
@@ -20,22 +23,23 @@ def judge(pairs: DataFrame, source: Column, summary: Column, least_source: int,
     return own.withColumn("reason", reason).drop("__budget")
 
 
-def donors(pairs: DataFrame, name: str, group: str, k: int, seed: int, block_rows: int = 1000) -> DataFrame:
-    """(name, donor, nth): k other pairs of other groups for each pair, drawn by hash; all there are in its block, if fewer.
+def donors(pairs: DataFrame, name: str, group: str, k: int, seed: int) -> DataFrame:
+    """(name, donor, nth): k other pairs of other groups for each pair, drawn by hash from all of them; all there are, if fewer.
 
-    Pairs are dealt to blocks of about ``block_rows`` by hash and stand in a ring there, group by group. The donors of
-    a pair are the next k from a drawn place among those beyond its own group, so each is found by its place in
-    an equi-join: nothing is crossed, and a large group neither runs out of donors nor is read through. Pairs
-    under the budget must have been left out before, as donors must not be shorter.
+    All pairs stand in one ring, group by group and by hash within a group. The m places beyond a pair's own group are one stretch
+    of it; its donors are spread evenly over that stretch from a drawn place on, so each is found by its place in an equi-join:
+    nothing is crossed, no group runs out of donors and none is read through. Places are numbered by ranges, so the ring is
+    never in one task; of groups only their sizes are joined. Pairs under the budget must have been left out before, as donors must not be shorter.
     """
-    blocks = -(-pairs.count() // block_rows) or 1
-    drawn = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), F.col(name).cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
-    own = pairs.select(F.col(name).alias("name"), F.col(group).alias("g"), drawn("").alias("h"), drawn("p").alias("p")).withColumn("block", F.pmod("h", F.lit(blocks)))
-    own = own.selectExpr("*", "row_number() over (partition by block order by g, h, name) - 1 as i", "count(*) over (partition by block) as n", "count(*) over (partition by block, g) as s")
-    own = own.withColumn("first", F.expr("min(i) over (partition by block, g)")).withColumn("m", F.col("n") - F.col("s"))
-    wanted = own.where("m > 0").withColumn("nth", F.explode(F.expr(f"sequence(0, cast(least({k}, m) as int) - 1)")))
-    wanted = wanted.select("name", "nth", "block", F.expr("(first + s + (p + nth) % m) % n").alias("i"))
-    return wanted.join(own.select("block", "i", F.col("name").alias("donor")), ["block", "i"]).select("name", "donor", "nth")
+    drawn = lambda salt, n: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), F.col(name).cast("string")).cast("binary")), 1, n), 16, 10).cast("long")
+    own = pairs.select(F.lit(0).alias("ring"), F.struct(F.col(group).alias("g"), drawn("", 7).alias("h"), F.col(name).alias("name")).alias("o"), drawn("p", 15).alias("p"))
+    own = stored(numbered(own, "ring", "o").select("o.g", "o.name", "p", "i"))
+    groups = own.groupBy(F.col("g").alias("__g")).agg(F.count("*").alias("s"), F.min("i").alias("first"))
+    n = own.count()
+    wanted = own.join(bounded(stored(groups)), F.col("g").eqNullSafe(F.col("__g"))).withColumn("m", n - F.col("s")).where("m > 0")
+    wanted = wanted.withColumn("nth", F.explode(F.expr(f"sequence(0, cast(least({k}, m) as int) - 1)")))
+    wanted = wanted.select("name", "nth", F.expr(f"(first + s + (p + nth * (m div least({k}, m))) % m) % {n}").alias("i"))
+    return wanted.join(own.select("i", F.col("name").alias("donor")), "i").select("name", "donor", "nth")
 
 
 def shuffled(words: Column, *seeds: Column) -> Column:

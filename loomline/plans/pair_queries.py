@@ -104,10 +104,10 @@ def handoff_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def donor_sql(src: str, name: str, group: str, seed: int, k: int) -> str:
     """CTEs that end in dn (name, donor, nth)."""
-    h = lambda salt: f"('0x' || substr(md5('{seed}{salt}|' || {name}), 1, 7))::bigint"
-    return f"""nb as (select greatest(ceil(count(*) / 1000.0), 1)::bigint as blocks from {src}), ow as (select {name} as name, {group} as g, {h('')} as h, {h('p')} as p from {src}), bl as (select *, h % blocks as block from ow, nb),
-rg as (select *, row_number() over (partition by block order by g, h, name) - 1 as i, count(*) over (partition by block) as n, count(*) over (partition by block, g) as s from bl), fr as (select *, min(i) over (partition by block, g) as first, n - s as m from rg),
-dn as (select a.name, c.name as donor, nth::int as nth from fr a, range({k}) r(nth), fr c where nth < a.m and c.block = a.block and c.i = (a.first + a.s + (a.p + nth) % a.m) % a.n)"""
+    h = lambda salt, n: f"('0x' || substr(md5('{seed}{salt}|' || {name}), 1, {n}))::bigint"
+    return f"""rg as (select name, g, p, row_number() over (order by g, h, name) - 1 as i, count(*) over () as n, count(*) over (partition by g) as s from (select {name} as name, {group} as g, {h('', 7)} as h, {h('p', 15)} as p from {src})),
+fr as (select *, min(i) over (partition by g) as first, n - s as m from rg),
+dn as (select a.name, c.name as donor, nth::int as nth from fr a, range({k}) r(nth), fr c where nth < a.m and c.i = (a.first + a.s + (a.p + nth * (a.m // least({k}, a.m))) % a.m) % a.n)"""
 
 
 @query(f"with {donor_sql('supplier', 's_suppkey', 's_nationkey', 7, 3)} select name, donor, nth from dn")
@@ -115,11 +115,12 @@ def foreign_donors(spark: SparkSession, d: str) -> DataFrame:
     return P.donors(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", 3, 7)
 
 
-@query("select p_partkey, case when l.n is null then 'missing' else 'covered' end as state, coalesce(l.n, 0)::bigint as n from part left join (select l_partkey, count(*) as n from lineitem where l_discount > 0.09 group by 1) l on l_partkey = p_partkey")
+@query("select c_custkey, case when o.n is null then 'missing' else 'covered' end as state, coalesce(o.n, 0)::bigint as n from customer left join (select o_custkey, count(*) as n from orders group by 1) o on o_custkey = c_custkey")
 def fold_coverage(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "lineitem").where("l_discount > 0.09").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return table(spark, d, "part").select("p_partkey").join(n, F.col("p_partkey") == F.col("l_partkey"), "left").select(
-        "p_partkey", F.when(F.col("n").isNull(), "missing").otherwise("covered").alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Customers and their orders; some have none."""
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return table(spark, d, "customer").select("c_custkey").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        "c_custkey", F.when(F.col("n").isNull(), "missing").otherwise("covered").alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("select o_orderkey as k, v as variant, case when v = 'b' and o_orderstatus = 'F' then 'new' when v = 'a' or o_orderstatus = 'O' then o_orderstatus end as text from orders, (values ('a'), ('b')) t(v) where v = 'a' or o_orderstatus in ('F', 'O')")

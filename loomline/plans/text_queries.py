@@ -170,14 +170,15 @@ def novel_words_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return N.novel_leave_one_out(docs(spark, d))
 
 
-_coin = f"""with t as (select distinct source as cfg, unnest({WORDS.format('text')}) as w from documents where lang <> 'en'),
+_coin = f"""with t as (select distinct source as cfg, unnest({WORDS.format('text')}) as w from documents where lang is distinct from 'en'),
 v as ({_vocab} union select distinct unnest({WORDS.format('text')}) as w from documents where lang = 'en'),
 c as (select cfg, t.w, v.w is null as coined from t left join v on t.w = v.w where length(t.w) > 3)"""
 
 
 def _coined(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Texts not in English, those without a language among them, and the words of English ones and of the benchmark."""
     own = docs(spark, d)
-    return own.where("lang <> 'en'"), [N.vocabulary(bench(spark, d)), N.vocabulary(own.where("lang = 'en'"))]
+    return own.where("not lang <=> 'en'"), [N.vocabulary(bench(spark, d)), N.vocabulary(own.where("lang = 'en'"))]
 
 
 @query(f"{_coin} select cfg, count(*)::bigint as n_types, count_if(coined)::bigint as n_novel, round(count_if(coined)::double / count(*), 9) as rate from c group by 1")

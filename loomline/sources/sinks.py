@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import RULE
@@ -23,6 +23,24 @@ def write_samples(df: DataFrame, path: str, keys: list[str], header: str, body:
     made.write.mode("overwrite").partitionBy(*keys).text(path)
 
 
+def upsert_variants(rows: DataFrame, path: str, training: str, written: str) -> None:
+    """Write (variant, ...) rows under ``path``/rows: a variant's folder is replaced by its new rows, others stay as they are.
+
+    A line of provenance for each variant is put under ``path``/provenance in the folder of its run, so a rerun of the same
+    (training, written) replaces its own lines and a writer that failed half-way can simply be run again.
+    """
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    rows.write.mode("overwrite").options(**dynamic).partitionBy("variant").parquet(f"{path}/rows")
+    made = rows.select("variant").distinct().select("variant", F.lit(training).alias("training"), F.lit(written).alias("written"), F.concat_ws("_", F.lit(written), F.lit(training)).alias("run"))
+    made.write.mode("overwrite").options(**dynamic).partitionBy("run").parquet(f"{path}/provenance")
+
+
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all variants with the training and time of the latest run that wrote each."""
+    prov = spark.read.parquet(f"{path}/provenance").select("variant", "training", "written")
+    return spark.read.parquet(f"{path}/rows").join(F.broadcast(record_provenance(prov.limit(0), prov)), "variant", "left")  # a row for each variant folder
+
+
 def record_provenance(old: DataFrame, new: DataFrame) -> DataFrame:
     """Provenance (variant, training, written): of each variant the latest entry."""
     return old.unionByName(new).groupBy("variant").agg(F.max_by("training", "written").alias("training"), F.max("written").alias("written"))

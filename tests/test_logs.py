@@ -1,6 +1,7 @@
 """Windows, gates and streams on hand-made rows."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +194,17 @@ def test_sinks_write_what_is_read_back(spark, tmp_path):
     assert {r.note: r.n for r in sinks.quality_notes(df, {"short": "length(value) < 4", "none": "k = 'z'"}).collect()} == {"short": 2, "none": 0}
 
 
+def test_upsert_replaces_one_variant_and_reruns(spark, tmp_path):
+    rows = lambda v, n: spark.createDataFrame([(v, i, f"{v}{i}") for i in range(n)], "variant string, k long, text string")
+    path = str(tmp_path / "folds")
+    sinks.upsert_variants(rows("a", 3).unionByName(rows("b", 2)), path, "t1", "2026-01-01")
+    for _ in range(2):  # the second run changes nothing
+        sinks.upsert_variants(rows("b", 5), path, "t2", "2026-01-02")
+    got = sinks.read_variants(spark, path).collect()
+    assert Counter((r.variant, r.training, r.written) for r in got) == {("a", "t1", "2026-01-01"): 3, ("b", "t2", "2026-01-02"): 5}
+    assert spark.read.parquet(path + "/provenance").count() == 3
+
+
 def test_stream_of_lines_and_counts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("2026-01-01T00:10:00Z  w1@h  ::  [go] one\nno header\n2026-01-01T00:20:00Z  w1@h  ::  [go] two\n2026-01-01T05:00:00Z  w2@h  ::  [stop] three\n")

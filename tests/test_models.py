@@ -17,13 +17,16 @@ from loomline.operators import pairs as P
 
 def test_donors_are_of_other_groups_and_enough(spark):
     rows = [(i, "big" if i < 60 else f"g{i % 7}") for i in range(100)]
-    got = P.donors(spark.createDataFrame(rows, "name long, g string"), "name", "g", 3, 1, 30).collect()
+    got = P.donors(spark.createDataFrame(rows, "name long, g string"), "name", "g", 3, 1).collect()
     of = dict(rows)
     by = {}
     for r in got:
         by.setdefault(r.name, []).append(r.donor)
         assert of[r.name] != of[r.donor]
     assert set(by) == set(of) and all(len(set(x)) == len(x) == 3 for x in by.values())
+    most = [(i, "big" if i < 990 else "rest") for i in range(1000)] + [(2000, None)]
+    got = Counter(r.name for r in P.donors(spark.createDataFrame(most, "name long, g string").repartition(5), "name", "g", 4, 1).collect())
+    assert got == dict.fromkeys([i for i, _ in most], 4)  # eleven pairs of other groups are enough for a group of 990
     few = P.donors(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "name long, g string"), "name", "g", 3, 1).collect()
     assert sorted((r.name, r.donor) for r in few if r.name < 3) == [(1, 3), (2, 3)] and {r.donor for r in few if r.name == 3} == {1, 2}
 
