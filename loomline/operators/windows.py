@@ -258,23 +258,28 @@ def line_runs(texts: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     return texts.select(F.col(key), F.split(text, "\n").alias("__l")).select(key, F.explode(F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(lines, i, n), "\n")))).alias("run"))
 
 
+#: Lengths of the stretches that lines are looked up by: the longest that a line has.
+STRETCHES = (8, 4, 2, 1)
+
+
 def recurring(lines: DataFrame, texts: DataFrame, line: str, key: str, text: str) -> DataFrame:
-    """(line, key): lines that are substrings of texts.
+    """(line, key): lines that are substrings of texts, whose keys are distinct.
 
-    The second blank-separated token of a line of three or more stands whole in any text that holds the
-    line, so those join on it. Shorter lines join on their first 8, 4, 2 or 1 characters, as many as they have, with
-    the distinct stretches of so many characters of the texts.
+    A line is looked up by one stretch of 8 characters, or 4, 2 or 1 where it is shorter: of all its stretches the one that
+    stands in the fewest texts, and not at all if one of them stands in none. So common stretches are met only by lines that
+    have no rarer one. Stretches travel as hashes, without the texts; what a line meets is compared in full at the end.
     """
-    own = lines.select(F.col(line).alias("l")).where("l <> ''").distinct()
-    t = texts.select(F.col(key), F.col(text).alias("t"))
-    n = F.size(F.split("l", " "))
-    long = own.where(n >= 3).withColumn("token", F.element_at(F.split("l", " "), 2))
-    tokens = t.withColumn("token", F.explode(F.array_distinct(F.split("t", " "))))
-    short = own.where(n < 3).withColumn("size", F.expr("case when length(l) >= 8 then 8 when length(l) >= 4 then 4 when length(l) >= 2 then 2 else 1 end")).withColumn("token", F.expr("substring(l, 1, size)"))
-    cut = t.withColumn("size", F.explode(F.array(*map(F.lit, (8, 4, 2, 1))))).where("length(t) >= size")
-    cut = cut.withColumn("token", F.explode(F.expr("array_distinct(transform(sequence(1, length(t) - size + 1), i -> substring(t, i, size)))")))
-    found = long.join(tokens, "token").where(F.contains("t", F.col("l"))).select("l", key)
-    return found.union(short.join(cut, ["size", "token"]).where(F.contains("t", F.col("l"))).select("l", key)).withColumnRenamed("l", line)
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    stretches = F.explode(F.expr("array_distinct(transform(sequence(0, size(a) - n), i -> xxhash64(slice(a, i + 1, n))))")).alias("g")
+    longest = F.expr("case " + " ".join(f"when size(a) >= {n} then {n}" for n in STRETCHES) + " end")
+    own = lines.select(F.col(line).alias("l")).where("l <> ''").distinct().select("l", letters("l").alias("a")).withColumn("n", longest)
+    own = own.select("l", "n", stretches)
+    t = texts.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    cut = t.select("k", letters("t").alias("a"), F.explode(F.array(*map(F.lit, STRETCHES))).alias("n")).where("size(a) >= n").select("k", "n", stretches)
+    often = bounded(stored(cut.groupBy("n", "g").agg(F.count("*").alias("c"))))
+    rare = own.join(often, ["n", "g"], "left").groupBy("l", "n").agg(F.min(F.struct("c", "g")).alias("best"), F.count("c").alias("found"), F.count("*").alias("all"))
+    met = rare.where("found = all").select("l", "n", F.col("best.g").alias("g")).join(cut, ["n", "g"]).select("l", "k")
+    return met.join(t, "k").where(F.contains("t", F.col("l"))).select(F.col("l").alias(line), F.col("k").alias(key))
 
 
 def voices(text: Column) -> Column:

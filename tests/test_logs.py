@@ -116,6 +116,14 @@ def test_locate_and_recurring(spark):
     assert {(r.l, r.k) for r in got.collect()} == {(x, k) for x in own for k, t in texts.items() if x and x in t}
 
 
+def test_lines_meet_texts_by_their_rarest_stretch(spark):
+    texts = [(i, f"the same beginning of the text, then word{i} and the same end of the text") for i in range(300)]
+    lines = ["the text, then word7 and", "then word299 and the same", "the text, then nothing", "word1", "d11 ", "the same beginning", "é", "x"]
+    tdf, ldf = spark.createDataFrame(texts, "k long, t string"), spark.createDataFrame([(x,) for x in lines], "l string")
+    got = W.recurring(ldf, tdf, "l", "k", "t")
+    assert {(r.l, r.k) for r in got.collect()} == {(x, k) for x in lines for k, t in texts if x in t}
+
+
 def test_medians_and_first_rows(spark):
     for n in range(1, 23):
         v = [(i * 7) % 11 for i in range(n)]
