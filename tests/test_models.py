@@ -121,15 +121,15 @@ def test_rounds_of_many_merges_are_those_of_a_plain_trainer(spark, monkeypatch):
     rng = random.Random(4)
     words = Counter("".join(rng.choice(["th", "e", "in", "er", "on", "a", "st", "qu"]) for _ in range(rng.randint(1, 5))) for _ in range(3000))
     df = spark.createDataFrame(list(words.items()), "word string, c long")
-    want, _ = plain_bpe(words, 120)
+    want, _ = plain_bpe(words, 60)
     for known, ahead in ((1000, (12, 200)), (25, (3, 8))):
         monkeypatch.setattr(M, "KNOWN", known)
         monkeypatch.setattr(M, "AHEAD", ahead)
         rounds, plain_round = [], M._round
         monkeypatch.setattr(M, "_round", lambda *a, f=plain_round, n=rounds: n.append(1) or f(*a))
-        assert M.train_bpe(df, M.FIRST_MERGED + 120) == want
+        assert M.train_bpe(df, M.FIRST_MERGED + 60) == want
         monkeypatch.setattr(M, "_round", plain_round)
-        assert len(rounds) <= 40
+        assert len(rounds) <= 25
 
 
 def test_encoded_documents_and_coverage(spark):
