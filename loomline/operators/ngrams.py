@@ -115,6 +115,31 @@ def describe(docs: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str
         share(3).alias("verb3"), share(5).alias("verb5"), F.when(ok, (F.col("t") - F.col("k1")) / F.col("t")).alias("novel_words"), F.when(ok, F.col("t") / F.col("n")).alias("ttr"))
 
 
+def against_rest(slices: DataFrame, keys: list[str], text: str, start: str, chars: int) -> DataFrame:
+    """(keys, words, self_repeat, verb3, verb5, novel_words, ttr) of slices of a text, measured against the rest of that text.
+
+    ``slices`` holds a row for each slice: its whole text and the place, from 1, of the first of its ``chars`` characters. The rest is
+    what stands before and behind, joined; its words and n-grams may cross the seam. A slice and its rest are both at hand, so
+    nothing is exploded, joined or shuffled: the slice's n-grams meet the rest's in a hash set within the row. Measures are NULL
+    under LEAST_WORDS words, and of a null text.
+    """
+    rest = F.concat(F.expr(f"substring(`{text}`, 1, `{start}` - 1)"), F.expr(f"substring(`{text}`, `{start}` + {chars}, length(`{text}`))"))
+    cut = slices.select(*keys, X.words(F.expr(f"substring(`{text}`, `{start}`, {chars})")).alias("w"), X.words(rest).alias("r"))
+    cut = cut.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("w"), F.transform("r", lambda x: F.xxhash64(x)).alias("r"))
+    grams = [F.expr(hashed(c, n)).alias(f"{c}{n}") for n in (3, 5) for c in ("w", "r")]
+    cut = cut.select(*keys, "w", F.array_distinct("w").alias("types"), "r", F.expr(hashed("w", 4)).alias("w4"), *grams)
+    met = [F.array_intersect(f"w{n}", f"r{n}").alias(f"m{n}") for n in (3, 5)]
+    cut = cut.select(*keys, "w", "types", "w4", "w3", "w5", *met, F.size(F.array_intersect("types", "r")).alias("known"))
+    ok, n = F.size("w") >= LEAST_WORDS, F.size("w")
+    # bound by a lambda of its own, or the intersection would be made anew for every n-gram
+    found = lambda k: F.transform(F.array(F.struct(F.col(f"w{k}").alias("w"), F.col(f"m{k}").alias("m"))), lambda p: F.size(F.filter(p["w"], lambda x: F.array_contains(p["m"], x))))[0]
+    bag = lambda k: F.when(F.size(f"m{k}") == 0, 0).when(F.size(F.array_distinct(f"w{k}")) == F.size(f"w{k}"), F.size(f"m{k}")).otherwise(found(k))
+    share = lambda k: F.when(ok, bag(k) / F.greatest(F.size(f"w{k}"), F.lit(1)))
+    return cut.select(
+        *keys, F.when(ok, n).alias("words"), F.when(ok, 1 - F.size(F.array_distinct("w4")) / F.greatest(F.size("w4"), F.lit(1))).alias("self_repeat"),
+        share(3).alias("verb3"), share(5).alias("verb5"), F.when(ok, 1 - F.col("known") / F.size("types")).alias("novel_words"), F.when(ok, F.size("types") / n).alias("ttr"))
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(X.words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 

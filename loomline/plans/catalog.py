@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the words of a text.
+WORDS = "regexp_extract_all(lower({0}), '[a-z'']+')"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

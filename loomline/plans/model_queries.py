@@ -11,9 +11,8 @@ from ..operators import ngrams as N
 from ..operators import pairs as P
 from ..operators import stats as S
 from .pair_queries import CONV, conversations, donor_sql, shuffle_sql
-from .catalog import query, table
+from .catalog import WORDS, query, table
 
-WORDS = "regexp_extract_all(lower({0}), '[a-z'']+')"
 
 
 def counts_sql(t: str) -> str:

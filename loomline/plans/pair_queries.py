@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ngrams as N
 from ..operators import pairs as P
 from .log_queries import LOG, log
-from .catalog import query, table
+from .catalog import WORDS, query, table
 
 CONV = "(select conv_id, string_agg(text, ' ' order by turn) filter (role = 'assistant') as source, arg_min(text, turn) filter (role = 'user') as summary, count(*)::bigint as n from conversations group by 1)"
 
@@ -193,9 +194,35 @@ def pick_not_last(spark: SparkSession, d: str) -> DataFrame:
     return rest.groupBy("source").agg(F.min_by("doc_id", F.md5(F.concat(F.lit("5|"), F.col("doc_id").cast("string")).cast("binary"))).alias("pick"))
 
 
-@query("select doc_id, k::int as k, substr(text, (1 + ('0x' || substr(md5('9|' || doc_id || '|' || k), 1, 7))::bigint % greatest(1, length(text) - 900))::int, 900) as slice from documents, range(8) r(k)")
-def book_slices(spark: SparkSession, d: str) -> DataFrame:
-    """Eight slices, the least number of samples, of 900 characters of each text, at drawn places."""
+_start = "(1 + ('0x' || substr(md5('9|' || doc_id || '|' || k), 1, 7))::bigint % greatest(1, length(text) - 900))::int"
+
+
+def _slices(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, k, text, start): eight slices, the least number of samples, of 900 characters of each text, at drawn places."""
     k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("9"), F.col("doc_id").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
-    return table(spark, d, "documents").select("doc_id", "text", k).withColumn("u", u).select("doc_id", "k", F.expr("substring(text, cast(1 + u % greatest(1, length(text) - 900) as int), 900)").alias("slice"))
+    return table(spark, d, "documents").select("doc_id", "text", k).withColumn("u", u).withColumn("start", F.expr("cast(1 + u % greatest(1, length(text) - 900) as int)")).drop("u")
+
+
+@query(f"select doc_id, k::int as k, substr(text, {_start}, 900) as slice from documents, range(8) r(k)")
+def book_slices(spark: SparkSession, d: str) -> DataFrame:
+    return _slices(spark, d).select("doc_id", "k", F.expr("substring(text, start, 900)").alias("slice"))
+
+
+_lead = "lead(x, {0}) over o"
+_met = "(select doc_id, k, count({1}{0}) as f from y semi join (select doc_id, k, {0} from y where side = 'r') using (doc_id, k, {0}) where side = 'w' group by 1, 2)"
+_from_12 = "case when n >= 12 then round({0}, 9) end as {1}"
+
+
+@query(f"""with s as (select doc_id, k::int as k, text, {_start} as i from documents, range(8) r(k)),
+c as (select doc_id, k, {WORDS.format('substr(text, i, 900)')} as w, {WORDS.format('substr(text, 1, i - 1) || substr(text, i + 900)')} as r from s),
+x as (select doc_id, k, 'w' as side, unnest(w) as x, unnest(range(len(w))) as p from c union all select doc_id, k, 'r', unnest(r), unnest(range(len(r))) from c),
+y as (select doc_id, k, side, x, x || ' ' || {_lead.format(1)} || ' ' || {_lead.format(2)} as g3, g3 || ' ' || {_lead.format(3)} as g4, g4 || ' ' || {_lead.format(4)} as g5 from x window o as (partition by doc_id, k, side order by p)),
+a as (select doc_id, k, count(*) as n, count(distinct x) as t, count(g3) as n3, count(g4) as n4, count(g5) as n5, count(distinct g4) as u4 from y where side = 'w' group by 1, 2)
+select c.doc_id, c.k, case when n >= 12 then n::int end as words, {_from_12.format('1 - u4::double / greatest(n4, 1)', 'self_repeat')}, {_from_12.format('coalesce(m3.f, 0)::double / greatest(n3, 1)', 'verb3')},
+ {_from_12.format('coalesce(m5.f, 0)::double / greatest(n5, 1)', 'verb5')}, {_from_12.format('1 - coalesce(m1.f, 0)::double / t', 'novel_words')}, {_from_12.format('t::double / n', 'ttr')}
+from c left join a using (doc_id, k) left join {_met.format('g3', '')} m3 using (doc_id, k) left join {_met.format('g5', '')} m5 using (doc_id, k) left join {_met.format('x', 'distinct ')} m1 using (doc_id, k)""")
+def slices_against_rest(spark: SparkSession, d: str) -> DataFrame:
+    """Eight slices of each text, each measured against what is left of its text."""
+    m = N.against_rest(_slices(spark, d), ["doc_id", "k"], "text", "start", 900)
+    return m.select("doc_id", "k", "words", *[F.round(c, 9).alias(c) for c in ("self_repeat", "verb3", "verb5", "novel_words", "ttr")])

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ngrams as N
-from .catalog import query, table
+from .catalog import WORDS, query, table
 
 SP = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SL = SP.replace(r"\x{09}-", r"\x{09}\x{0B}-")
-WORDS = "regexp_extract_all(lower({0}), '[a-z'']+')"
 
 
 def gram_sql(w: str, n: int) -> str:

@@ -150,3 +150,22 @@ def test_compression_ladder(spark):
     assert got[0].order0 == 0 and abs(got[1].order0 - sum(c / 121 * math.log(121 / c) for c in Counter(texts[1]).values())) < 1e-12
     assert [r.gzip for r in got] == [8 * len(gzip.compress(t.encode(), 9)) * math.log(2) / len(t) for t in texts]
     assert all(0 < r.xz < 8 for r in got)
+
+
+def test_slices_against_the_rest_of_their_text(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "sea", "is", "cold", "Salt's", "wide", "grey"]) for _ in range(90)) for _ in range(4)] + ["a b c", "", "x " * 60 + "the end", None]
+    rows = [(i, k, t, 1 + 37 * k % max(1, len(t or "") - 80)) for i, t in enumerate(texts) for k in range(4)]
+    got = {(r.i, r.k): r for r in N.against_rest(spark.createDataFrame(rows, "i int, k int, text string, start int"), ["i", "k"], "text", "start", 80).collect()}
+    assert len(got) == len(rows)
+    cut = lambda t: re.findall("[a-z']+", t.lower())
+    bag = lambda w, n: list(zip(*(w[j:] for j in range(n)), strict=False))
+    for i, k, t, start in rows:
+        r, w = got[i, k], cut((t or "")[start - 1 : start + 79])
+        if len(w) < 12:
+            assert (r.words, r.self_repeat, r.verb3, r.verb5, r.novel_words, r.ttr) == (None,) * 6
+            continue
+        rest = cut(t[: start - 1] + t[start + 79 :])
+        met = [sum(g in set(bag(rest, n)) for g in bag(w, n)) / max(1, len(w) - n + 1) for n in (3, 5)]
+        want = (len(w), 1 - len(set(bag(w, 4))) / (len(w) - 3), *met, len(set(w) - set(rest)) / len(set(w)), len(set(w)) / len(w))
+        assert all(abs(a - b) < 1e-12 for a, b in zip((r.words, r.self_repeat, r.verb3, r.verb5, r.novel_words, r.ttr), want, strict=True))
