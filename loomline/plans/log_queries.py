@@ -59,12 +59,12 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     return log(spark, d).groupBy("win").agg(F.max("seq").alias("seq"), F.max_by("body", "seq").alias("body"), F.max_by("tag", "seq").alias("tag"))
 
 
-_sessions = f"""h as (select *, coalesce(lag(ts) over (partition by win order by ts, seq), ts - interval 48 hours) as lo from {LOG} where tag = 'error'),
+SESSIONS = f"""h as (select *, coalesce(lag(ts) over (partition by win order by ts, seq), ts - interval 48 hours) as lo from {LOG} where tag = 'error'),
 p as (select h.win, h.seq, h.ts, h.body as summary, t.ts as tt, t.seq as tseq, t.body from h join {LOG} t on t.win = h.win and t.tag <> 'error' and t.ts > lo and (t.ts < h.ts or (t.ts = h.ts and t.seq < h.seq))),
 s as (select win, seq, ts, summary, count(*)::bigint as n_src_lines, string_agg(body, chr(10) order by tt, tseq) as source from p group by 1, 2, 3, 4 having count(*) >= 3)"""
 
 
-@query(f"with {_sessions} select win, seq, ts, summary, n_src_lines, source from s")
+@query(f"with {SESSIONS} select win, seq, ts, summary, n_src_lines, source from s")
 def session_pairs(spark: SparkSession, d: str) -> DataFrame:
     return W.sessions(log(spark, d), "error")
 

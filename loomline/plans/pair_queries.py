@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ngrams as N
+from ..operators import pair_sets as PS
 from ..operators import pairs as P
-from .log_queries import LOG, log
+from .log_queries import LOG, SESSIONS, log, session_pairs
 from .catalog import WORDS, query, table
 
 CONV = "(select conv_id, string_agg(text, ' ' order by turn) filter (role = 'assistant') as source, arg_min(text, turn) filter (role = 'user') as summary, count(*)::bigint as n from conversations group by 1)"
@@ -103,6 +104,21 @@ def handoff_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return files.join(latest, "win", "left_anti").select("win")
 
 
+@query(f"""with {SESSIONS}, u as (select 'session' as pair_set, win || '#' || seq as name, win as grp, source, summary from s
+ union all select 'handoff', f.win, f.tier, f.body, l.summary from {_files} f join {_latest} l using (win)
+ union all select 'conversation', conv_id::varchar, (conv_id % 10)::varchar, source, summary from {CONV})
+select pair_set, name, grp, length(source)::int as n_source, length(summary)::int as n_summary, {_judge} as reason from u""")
+def pair_sets(spark: SparkSession, d: str) -> DataFrame:
+    """All pair sets through the one table function that gives each by its name."""
+    text = lambda c: F.col(c).cast("string")
+    sets = {
+        "session": session_pairs(spark, d).select(F.concat_ws("#", "win", text("seq")).alias("name"), F.col("win").alias("grp"), "source", "summary"),
+        "handoff": latest_handoff_join(spark, d).select(F.col("win").alias("name"), F.col("tier").alias("grp"), "source", "summary"),
+        "conversation": conversations(spark, d).select(text("conv_id").alias("name"), (F.col("conv_id") % 10).cast("string").alias("grp"), "source", "summary")}
+    PS.register(spark, sets)
+    return spark.sql("select pair_set, name, grp, length(source) as n_source, length(summary) as n_summary, reason from pairs(null, 64, 16)")
+
+
 def donor_sql(src: str, name: str, group: str, seed: int, k: int) -> str:
     """CTEs that end in dn (name, donor, nth)."""
     h = lambda salt, n: f"('0x' || substr(md5('{seed}{salt}|' || {name}), 1, {n}))::bigint"
