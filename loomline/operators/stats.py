@@ -19,6 +19,11 @@ def sem(v: str | Column) -> Column:
     return F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v) / F.sqrt(F.count(v)), F.lit(0.0)))
 
 
+def above(v: Column) -> Column:
+    """Whether a difference of sums of doubles is positive beyond what the order of summation makes of a zero."""
+    return F.round(v, 12) > 0
+
+
 def upper_median(v: str) -> Column:
     """The element n div 2 of the sorted values: the upper of the two in the middle. Kept as counts of values."""
     return F.expr(f"percentile_disc(0.5) within group (order by `{v}` desc)")
