@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.plans import registry
+from test_oracle import plain
 
 
 def conversations(spark, folder, said):
@@ -27,3 +29,21 @@ def apart(spark, tmp_path_factory):
 def test_no_signal_is_not_counted_as_positive(spark, apart):
     got = registry.QUERIES["condition_by_axis"](spark, apart).collect()
     assert sum(r.n for r in got) == 60 and sum(r.n_positive for r in got) == 0
+
+
+def equals_sql(spark, folder, name, tables):
+    """Whether a query's rows on the tables of a folder are those of its SQL."""
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    got, want = registry.QUERIES[name](spark, folder).toPandas(), con.execute(registry.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    return plain(got).equals(plain(want))
+
+
+ODD = ["I.\nplain", "one\nI.\nXIV\n\nCHAPTER two\nPART\nend", "“so” ‘it’ – is ﻿", "a\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\nb", "x [Illustration: open\n_here_", "[Illustration] [Illustration: a\nV.\nb] c [Illustration: d", "BODY", "", None]
+
+
+def test_prose_that_looks_like_boilerplate_stays(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert equals_sql(spark, str(tmp_path), "strip_boilerplate", ["documents"])
