@@ -36,13 +36,12 @@ def low_decile(v: str) -> Column:
 
 def subset_stats(tokens: DataFrame, keys: list[str], nll: str = "nll", chars: str = "n_char", overlap: str = "overlap") -> DataFrame:
     """(keys, part, n_tok, n_char, nats, npt, npc): over all tokens, those in the summary, and the others; NULL ratios where a part is empty."""
-    parts = F.explode(F.array(F.lit("all"), F.when(F.col(overlap), "overlap").otherwise("novel"))).alias("part")
-    found = tokens.select(*keys, nll, chars, parts).groupBy(*keys, "part").agg(F.count("*").alias("n_tok"), F.sum(chars).alias("n_char"), F.sum(nll).alias("nats"))
-    whole = tokens.select(*keys).distinct().withColumn("part", F.explode(F.array(*map(F.lit, PARTS))))
-    out = whole.join(found, [*keys, "part"], "left")
+    inside = {"all": F.lit(True), "overlap": F.col(overlap), "novel": ~F.col(overlap)}
+    sums = [F.struct(F.lit(p).alias("part"), F.count_if(inside[p]).alias("n_tok"), F.coalesce(F.sum(F.when(inside[p], F.col(chars))), F.lit(0)).alias("n_char"), F.sum(F.when(inside[p], F.col(nll))).alias("nats")) for p in PARTS]
+    out = tokens.groupBy(*keys).agg(F.array(*sums).alias("x")).select(*keys, F.explode("x").alias("x")).select(*keys, "x.*")
     return out.select(
-        *keys, "part", F.coalesce("n_tok", F.lit(0)).alias("n_tok"), F.coalesce("n_char", F.lit(0)).alias("n_char"), F.coalesce("nats", F.lit(0.0)).alias("nats"),
-        (F.col("nats") / F.col("n_tok")).alias("npt"), F.when(F.col("n_char") > 0, F.col("nats") / F.col("n_char")).alias("npc"))
+        *keys, "part", "n_tok", "n_char", F.coalesce("nats", F.lit(0.0)).alias("nats"),
+        F.when(F.col("n_tok") > 0, F.col("nats") / F.col("n_tok")).alias("npt"), F.when(F.col("n_char") > 0, F.col("nats") / F.col("n_char")).alias("npc"))
 
 
 def over_donors(stats: DataFrame, prefix: str = "foreign") -> DataFrame:

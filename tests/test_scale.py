@@ -47,3 +47,14 @@ ODD = ["I.\nplain", "one\nI.\nXIV\n\nCHAPTER two\nPART\nend", "“so” ‘it’
 def test_prose_that_looks_like_boilerplate_stays(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert equals_sql(spark, str(tmp_path), "strip_boilerplate", ["documents"])
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_scored_without_a_join_for_each_condition(spark, apart):
+    df = registry.QUERIES["nll_subset_stats"](spark, apart)
+    assert df.count() == 60 * 6 * 3
+    joins = [x for x in plan(df).splitlines() if "Join" in x]
+    assert not [x for x in joins if "cond#" in x]
