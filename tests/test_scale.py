@@ -6,6 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.functions import text as X
+from loomline.operators import ngrams as N
+from loomline.operators import windows as W
 from loomline.plans import registry
 from test_oracle import plain
 
@@ -58,3 +61,60 @@ def test_words_are_scored_without_a_join_for_each_condition(spark, apart):
     assert df.count() == 60 * 6 * 3
     joins = [x for x in plan(df).splitlines() if "Join" in x]
     assert not [x for x in joins if "cond#" in x]
+
+
+def parsed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_summary_cuts_its_text_into_lines_once(spark):
+    df = spark.createDataFrame([("a: one. two. three.\n \nlonger line here. And more.\na",), ("",), (None,)], "text string")
+    own = df.select(X.extractive(F.col("text"), 60).alias("s"))
+    assert parsed(own).count("split(text#") == 1
+    assert [r.s for r in own.collect()] == ["one. two. longer line here. An a", "", None]
+
+
+def test_bytes_are_read_without_a_pattern_for_each(spark):
+    t = "a é\x00\x7f\u0085ÿ漢😀"
+    df = spark.createDataFrame([(t,), ("",), (None,)], "text string").select(X.byte_tokens(F.col("text")).alias("ids"))
+    assert "regexp" not in parsed(df) and "conv(" not in parsed(df)
+    order = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    order += [b for b in range(256) if b not in set(order)]
+    assert [r.ids for r in df.collect()] == [[order.index(b) + 1 for b in (" " + t).encode()], [order.index(32) + 1], None]
+
+
+def test_lines_that_no_text_begins_are_not_cut(spark):
+    texts = spark.createDataFrame([("k", "the cat sat on the mat, and then it slept")], "k string, t string")
+    lines = spark.createDataFrame([("cat sat on the mat",), ("cat sat on the dog",), ("at",), ("zz top and then it slept",), ("m",), ("",), (None,)], "l string")
+    found = W.recurring(lines, texts, "l", "k", "t")
+    assert sorted(r.l for r in found.collect()) == ["at", "cat sat on the mat", "m"]
+    assert "LeftSemi" in plan(found)
+
+
+def test_longer_grams_are_looked_up_only_after_shorter_ones(spark):
+    corpus = spark.createDataFrame([("a b c d",), ("c d e",), (None,)], "text string")
+    own = spark.createDataFrame([("a b c d e a b x c d",), ("b",), ("",), (None,)], "text string")
+    found = N.overlap_totals(own, corpus, [4, 2, 3])
+    assert sorted(map(tuple, found.collect())) == [(2, 9, 6), (3, 8, 3), (4, 7, 1)]
+    assert plan(found).count("posexplode") == 1 and plan(found).count("Join LeftOuter") == 3
+
+
+def test_words_of_one_text_are_found_by_their_least_and_greatest_key(spark):
+    rows = [(1, "a b b c"), (2, "b d d"), (3, "d"), (None, "e a"), (4, ""), (5, None), (6, "f"), (6, "f g"), (7, "q q"), (None, "e h")]
+    got = N.novel_leave_one_out(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: r[1:] for r in map(tuple, got.collect())} == {1: (3, 1), 2: (2, 0), 3: (1, 0), None: (3, 2), 6: (2, 2), 7: (1, 1)}
+    assert not [x for x in plan(got).splitlines() if "Aggregate [doc_id" in x and "word" in x]
+
+
+def test_bigrams_are_counted_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a b c"), (2, "a"), (3, ""), (4, None), (5, "b c")], "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    assert equals_sql(spark, str(tmp_path), "ngram_lm_fit", ["documents"])
+    assert plan(registry.QUERIES["ngram_lm_fit"](spark, str(tmp_path))).count("Generate") == 1
+
+
+def test_longer_grams_of_a_rest_are_hashed_only_where_shorter_ones_meet(spark):
+    rows = [(1, "one two three four five six seven eight nine ten eleven twelve " * 2, 1), (2, "", 1), (3, None, 1)]
+    m = N.against_rest(spark.createDataFrame(rows, "i int, t string, s int"), ["i"], "t", "s", 63)
+    assert [r.verb5 for r in m.orderBy("i").collect()] == [1.0, None, None]
+    r5 = [x for x in parsed(m).splitlines() if "array_intersect(w5" in x]
+    assert r5 and all("CASE WHEN (size(m3" in x for x in r5)
