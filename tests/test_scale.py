@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
+from loomline.operators import models as M
 from loomline.operators import ngrams as N
 from loomline.operators import windows as W
 from loomline.plans import registry
@@ -118,3 +119,14 @@ def test_longer_grams_of_a_rest_are_hashed_only_where_shorter_ones_meet(spark):
     assert [r.verb5 for r in m.orderBy("i").collect()] == [1.0, None, None]
     r5 = [x for x in parsed(m).splitlines() if "array_intersect(w5" in x]
     assert r5 and all("CASE WHEN (size(m3" in x for x in r5)
+
+
+def test_words_of_a_training_are_not_merged_again(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcd'", k=rng.randint(1, 7))) for _ in range(40))) for i in range(12)]
+    spark.createDataFrame([*rows, (99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["bpe_encode"](spark, str(tmp_path))
+    counts = N.word_counts(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    want = M.encode_bpe(counts, M.train_bpe(counts, 512))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("word", "c", "ids").collect()))
+    assert "regexp_extract_all" not in plan(got)
