@@ -11,8 +11,8 @@ occurs in a later one; overlaps count and strings are judged on the input.
    a passage that very many documents share is no more work than another.
 3. A shard sorts the suffixes of its distinct snippets with ``induced.suffix_array``: recursive induction with
    disk-backed priority queues whose tuples carry common prefixes. Suffixes whose common prefixes reach LENGTH
-   bytes form groups; the smallest document of a group keeps its string. Snippets of an anchor that has no other
-   snippet need no sorting. What must go is written by the snippet's hash, as sorted arrays.
+   bytes form groups; the smallest document of a group keeps its string. Snippets that have too
+   little around their anchor in common with any other need no sorting. What must go is written by the snippet's hash, as sorted arrays.
 4. Documents are read once more, look their snippets up in the mapped arrays and are cut; texts are never shuffled.
 
 The number of shards grows with the root of the input, and so does their size; the sorter works beyond memory.
@@ -45,6 +45,10 @@ LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text that a task works on at once, and of snippets or anchors that it gathers before it sends them.
 PIECE, GATHER = 96 << 10, 3 << 20
+#: Bytes of text whose anchors are looked up at once: a look-up goes through all parts, whose number grows with the input.
+LOOK = 2 << 20
+#: Snippets are sorted if they have LENGTH - STEP + 1 bytes in common with another, at one of every STEP places around the anchor.
+STEP = 3
 #: Tuples that the sorter takes at once, and bytes of an array that it keeps in memory.
 BATCH, KEEP = 1 << 16, 16 << 20
 _rng = np.random.default_rng(6)
@@ -61,11 +65,11 @@ def _sliding(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - k)], values[width - k :]) if k < width else values
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, document) of all anchors: the bytes from ``start`` to ``end`` are those of the anchor's strings."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, start, end, document, place) of all anchors: the bytes from ``start`` to ``end`` are those of the anchor's strings."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     with np.errstate(over="ignore"):
         h = BYTE[data]
         for k in (1, 2, 4, 8):
@@ -81,11 +85,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     np.add.at(whole, offsets[1:][ok] - LENGTH + 1, -1)
     string = np.flatnonzero(np.cumsum(whole)[:-1] > 0)
     if not len(string):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     at = (least[string] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = string[np.append(new[1:], len(at)) - 1]
-    return h[at[new]], string[new], last + LENGTH, np.searchsorted(offsets, string[new], "right") - 1
+    return h[at[new]], string[new], last + LENGTH, np.searchsorted(offsets, string[new], "right") - 1, at[new]
 
 
 def place(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +129,15 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def content(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each of the strings that lie in ``raw`` one after another, eight bytes at a time."""
-    at = np.cumsum(size) - size
-    words = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(16, np.uint8)]), strides=(1,))
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte of ``raw``, zeros after its end."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(16, np.uint8)]), strides=(1,))
+
+
+def content(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each of the strings that begin ``at`` bytes of ``raw``, eight bytes at a time."""
+    low = int(at.min()) if len(at) else 0
+    words, at = eights(raw[low : int((at + size).max())] if len(at) else raw[:0]), at - low
     one, two = size.astype(np.uint64), ~size.astype(np.uint64)
     left = np.arange(len(size))
     while len(left):
@@ -143,6 +152,34 @@ def content(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
+def twice(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Which of the strings of ``n`` bytes, a multiple of eight, that begin ``at`` places occur more than once, by their hashes."""
+    h = np.zeros(len(at), np.uint64)
+    for k in range(0, n, 8):
+        with np.errstate(over="ignore"):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[at + k], 52)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.zeros(len(at), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
+def kin(gram: np.ndarray, at: np.ndarray, size: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Which of the distinct snippets, with their anchors ``gram`` bytes after their beginnings, can share a string with another one.
+
+    The anchor lies at one place of a shared string. Of the LENGTH - GRAM bytes beside it x come before, and with i = x - x % STEP both
+    snippets have the LENGTH - STEP + 1 bytes that begin i before the anchor.
+    """
+    words, out = eights(raw), np.zeros(len(at), bool)
+    own = np.flatnonzero(twice(words, at + gram, GRAM))
+    most = LENGTH - STEP + 1
+    for i in range(0, WINDOW, STEP):
+        some = own[(gram[own] >= i) & (gram[own] - i + most <= size[own])]
+        out[some[twice(words, at[some] + gram[some] - i, most)]] = True
+    return out
+
+
 def distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For each row the number of its kind, and of each kind a row; kinds in order of the keys."""
     order = np.lexsort(keys[::-1])
@@ -170,15 +207,27 @@ def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
 
-def parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, row, base) of the texts, a long one piece by piece; pieces share LENGTH - 1 bytes, so each string is in one."""
+def stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The ``anchors`` of the texts, those of about LOOK bytes at once; a long text is read in pieces that share LENGTH - 1 bytes, so each string is in one."""
     size = np.diff(offsets)
-    if len(size) != 1 or size[0] <= 2 * PIECE:
-        yield data, offsets, np.arange(len(size)), np.zeros(len(size), np.int64)
+    if not len(size):
         return
-    for s in range(0, int(size[0]) - LENGTH + 1, PIECE):
-        own = data[s : s + PIECE + LENGTH - 1]
-        yield own, np.array([0, len(own)]), np.zeros(1, np.int64), np.array([s])
+    far, block = size > 2 * PIECE, offsets[:-1] // PIECE
+    edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | far[1:] | far[:-1], [True]])).tolist()
+    held, n = [], 0
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        a, z = int(offsets[i]), int(offsets[j])
+        step = PIECE if far[i] else max(z - a, 1)
+        for s in range(a, z - LENGTH + 1, step):
+            to = min(z, s + step + LENGTH - 1)
+            h, start, end, of, place_ = anchors(data[s:to], np.array([0, to - s]) if far[i] else offsets[i : j + 1] - a)
+            held.append((h, start + s, end + s, of + i, place_ + s))
+            n += to - s
+            if n >= LOOK:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) -> None:
@@ -205,12 +254,11 @@ def repeated(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "low", "many", "first"])
 
         for whole in batches:
-            for b in slices(whole, "t", PIECE):
+            for b in slices(whole, "t", LOOK):
                 d = b.column("d").to_numpy()
-                for data, offsets, row, _ in parts_of(*buffers(b.column("t"))):
-                    h, _, _, of = anchors(data, offsets)
+                for h, _, _, of, _ in stretches(*buffers(b.column("t"))):
                     if len(h):
-                        held.append((h, d[row[of]]))
+                        held.append((h, d[of]))
                     if sum(len(x[0]) for x in held) > GATHER // 8:
                         yield from flush()
         if held:
@@ -244,54 +292,53 @@ class Files:
         return self.open[k]
 
 
-def occurrences(data: np.ndarray, offsets: np.ndarray, files: Files, parts: int) -> tuple[np.ndarray, ...]:
-    """(part, anchor, text, start, size, bytes) of the snippets of repeated anchors; ``start`` counts from the text's first byte."""
-    h, s, e, of = anchors(data, offsets)
-    p, low = place(h, parts)
-    order = np.argsort(p.astype(np.min_scalar_type(parts)), kind="stable")
-    hit = np.zeros(len(h), bool)
-    for x, own in _blocks(p[order], parts):
-        found = files.part(x)
-        if found and len(found[0]):
-            mine = low[order[own]]
-            hit[order[own]] = found[0][np.minimum(np.searchsorted(found[0], mine), len(found[0]) - 1)] == mine
-    s, e, of = s[hit], e[hit], of[hit]
-    return p[hit], low[hit], of, s - offsets[of], e - s, data[ragged(s, e - s)]
+def occurrences(data: np.ndarray, offsets: np.ndarray, files: Files, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(part, anchor's place in the snippet, text, start, size) of the snippets of repeated anchors."""
+    for h, s, e, of, at in stretches(data, offsets):
+        p, low = place(h, parts)
+        order = np.argsort(p.astype(np.min_scalar_type(parts)), kind="stable")
+        hit = np.zeros(len(h), bool)
+        for x, own in _blocks(p[order], parts):
+            found = files.part(x)
+            if found and len(found[0]):
+                mine = low[order[own]]
+                hit[order[own]] = found[0][np.minimum(np.searchsorted(found[0], mine), len(found[0]) - 1)] == mine
+        if hit.any():
+            yield p[hit], (at - s)[hit], of[hit], s[hit], (e - s)[hit]
 
 
 def snippets(docs: DataFrame, out_dir: str, parts: int, key: str, text: str) -> DataFrame:
-    """(part, anchor, least, most, size, bytes): blocks of distinct snippets around repeated anchors, with the least and greatest document of each."""
+    """(part, gram, least, most, size, bytes): blocks of distinct snippets, with the place of the repeated anchor in each and the least and greatest document."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, held = Files(out_dir, "anchors"), []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            p, low, d, size, raw = (np.concatenate([x[i] for x in held]) for i in range(5))
+            p, gram, d, size, raw = (np.concatenate([x[i] for x in held]) for i in range(5))
             held.clear()
             starts = np.cumsum(size) - size
-            kind, heads = distinct([p, *content(raw, size)])
+            kind, heads = distinct([p, *content(raw, starts, size)])
             least, most = np.full(len(heads), np.iinfo(np.int64).max), np.full(len(heads), np.iinfo(np.int64).min)
             np.minimum.at(least, kind, d)
             np.maximum.at(most, kind, d)
             for x, own in _blocks(p[heads], parts):
                 mine = heads[own]
-                cells = [low[mine], least[own], most[own], size[mine].astype(np.uint8), raw[ragged(starts[mine], size[mine])]]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "anchor", "least", "most", "size", "bytes"])
+                cells = [gram[mine].astype(np.uint8), least[own], most[own], size[mine].astype(np.uint8), raw[ragged(starts[mine], size[mine])]]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "gram", "least", "most", "size", "bytes"])
 
         for whole in batches:
-            for b in slices(whole, "t", PIECE):
+            for b in slices(whole, "t", LOOK):
                 d = b.column("d").to_numpy()
-                for data, offsets, row, _ in parts_of(*buffers(b.column("t"))):
-                    p, low, of, _, size, raw = occurrences(data, offsets, files, parts)
-                    if len(p):
-                        held.append((p, low, d[row[of]], size, raw))
+                data, offsets = buffers(b.column("t"))
+                for p, gram, of, s, size in occurrences(data, offsets, files, parts):
+                    held.append((p, gram, d[of], size, data[ragged(s, size)]))
                     if sum(len(x[4]) for x in held) > GATHER:
                         yield from flush()
         if held:
             yield from flush()
 
-    return _pieces(docs, key, text).mapInArrow(run, "part int, anchor binary, least binary, most binary, size binary, bytes binary")
+    return _pieces(docs, key, text).mapInArrow(run, "part int, gram binary, least binary, most binary, size binary, bytes binary")
 
 
 def shared(size: np.ndarray, raw: np.ndarray, least: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
@@ -332,17 +379,16 @@ def shared(size: np.ndarray, raw: np.ndarray, least: np.ndarray, space: Space) -
     return np.where(high > 0, low, 0), high
 
 
-def resolve(anchor: np.ndarray, least: np.ndarray, most: np.ndarray, size: np.ndarray, raw: np.ndarray, under: str | None = None) -> list[np.ndarray]:
+def resolve(gram: np.ndarray, least: np.ndarray, most: np.ndarray, size: np.ndarray, raw: np.ndarray, under: str | None = None) -> list[np.ndarray]:
     """(hash, second hash, least, low, high) of the snippets of one shard that remove something, by hash."""
     size = size.astype(np.int64)
     starts = np.cumsum(size) - size
-    hashes = content(raw, size)
+    hashes = content(raw, starts, size)
     kind, heads = distinct(list(hashes))
     low_doc, high_doc = np.full(len(heads), np.iinfo(np.int64).max), np.full(len(heads), np.iinfo(np.int64).min)
     np.minimum.at(low_doc, kind, least)
     np.maximum.at(high_doc, kind, most)
-    _, of, count = np.unique(anchor[heads], return_inverse=True, return_counts=True)
-    sort = np.flatnonzero(count[of] > 1)
+    sort = np.flatnonzero(kin(gram[heads].astype(np.int64), starts[heads], size[heads], raw))
     low, high = np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
     if len(sort):
         mine = heads[sort]
@@ -364,7 +410,7 @@ def find(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text")
 
     @lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, blocks in _by_part(batches, ("anchor", "least", "most", "size", "bytes"), (np.uint32, np.int64, np.int64, np.uint8, np.uint8)):
+        for k, blocks in _by_part(batches, ("gram", "least", "most", "size", "bytes"), (np.uint8, np.int64, np.int64, np.uint8, np.uint8)):
             columns = [np.concatenate([x[i] for x in blocks]) for i in range(5)]
             blocks.clear()
             write_arrays(f"{out_dir}/gone-{k:06d}", resolve(*columns, mounted(out_dir)))
@@ -378,11 +424,8 @@ def find(docs: DataFrame, out_dir: str, key: str = "doc_id", text: str = "text")
 def runs_of(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: Files, gone: Files, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end): the maximal runs of bytes to remove from the texts."""
     rows, low, high = [], [], []
-    for piece, edges, row, base in parts_of(data, offsets):
-        p, _, of, s, size, raw = occurrences(piece, edges, known, parts)
-        if not len(p):
-            continue
-        h, again = content(raw, size)
+    for p, _, of, s, size in occurrences(data, offsets, known, parts):
+        h, again = content(data, s, size)
         order = np.argsort(p, kind="stable")
         for x, own in _blocks(p[order], parts):
             found = gone.part(x)
@@ -392,12 +435,12 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, known: Files
             at = np.minimum(np.searchsorted(found[0], h[mine]), len(found[0]) - 1)
             hit = (found[0][at] == h[mine]) & (found[1][at] == (again[mine] >> np.uint64(32)).astype(np.uint32))
             mine, at = mine[hit], at[hit]
-            d = ids[row[of[mine]]]
+            d = ids[of[mine]]
             later = d > found[2][at]
             a, z = np.where(later, 0, found[3][at].astype(np.int64)), np.where(later, size[mine], found[4][at].astype(np.int64))
             some = z > a
-            start = s[mine] + base[of[mine]]
-            rows.append(row[of[mine]][some])
+            start = s[mine] - offsets[of[mine]]
+            rows.append(of[mine][some])
             low.append((start + a)[some])
             high.append((start + z)[some])
     if not rows:
@@ -416,7 +459,7 @@ def cut(docs: DataFrame, out_dir: str, parts: int, key: str, text: str, digest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, gone = Files(out_dir, "anchors"), Files(out_dir, "gone")
         for whole in batches:
-            for b in slices(whole, "__t", PIECE):
+            for b in slices(whole, "__t", LOOK):
                 data, offsets = buffers(b.column("__t"))
                 # a row without id is before all others, so nothing is taken from it
                 ids = b.column("__d").fill_null(np.iinfo(np.int64).min).to_numpy()
