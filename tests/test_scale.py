@@ -1,6 +1,7 @@
 """Queries whose steps were changed for larger tables, on small hand-made tables."""
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -11,6 +12,7 @@ from loomline.operators import models as M
 from loomline.operators import ngrams as N
 from loomline.operators import windows as W
 from loomline.plans import registry
+from loomline.plans import text_queries as T
 from test_oracle import plain
 
 
@@ -53,6 +55,29 @@ def test_prose_that_looks_like_boilerplate_stays(spark, tmp_path):
     assert equals_sql(spark, str(tmp_path), "strip_boilerplate", ["documents"])
 
 
+def of_a_book(raw, marker):
+    """The reference's steps, in Python's patterns."""
+    m = re.search(r"\*\*\*\s*START OF (THE|THIS) PROJECT GUTENBERG EBOOK.*?\*\*\*", raw)
+    t = raw[m.end() :]
+    t = t[: re.search(r"\*\*\*\s*END OF (THE|THIS) PROJECT GUTENBERG EBOOK", t).start()]
+    t = re.sub(r"\[Illustration:.*?\]", "", t[t.index(marker) :], flags=re.S).replace("[Illustration]", "")
+    t = re.sub(r"^\s*(CHAPTER|Chapter|BOOK|Book the|VOLUME|PART|PRELUDE|FINALE)\b.*$", "", t, flags=re.M)
+    t = re.sub(r"^\s*[IVXLC]+\.?\s*$", "", t, flags=re.M).replace("_", "")
+    return t.translate(str.maketrans("\u201c\u201d\u2018\u2019\u2013\u00a0", "\"\"''- ", "\ufeff"))
+
+
+BOOKISH = [*ODD, "a\n \n\x0b\u2003PART one\r\nPARTY\nPART\u00e9\nBook the_ b\nVOLUME\u2014c", "a\nIV.\u00a0\n\n\nX\u0085\nb\u2028MCX\n", "[Illu[Illustration: x]stration] \u2013 \ufeff\u2018", "x *** END OF THIS PROJECT GUTENBERG EBOOK\ny"]
+
+
+def test_every_step_of_a_book_acts_on_the_text(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(BOOKISH)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert equals_sql(spark, str(tmp_path), "strip_boilerplate", ["documents"])
+    made = {r.doc_id: r.t for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.expr(T.BOOK).alias("t")).collect()}
+    got = {r.doc_id: r.body for r in registry.QUERIES["strip_boilerplate"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else of_a_book(t, "BODY") for i, t in made.items()}
+    assert got[1].startswith("BODY\n\none\n") and "CHAPTER" not in got[1] and "\u201c" not in got[2]
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
